@@ -7,10 +7,13 @@ order is bought only if both worked, and what did work is given back if not.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from tillflow import vocabulary as v
+from tillflow.functions.codes import name_of
+from tillflow.functions.jsontext import json_object, quoted, raw
 from tillflow.operators.ledger import HOT_ROWS, guarded_ledger
-from tillflow.vocabulary import FAILED, SUCCEEDED
+from tillflow.operators.skew import collect_pages
 
 
 def order_prices(lines: DataFrame) -> DataFrame:
@@ -46,7 +49,7 @@ def checkout(lines: DataFrame, orders: DataFrame, items: DataFrame, users: DataF
     nothing = F.lit(0).cast("bigint")
     return (paid.withColumnRenamed("accepted", "payment_ok").join(taken, "order_id")
             .select("order_id", "user_id", "price", "n_items", "stock_ok", "payment_ok", "failed_items",
-                    F.when(both, SUCCEEDED).otherwise(FAILED).cast("bigint").alias("checkout_status"),
+                    F.when(both, v.SUCCEEDED).otherwise(v.FAILED).cast("bigint").alias("checkout_status"),
                     both.alias("is_paid"),
                     F.when(both, nothing).otherwise(F.col("taken_qty")).alias("restock_qty"),
                     F.when(F.col("payment_ok") & ~F.col("stock_ok"), F.col("price"))
@@ -65,3 +68,46 @@ def credits_after(result: DataFrame, users: DataFrame) -> DataFrame:
     spent = result.where("is_paid").groupBy("user_id").agg(F.sum("price").alias("spent"))
     return users.join(spent, "user_id", "left").select(
         "user_id", (F.col("credits") - F.coalesce("spent", F.lit(0))).alias("credits"))
+
+
+def progress_bits(stock_ok: Column, payment_ok: Column, restock_qty: Column) -> Column:
+    """Progress once both answers are in and the ways back have been asked for."""
+    restock = (F.when(stock_ok & payment_ok, 0)
+                .when(restock_qty > 0, v.RESTOCK_SENT | v.AWAIT_RESTOCK).otherwise(v.RESTOCK_SENT))
+    refund = F.when(payment_ok & ~stock_ok, v.REFUND_SENT | v.AWAIT_REFUND).otherwise(0)
+    bits = F.when(stock_ok, v.STOCK_OK).otherwise(v.STOCK_FAILED)
+    for more in (F.when(payment_ok, v.PAYMENT_OK).otherwise(v.PAYMENT_FAILED), restock, refund):
+        bits = bits.bitwiseOR(more)
+    return bits
+
+
+def compensations(result: DataFrame) -> DataFrame:
+    """What a failed checkout sends to undo its half that worked."""
+    def ask(amount, topic, route, state):
+        return result.where(F.col(amount) > 0).select(
+            "order_id", F.lit(topic).alias("topic"), F.lit(route).alias("route"), F.lit(state).alias("state"),
+            F.col(amount).alias("amount"))
+    return ask("restock_qty", v.IN_TOPIC[v.STOCK], "batch/add", "batch:add").unionByName(
+        ask("refund", v.IN_TOPIC[v.PAYMENT], "orders/checkout", "replenish-payment"))
+
+
+def checkout_log(stock: DataFrame, payments: DataFrame, page_rows: int = 100_000) -> DataFrame:
+    """Per order the reasons of its failure as a JSON array, sorted.
+
+    ``stock`` (order_id, item_id, code), ``payments`` (order_id, code, message).
+    """
+    text = F.when(F.col("code") == v.ERROR, "Item does not exist: ").otherwise("Not enough items in stock: ")
+    reasons = (stock.where(F.col("code") != v.SUCCESS)
+               .select("order_id", "code", F.concat(text, "item_id").alias("message"))
+               .unionByName(payments.where(F.col("code") != v.SUCCESS).select(
+                   "order_id", "code", F.coalesce("message", F.lit("Insufficient funds.")).alias("message"))))
+    entry = json_object(message=quoted("message"), status=quoted(name_of(F.col("code"), v.OPERATION_RESULT)),
+                        status_code=raw("code"))
+    return collect_pages(reasons, "order_id", entry, "entries_", page_rows).select(
+        "order_id", "page", F.concat(F.lit("["), F.array_join("entries_", ","), F.lit("]")).alias("log"))
+
+
+def outcomes(result: DataFrame) -> DataFrame:
+    text = (F.when(F.col("is_paid"), f"Order checkout done: {v.CHECKOUT_DONE}")
+             .otherwise(f"Order checkout reverted: {v.CHECKOUT_FAILED}"))
+    return result.groupBy(text.alias("outcome")).agg(F.count("*").alias("n"))
