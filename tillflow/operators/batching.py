@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillflow import vocabulary as v
 from tillflow.functions.jsontext import field, json_object, quoted, raw
@@ -63,8 +63,9 @@ def collect_batches(items: DataFrame, page_rows: int = 100_000) -> DataFrame:
          .alias("pairs_"),
         F.sum("n_").alias("seen_"),
         *[F.max(c).alias(c) for c in ("batch_count", "order_id", "user_id", "return_state")])
-    complete = batch_progress(items).where("complete").select("batch_id")
-    return joined.join(complete, "batch_id", "left_semi").select(
+    # a batch has as many rows here as it has pages
+    whole = F.sum("seen_").over(Window.partitionBy("batch_id")) >= F.col("batch_count")
+    return joined.withColumn("whole_", whole).where("whole_").select(
         "batch_id", "page", "order_id", F.col("return_state").alias("state"),
         json_object(order_id=quoted("order_id"), user_id=quoted("user_id"),
                     products=object_of(F.col("pairs_"))).alias("params"))

@@ -35,23 +35,25 @@ UNBOUNDED = 1 << 62
 
 
 def guarded_ledger(commands: DataFrame, opening: DataFrame | None = None,
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
+                   hot_rows: int = HOT_ROWS, sized_by: DataFrame | None = None) -> DataFrame:
     """Every command with ``accepted`` and the ``balance`` after it.
 
     ``commands`` has ``key``, the order (``t``, ``seq``), a signed ``delta``
     and any further columns; ``opening`` has ``key`` and ``opening`` >= 0.
+    ``sized_by`` is a cheaper frame with at least as many rows of each key,
+    to find the hot keys with.
     """
-    return _fold(commands, opening, hot_rows, each_command=True)
+    return _fold(commands, opening, hot_rows, sized_by, each_command=True)
 
 
 def guarded_balance(commands: DataFrame, opening: DataFrame | None = None,
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
+                    hot_rows: int = HOT_ROWS, sized_by: DataFrame | None = None) -> DataFrame:
     """Per key the final ``balance`` and the counts of accepted and rejected."""
-    return _fold(commands.select("key", "t", "seq", "delta"), opening, hot_rows, each_command=False)
+    return _fold(commands.select("key", "t", "seq", "delta"), opening, hot_rows, sized_by, each_command=False)
 
 
-def _fold(commands, opening, hot_rows, each_command):
-    hot, limit = hot_keys(commands, "key", hot_rows)
+def _fold(commands, opening, hot_rows, sized_by, each_command):
+    hot, limit = hot_keys(commands if sized_by is None else sized_by, "key", hot_rows)
     if not hot:
         return _fold_by_key(commands, opening, each_command)
     hot_part, rest = split_hot(commands, "key", hot)

@@ -26,7 +26,8 @@ def reserve_stock(lines: DataFrame, orders: DataFrame, items: DataFrame, hot_row
     takes = (lines.join(orders.select("order_id", "seq", "t"), "order_id")
              .select(F.col("item_id").alias("key"), "t", "seq", (-F.col("qty")).alias("delta"), "order_id", "qty"))
     return guarded_ledger(takes, items.select(F.col("item_id").alias("key"), F.col("amount").alias("opening")),
-                          hot_rows).withColumnRenamed("key", "item_id")
+                          hot_rows, sized_by=lines.select(F.col("item_id").alias("key"))
+                          ).withColumnRenamed("key", "item_id")
 
 
 def debit_users(prices: DataFrame, orders: DataFrame, users: DataFrame, hot_rows=HOT_ROWS) -> DataFrame:
@@ -34,7 +35,8 @@ def debit_users(prices: DataFrame, orders: DataFrame, users: DataFrame, hot_rows
               .select(F.col("user_id").alias("key"), "t", "seq", (-F.col("price")).alias("delta"),
                       "order_id", "price", "n_items"))
     return guarded_ledger(debits, users.select(F.col("user_id").alias("key"), F.col("credits").alias("opening")),
-                          hot_rows).withColumnRenamed("key", "user_id")
+                          hot_rows, sized_by=orders.select(F.col("user_id").alias("key"))
+                          ).withColumnRenamed("key", "user_id")
 
 
 def checkout(lines: DataFrame, orders: DataFrame, items: DataFrame, users: DataFrame,
