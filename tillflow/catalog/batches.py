@@ -11,7 +11,7 @@ from tillflow.functions.codes import progress_view
 from tillflow.operators import batching, orders as ops
 from tillflow.operators.payments import checkout_payments
 from tillflow.plans import checkout as plan
-from tillflow.sources.fixtures import items0, lines0, orders0, users0
+from tillflow.sources.fixtures import items0, lines0, orders0, size_of, users0
 
 BATCH_ID = "sha256(order_id || ':' || order_id || ':send-stock')"
 
@@ -19,7 +19,8 @@ BATCH_ID = "sha256(order_id || ':' || order_id || ':send-stock')"
 def stock_messages(spark, folder):
     """The stock request of every checkout, keyed by request id = order id."""
     lines = lines0(spark, folder)
-    sent = ops.checkout_requests(orders0(spark, folder), lines, plan.order_prices(lines))
+    sent = ops.checkout_requests(orders0(spark, folder), lines, plan.order_prices(lines),
+                                 sized_by=size_of(spark, folder, "l_orderkey"))
     return sent.where(F.col("topic") == "stock_in").select(F.col("order_id").alias("request_id"), "params")
 
 
@@ -70,14 +71,23 @@ def incomplete_batches(spark, folder):
     FROM batch_items GROUP BY 1 HAVING count(*) >= max(batch_count)""",
     "prices", "orders0", batch_items=BATCH_ITEMS))
 def batch_collect(spark, folder):
-    return batching.collect_batches(batch_items(spark, folder))
+    return batching.collect_batches(batch_items(spark, folder), sized_by=batch_sizes(spark, folder, "b", ""))
+
+
+def batch_sizes(spark, folder, before, after):
+    """The batch id of every order line, for both ways ids are made here."""
+    order_id = F.col("l_orderkey").cast("string")
+    return size_of(spark, folder, "l_orderkey").select(
+        F.sha2(F.concat(F.lit(before), order_id, *([F.lit(":"), order_id, F.lit(after)] if after else [])), 256)
+        .alias("batch_id"))
 
 
 def taken(spark, folder):
     """Every checkout's items fanned out and taken from stock, in order."""
     when = orders0(spark, folder).select("order_id", "t", "seq")
     takes = batching.fan_out(stock_messages(spark, folder)).join(when, "order_id")
-    return batching.take_items(takes, items0(spark, folder).select("item_id", "amount"))
+    return batching.take_items(takes, items0(spark, folder).select("item_id", "amount"),
+                               sized_by=size_of(spark, folder, "l_partkey"))
 
 
 PASSED = """CASE WHEN ok THEN '{"state":0,"amount":' || qty || '}' ELSE '{"state":1}' END"""
@@ -91,7 +101,8 @@ PASSED = """CASE WHEN ok THEN '{"state":0,"amount":' || qty || '}' ELSE '{"state
 def stock_batch(spark, folder):
     done = taken(spark, folder)
     amount = F.when(F.col("code") == v.SUCCESS, F.col("amount"))
-    return batching.collect_batches(done.withColumn("passed", batching.passed(F.col("code"), amount)))
+    return batching.collect_batches(done.withColumn("passed", batching.passed(F.col("code"), amount)),
+                                    sized_by=batch_sizes(spark, folder, "", ":send-stock"))
 
 
 @query("stock_outcome", sql("""
@@ -109,8 +120,10 @@ def stock_outcome(spark, folder):
     FROM item_fold JOIN saga USING (order_id) WHERE ok AND NOT is_paid GROUP BY 1""", "item_fold", "saga"))
 def refund_map(spark, folder):
     back = saga(spark, folder).where(~F.col("is_paid"))
-    held = plan.reserve_stock(lines0(spark, folder), orders0(spark, folder), items0(spark, folder)).where("accepted")
-    return (ops.products(held.select("order_id", "item_id", "qty").join(back, "order_id", "left_semi"))
+    held = plan.reserve_stock(lines0(spark, folder), orders0(spark, folder), items0(spark, folder),
+                              sized_by=size_of(spark, folder, "l_partkey")).where("accepted")
+    return (ops.products(held.select("order_id", "item_id", "qty").join(back, "order_id", "left_semi"),
+                         sized_by=size_of(spark, folder, "l_orderkey"))
             .select("order_id", "page", F.col("products").alias("refunds")))
 
 
@@ -137,7 +150,8 @@ def restock(spark, folder):
     FROM orders0 LEFT JOIN (SELECT order_id, price, ok, bal FROM user_fold) USING (order_id)""", "orders0", "user_fold"))
 def payment_outcome(spark, folder):
     prices = plan.order_prices(lines0(spark, folder)).drop("n_items")
-    return (checkout_payments(orders0(spark, folder), prices, users0(spark, folder).select("user_id", "credits"))
+    return (checkout_payments(orders0(spark, folder), prices, users0(spark, folder).select("user_id", "credits"),
+                              sized_by=size_of(spark, folder, "o_custkey"))
             .withColumns({"code": F.col("code").cast("bigint"), "status": F.col("status").cast("bigint")}))
 
 
@@ -170,12 +184,13 @@ def compensations(spark, folder):
         FROM user_fold WHERE NOT ok) GROUP BY 1""", "item_fold", "user_fold"))
 def checkout_log(spark, folder):
     lines, orders = lines0(spark, folder), orders0(spark, folder)
-    stock = (plan.reserve_stock(lines, orders, items0(spark, folder))
+    stock = (plan.reserve_stock(lines, orders, items0(spark, folder), sized_by=size_of(spark, folder, "l_partkey"))
              .withColumn("code", F.when(F.col("accepted"), v.SUCCESS).otherwise(v.FAILURE)))
     paid = (plan.debit_users(plan.order_prices(lines), orders, users0(spark, folder))
             .withColumns({"code": F.when(F.col("accepted"), v.SUCCESS).otherwise(v.FAILURE),
                           "message": F.lit(v.NO_CREDITS)}))
-    return plan.checkout_log(stock, paid)
+    return plan.checkout_log(stock, paid, sized_by=size_of(spark, folder, "l_orderkey").unionAll(
+        size_of(spark, folder, "o_orderkey")))
 
 
 @query("checkout_outcomes", sql("""

@@ -6,7 +6,7 @@ from tillflow.catalog import query
 from tillflow.catalog.views import sql
 from tillflow.operators import ledger
 from tillflow.plans import checkout as plan
-from tillflow.sources.fixtures import cmd, items0, lines0, orders0, users0
+from tillflow.sources.fixtures import cmd, items0, lines0, orders0, size_of, users0
 
 
 def credit_commands(spark, folder):
@@ -21,7 +21,7 @@ def credit_commands(spark, folder):
 @query("guarded_ledger", sql("""
     SELECT user_id, seq, delta, ok accepted, bal balance FROM ledger""", "ledger"))
 def guarded_ledger(spark, folder):
-    return (ledger.guarded_ledger(credit_commands(spark, folder))
+    return (ledger.guarded_ledger(credit_commands(spark, folder), sized_by=size_of(spark, folder, "user_id"))
             .select(F.col("key").alias("user_id"), "seq", "delta", "accepted", "balance"))
 
 
@@ -29,11 +29,12 @@ def guarded_ledger(spark, folder):
     SELECT user_id, arg_max(bal, rn) balance, count(*) FILTER (ok) n_accepted, count(*) FILTER (NOT ok) n_rejected
     FROM ledger GROUP BY 1""", "ledger"))
 def guarded_balance(spark, folder):
-    return (ledger.guarded_balance(credit_commands(spark, folder)).withColumnRenamed("key", "user_id"))
+    return (ledger.guarded_balance(credit_commands(spark, folder), sized_by=size_of(spark, folder, "user_id")).withColumnRenamed("key", "user_id"))
 
 
 def saga(spark, folder):
-    return plan.checkout(lines0(spark, folder), orders0(spark, folder), items0(spark, folder), users0(spark, folder))
+    return plan.checkout(lines0(spark, folder), orders0(spark, folder), items0(spark, folder), users0(spark, folder),
+                         item_sizes=size_of(spark, folder, "l_partkey"))
 
 
 @query("checkout_saga", sql("SELECT * FROM saga", "saga"))

@@ -10,7 +10,7 @@ from tillflow.functions.jsontext import json_object, quoted
 from tillflow.operators import guards, orders as ops
 from tillflow.operators.batching import missing_for_fan_out
 from tillflow.plans.checkout import order_prices
-from tillflow.sources.fixtures import lines0, micros, orders0
+from tillflow.sources.fixtures import lines0, micros, orders0, size_of
 from tillflow.sources.tables import table
 
 USER_THERE = "user_id IN (SELECT user_id FROM users0 WHERE user_exists)"
@@ -105,18 +105,22 @@ PRODUCTS = """SELECT order_id, '{' || string_agg('"' || item_id || '":' || qty,
               FROM lines0 GROUP BY 1"""
 
 
+def listed_products(spark, folder):
+    return ops.products(lines0(spark, folder), sized_by=size_of(spark, folder, "l_orderkey"))
+
+
 @query("order_view", sql(f"""
     SELECT order_id, CAST(0 AS BIGINT) page, '{{"order_id":"' || order_id || '","user_id":"' || user_id || '","user_checked":'
         || ({USER_THERE})::VARCHAR || ',"is_paid":' || is_paid::VARCHAR || ',"products":' || coalesce(products, '{{}}')
         || ',"checkout_status":' || checkout_status || ',"checkout_progress":0}}' params
     FROM orders0 LEFT JOIN products USING (order_id)""", "orders0", "users0", "lines0", products=PRODUCTS))
 def order_view(spark, folder):
-    return ops.order_view(checked_orders(spark, folder), lines0(spark, folder))
+    return ops.order_view(checked_orders(spark, folder), lines0(spark, folder), sized_by=size_of(spark, folder, "l_orderkey"))
 
 
 @query("json_products", sql("SELECT order_id, item_id, qty FROM lines0", "lines0"))
 def json_products(spark, folder):
-    packed = ops.products(lines0(spark, folder))
+    packed = listed_products(spark, folder)
     return packed.select("order_id", F.explode(F.from_json("products", "map<string,bigint>")).alias("item_id", "qty"))
 
 
@@ -126,7 +130,7 @@ def json_products(spark, folder):
            string_agg(item_id, ',' ORDER BY item_id) item_ids
     FROM lines0 GROUP BY 1""", "lines0"))
 def map_ops(spark, folder):
-    held = ops.products(lines0(spark, folder)).withColumn("held", F.from_json("products", "map<string,bigint>"))
+    held = listed_products(spark, folder).withColumn("held", F.from_json("products", "map<string,bigint>"))
     put = F.map_concat("held", F.create_map(F.lit("gift"), F.lit(1).cast("bigint")))
     none = F.lit(0).cast("bigint")
     return held.select(
@@ -178,7 +182,8 @@ def checkout_precheck(spark, folder):
            FROM orders0 JOIN prices USING (order_id)""", "orders0", "prices", products=PRODUCTS))
 def checkout_requests(spark, folder):
     lines = lines0(spark, folder)
-    return ops.checkout_requests(orders0(spark, folder), lines, order_prices(lines))
+    return ops.checkout_requests(orders0(spark, folder), lines, order_prices(lines),
+                                 sized_by=size_of(spark, folder, "l_orderkey"))
 
 
 @query("mark_paid", sql(f"""
@@ -199,7 +204,7 @@ def mark_paid(spark, folder):
                           WHEN checkout_status = 3 THEN 'User ID is expected to exist.' END reason
     FROM orders0 LEFT JOIN products USING (order_id)""", "orders0", "lines0", products=PRODUCTS))
 def require_fields(spark, folder):
-    listed = ops.products(lines0(spark, folder))
+    listed = listed_products(spark, folder)
     whole = json_object(products=F.coalesce("products", F.lit("null")), order_id=quoted("order_id"),
                         user_id=quoted("user_id"))
     nameless = json_object(products=F.coalesce("products", F.lit("null")), order_id=quoted("order_id"))

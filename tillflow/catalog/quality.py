@@ -10,7 +10,7 @@ from tillflow.catalog.orders import ITEM_THERE, OPEN, basket_changes
 from tillflow.catalog.views import sql
 from tillflow.operators import guards, ledger, orders as order_ops, quality
 from tillflow.plans import checkout as plan
-from tillflow.sources.fixtures import items0, lines0, orders0
+from tillflow.sources.fixtures import items0, lines0, orders0, size_of
 
 
 @query("dq_credit_conserved", sql("""
@@ -20,7 +20,9 @@ from tillflow.sources.fixtures import items0, lines0, orders0
 def dq_credit_conserved(spark, folder):
     commands = credit_commands(spark, folder)
     nothing = commands.select("key").distinct().withColumn("opening", F.lit(0).cast("bigint"))
-    return quality.conserved(ledger.guarded_ledger(commands), ledger.guarded_balance(commands), nothing)
+    sizes = size_of(spark, folder, "user_id")
+    return quality.conserved(ledger.guarded_ledger(commands, sized_by=sizes),
+                             ledger.guarded_balance(commands, sized_by=sizes), nothing)
 
 
 @query("dq_stock_conserved", sql("""
@@ -56,7 +58,7 @@ def dq_added_items(spark, folder):
     lines = lines0(spark, folder)
     added = order_ops.add_items(lines.select("order_id", "item_id"), orders0(spark, folder),
                                 existing_users(spark, folder), existing_items(spark, folder)).where("result = 'success'")
-    baskets = order_ops.products(lines).select(
+    baskets = order_ops.products(lines, sized_by=size_of(spark, folder, "l_orderkey")).select(
         "order_id", F.explode(F.map_keys(F.from_json("products", "map<string,bigint>"))).alias("item_id"))
     return quality.not_there(added, baskets, ["order_id", "item_id"])
 

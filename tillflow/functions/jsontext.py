@@ -52,3 +52,9 @@ def merge_json(params, **fields: Column) -> Column:
     new = F.create_map(*[x for name, value in fields.items()
                          for x in (F.lit(name), F.parse_json(value))])
     return F.to_json(F.map_concat(old, new))
+
+
+def merge_objects(params, more) -> Column:
+    """All keys of two JSON objects; the second wins."""
+    objects = [F.from_json(F.coalesce(_col(c), F.lit("{}")), "map<string,variant>") for c in (params, more)]
+    return F.to_json(F.map_concat(*objects))

@@ -31,10 +31,11 @@ def braces(ids: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(ids, ", "), F.lit("]"))
 
 
-def order_sets(users: DataFrame, orders: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
+def order_sets(users: DataFrame, orders: DataFrame, page_rows: int = PAGE_ROWS,
+               sized_by: DataFrame | None = None) -> DataFrame:
     """Per user the ids of the orders owned; very long sets come in pages."""
     owned = collect_pages(orders.select("user_id", "order_id").distinct(), "user_id",
-                          F.col("order_id"), "orders", page_rows)
+                          F.col("order_id"), "orders", page_rows, sized_by=sized_by)
     return (users.join(owned, "user_id", "left")
             .withColumn("page", F.coalesce("page", F.lit(0).cast("bigint")))
             .withColumn("orders", F.coalesce(braces(F.col("orders")), F.lit("[]"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillflow import vocabulary as v
-from tillflow.functions.jsontext import field, json_object, quoted, raw
+from tillflow.functions.jsontext import json_object, quoted, raw
 from tillflow.operators.guards import missing_field
 from tillflow.operators.ledger import HOT_ROWS, guarded_ledger
 from tillflow.operators.orders import object_of
@@ -23,21 +23,23 @@ def missing_for_fan_out(params: Column) -> Column:
     return missing_field(params, REQUIRED)
 
 
-def fan_out(messages: DataFrame) -> DataFrame:
+MESSAGE = "products map<string,bigint>, order_id string, user_id string, return_state string"
+
+
+def fan_out(messages: DataFrame, keep: str | None = None) -> DataFrame:
     """One row per product of each message; ``messages`` has request_id and params.
 
     All rows of a message share a batch id and the number of its products. The
-    id is a hash, so a task that runs twice gives the same one.
+    id is a hash, so a task that runs twice gives the same one. ``keep`` names
+    one more column to carry along.
     """
-    order_id, back = field("params", "order_id"), field("params", "return_state")
-    wanted = F.from_json(field("params", "products"), "map<string,bigint>")
-    return (messages.select(
-        "request_id", order_id.alias("order_id"), field("params", "user_id").alias("user_id"),
-        back.alias("return_state"), wanted.alias("wanted_"),
-        F.sha2(F.concat_ws(":", "request_id", order_id, back), 256).alias("batch_id"))
-        .select("request_id", "order_id", "user_id", "return_state", "batch_id",
-                F.size("wanted_").cast("bigint").alias("batch_count"),
-                F.explode("wanted_").alias("item_id", "amount")))
+    kept = ["request_id"] + ([keep] if keep else [])
+    read = messages.select(*kept, F.from_json("params", MESSAGE).alias("m_")).select(*kept, "m_.*")
+    return read.select(
+        *kept, "order_id", "user_id", "return_state",
+        F.sha2(F.concat_ws(":", "request_id", "order_id", "return_state"), 256).alias("batch_id"),
+        F.size("products").cast("bigint").alias("batch_count"),
+        F.explode("products").alias("item_id", "amount"))
 
 
 def batch_progress(items: DataFrame) -> DataFrame:
@@ -46,7 +48,7 @@ def batch_progress(items: DataFrame) -> DataFrame:
             .withColumn("complete", F.col("seen") >= F.col("batch_count")))
 
 
-def collect_batches(items: DataFrame, page_rows: int = 100_000) -> DataFrame:
+def collect_batches(items: DataFrame, page_rows: int = 100_000, sized_by: DataFrame | None = None) -> DataFrame:
     """Join the answers of complete batches into one products object each.
 
     ``items`` has batch_id, batch_count, order_id, user_id, return_state,
@@ -57,7 +59,7 @@ def collect_batches(items: DataFrame, page_rows: int = 100_000) -> DataFrame:
     latest = items.groupBy(*keys).agg(
         F.max_by("passed", "t").alias("passed"), F.count("*").alias("n_"),
         *[F.max(c).alias(c) for c in ("batch_count", "order_id", "user_id", "return_state")])
-    paged = page_of(latest, "batch_id", F.col("item_id"), page_rows)
+    paged = page_of(latest, "batch_id", F.col("item_id"), page_rows, sized_by)
     joined = paged.groupBy("batch_id", "page").agg(
         F.array_sort(F.collect_list(F.struct(F.col("item_id").alias("name"), F.col("passed").alias("value"))))
          .alias("pairs_"),
@@ -79,19 +81,18 @@ def passed(code: Column, amount: Column | None = None) -> Column:
     return F.when(amount.isNotNull(), json_object(state=raw(code), amount=raw(amount))).otherwise(plain)
 
 
-def take_items(takes: DataFrame, stock: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def take_items(takes: DataFrame, stock: DataFrame, hot_rows: int = HOT_ROWS,
+               sized_by: DataFrame | None = None) -> DataFrame:
     """Take amounts from stock in order; code 0 taken, 1 too few left, 2 unknown item or bad amount."""
-    known = stock.select("item_id").withColumn("known_", F.lit(True))
-    marked = takes.join(known, "item_id", "left").withColumn(
-        "valid_", F.col("known_").isNotNull() & (F.col("amount") >= 0)).drop("known_")
-    commands = (marked.where("valid_").drop("valid_").withColumnRenamed("item_id", "key")
-                .withColumn("delta", -F.col("amount")))
+    known = stock.select("item_id", F.lit(True).alias("known_"))
+    valid = F.col("known_").isNotNull() & (F.col("amount") >= 0)
+    commands = (takes.join(known, "item_id", "left").withColumn("valid_", valid).drop("known_")
+                .withColumn("delta", F.when(F.col("valid_"), -F.col("amount")).otherwise(0))  # 0 changes nothing
+                .withColumnRenamed("item_id", "key"))
     opening = stock.select(F.col("item_id").alias("key"), F.col("amount").alias("opening"))
-    ran = (guarded_ledger(commands, opening, hot_rows).drop("delta", "balance")
-           .withColumnRenamed("key", "item_id")
-           .withColumn("code", F.when(F.col("accepted"), v.SUCCESS).otherwise(v.FAILURE)).drop("accepted"))
-    bad = marked.where(~F.col("valid_")).drop("valid_").withColumn("code", F.lit(v.ERROR))
-    return ran.unionByName(bad)
+    code = F.when(~F.col("valid_"), v.ERROR).when(F.col("accepted"), v.SUCCESS).otherwise(v.FAILURE)
+    return (guarded_ledger(commands, opening, hot_rows, sized_by).withColumn("code", code)
+            .drop("delta", "balance", "accepted", "valid_").withColumnRenamed("key", "item_id"))
 
 
 def put_items(puts: DataFrame, stock: DataFrame) -> tuple[DataFrame, DataFrame]:

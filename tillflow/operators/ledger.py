@@ -40,8 +40,7 @@ def guarded_ledger(commands: DataFrame, opening: DataFrame | None = None,
 
     ``commands`` has ``key``, the order (``t``, ``seq``), a signed ``delta``
     and any further columns; ``opening`` has ``key`` and ``opening`` >= 0.
-    ``sized_by`` is a cheaper frame with at least as many rows of each key,
-    to find the hot keys with.
+    ``sized_by`` helps to find the hot keys, see ``skew.hot_keys``.
     """
     return _fold(commands, opening, hot_rows, sized_by, each_command=True)
 
@@ -53,7 +52,7 @@ def guarded_balance(commands: DataFrame, opening: DataFrame | None = None,
 
 
 def _fold(commands, opening, hot_rows, sized_by, each_command):
-    hot, limit = hot_keys(commands if sized_by is None else sized_by, "key", hot_rows)
+    hot, limit = hot_keys(commands, "key", hot_rows, sized_by)
     if not hot:
         return _fold_by_key(commands, opening, each_command)
     hot_part, rest = split_hot(commands, "key", hot)

@@ -19,10 +19,10 @@ def object_of(pairs: Column) -> Column:
         F.transform(pairs, lambda p: F.concat(quoted(p["name"]), F.lit(":"), p["value"])), ","), F.lit("}"))
 
 
-def products(lines: DataFrame, value: Column | None = None, page_rows: int = PAGE_ROWS) -> DataFrame:
+def products(lines: DataFrame, page_rows: int = PAGE_ROWS, sized_by: DataFrame | None = None) -> DataFrame:
     """Per order its items as JSON object, sorted by item; huge orders in pages."""
-    entry = F.struct(F.col("item_id").alias("name"), (raw("qty") if value is None else value).alias("value"))
-    return (collect_pages(lines, "order_id", entry, "pairs", page_rows, extra=[F.count("*").alias("n_items")])
+    entry = F.struct(F.col("item_id").alias("name"), raw("qty").alias("value"))
+    return (collect_pages(lines, "order_id", entry, "pairs", page_rows, [F.count("*").alias("n_items")], sized_by)
             .select("order_id", "page", "n_items", object_of(F.col("pairs")).alias("products")))
 
 
@@ -101,16 +101,18 @@ def order_params(products_text="products") -> Column:
         checkout_status=raw("checkout_status"), checkout_progress=raw("checkout_progress"))
 
 
-def order_view(orders: DataFrame, lines: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
-    listed = products(lines, page_rows=page_rows)
+def order_view(orders: DataFrame, lines: DataFrame, page_rows: int = PAGE_ROWS,
+               sized_by: DataFrame | None = None) -> DataFrame:
+    listed = products(lines, page_rows, sized_by)
     return (orders.join(listed, "order_id", "left")
             .select("order_id", F.coalesce("page", F.lit(0).cast("bigint")).alias("page"),
                     order_params().alias("params")))
 
 
-def checkout_requests(orders: DataFrame, lines: DataFrame, prices: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
+def checkout_requests(orders: DataFrame, lines: DataFrame, prices: DataFrame, page_rows: int = PAGE_ROWS,
+                      sized_by: DataFrame | None = None) -> DataFrame:
     """The two messages a checkout sends: take the stock, and pay."""
-    stock = orders.join(products(lines, page_rows=page_rows), "order_id").select(
+    stock = orders.join(products(lines, page_rows, sized_by), "order_id").select(
         "order_id", F.lit(v.IN_TOPIC[v.STOCK]).alias("topic"), F.lit("batch/subtract").alias("route"),
         F.lit("batch:subtract").alias("state"),
         json_object(products=F.col("products"), order_id=quoted("order_id"), user_id=quoted("user_id"),

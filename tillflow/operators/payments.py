@@ -39,7 +39,7 @@ def order_lookup(requests: DataFrame, orders: DataFrame, prices: DataFrame) -> D
 
 
 def pay_orders(requests: DataFrame, orders: DataFrame, prices: DataFrame, users: DataFrame,
-               hot_rows: int = HOT_ROWS) -> DataFrame:
+               hot_rows: int = HOT_ROWS, sized_by: DataFrame | None = None) -> DataFrame:
     """Pay one request per order, in order (t, seq) per user.
 
     ``users`` holds the existing users with their credits. One pass debits
@@ -54,7 +54,7 @@ def pay_orders(requests: DataFrame, orders: DataFrame, prices: DataFrame, users:
     debits = (checked.where(F.col("reason").isNull()).withColumnRenamed("user_id", "key")
               .withColumn("delta", -F.col("price")))
     opening = users.select(F.col("user_id").alias("key"), F.col("credits").alias("opening"))
-    ran = guarded_ledger(debits, opening, hot_rows).withColumnRenamed("key", "user_id").select(
+    ran = guarded_ledger(debits, opening, hot_rows, sized_by).withColumnRenamed("key", "user_id").select(
         "order_id", "user_id", "price", "seq", "t",
         F.when(F.col("accepted"), PAID).otherwise(FAILED).alias("status"), "balance",
         F.when(~F.col("accepted"), "User does not have enough credits.").alias("reason"))
@@ -103,9 +103,10 @@ def duplicate_payments(requests: DataFrame, settled: DataFrame) -> DataFrame:
     return later.select("seq", "order_id", F.concat(F.lit(v.MANAGED), reason).alias("message"))
 
 
-def checkout_payments(orders: DataFrame, prices: DataFrame, users: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def checkout_payments(orders: DataFrame, prices: DataFrame, users: DataFrame, hot_rows: int = HOT_ROWS,
+                      sized_by: DataFrame | None = None) -> DataFrame:
     """The payment side of a checkout: result code, payment status and message."""
-    paid = pay_orders(orders.select("order_id", "t", "seq"), orders, prices, users, hot_rows)
+    paid = pay_orders(orders.select("order_id", "t", "seq"), orders, prices, users, hot_rows, sized_by)
     message = (F.when(F.col("status") == PAID, "Credits subtracted.")
                 .when(F.col("status") == FAILED, v.NO_CREDITS).otherwise(F.col("message")))
     code = (F.when(F.col("status") == PAID, v.SUCCESS).when(F.col("status") == FAILED, v.FAILURE).otherwise(v.ERROR))

@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 HOT_KEYS_MOST = 100_000
 
 
-def hot_keys(df: DataFrame, key: str, rows_per_key: int) -> tuple[dict, int]:
+def hot_keys(df: DataFrame, key: str, rows_per_key: int, sized_by: DataFrame | None = None) -> tuple[dict, int]:
     """Keys with more than ``rows_per_key`` rows, and the limit really used.
 
+    ``sized_by`` may name a cheaper frame, best a plain table scan, that has at
+    least as many rows of each key in its one column. Its row count, which
+    comes from file footers, often settles that there is no hot key.
+
     Counts combine map-side, so the shuffle carries one row per key and map
     task. The driver gets at most ``HOT_KEYS_MOST`` keys: where more pass the
     limit it is raised, so the answer stays small however big the data is.
     """
+    if sized_by is not None:
+        if sized_by.count() <= rows_per_key:
+            return {}, rows_per_key
+        df, as_text = sized_by, isinstance(df.schema[key].dataType, T.StringType)
+        key = sized_by.columns[0]
+    else:
+        as_text = False
     sizes = df.groupBy(key).agg(F.count("*").alias("rows_"))
     while True:
         found = sizes.where(F.col("rows_") > rows_per_key).limit(HOT_KEYS_MOST + 1).collect()
         if len(found) <= HOT_KEYS_MOST:
-            return {r[0]: r[1] for r in found}, rows_per_key
+            return {str(r[0]) if as_text else r[0]: r[1] for r in found}, rows_per_key
         rows_per_key *= 10
 
 
@@ -29,27 +40,27 @@ def split_hot(df: DataFrame, key: str, hot: dict) -> tuple[DataFrame, DataFrame]
     return df.join(names, key, "left_semi"), df.join(names, key, "left_anti")
 
 
-def page_of(df: DataFrame, key: str, item: Column, page_rows: int) -> DataFrame:
+def page_of(df: DataFrame, key: str, item: Column, page_rows: int, sized_by: DataFrame | None = None) -> DataFrame:
     """Add ``page``: 0 for ordinary keys, a hash of the item for hot ones.
 
     Grouping by (key, page) then never gathers much more than ``page_rows``
     items in one array, and no item is left out.
     """
-    hot, limit = hot_keys(df, key, page_rows)
+    hot, limit = hot_keys(df, key, page_rows, sized_by)
     if not hot:
         return df.withColumn("page", F.lit(0).cast("bigint"))
     pages = df.sparkSession.createDataFrame(
-        [(k, 1 + 2 * n // limit) for k, n in hot.items()], f"{df.select(key).schema[0].name} "
-        f"{df.select(key).schema[0].dataType.simpleString()}, pages_ bigint")
+        [(k, 1 + 2 * n // limit) for k, n in hot.items()],
+        T.StructType([df.schema[key], T.StructField("pages_", T.LongType())]))
     return (df.join(F.broadcast(pages), key, "left")
               .withColumn("page", F.pmod(F.xxhash64(item), F.coalesce("pages_", F.lit(1).cast("bigint"))))
               .drop("pages_"))
 
 
 def collect_pages(df: DataFrame, key: str, entry: Column, alias: str,
-                  page_rows: int = 100_000, extra=()) -> DataFrame:
+                  page_rows: int = 100_000, extra=(), sized_by: DataFrame | None = None) -> DataFrame:
     """One sorted array of entries per (key, page)."""
     entry_name = "entry_"
-    paged = page_of(df.withColumn(entry_name, entry), key, F.col(entry_name), page_rows)
+    paged = page_of(df.withColumn(entry_name, entry), key, F.col(entry_name), page_rows, sized_by)
     return (paged.groupBy(key, "page")
                  .agg(F.array_sort(F.collect_list(entry_name)).alias(alias), *extra))

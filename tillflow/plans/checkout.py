@@ -21,29 +21,34 @@ def order_prices(lines: DataFrame) -> DataFrame:
     return lines.groupBy("order_id").agg(F.sum("qty").alias("price"), F.count("*").alias("n_items"))
 
 
-def reserve_stock(lines: DataFrame, orders: DataFrame, items: DataFrame, hot_rows=HOT_ROWS) -> DataFrame:
+def reserve_stock(lines: DataFrame, orders: DataFrame, items: DataFrame, hot_rows=HOT_ROWS,
+                  sized_by: DataFrame | None = None) -> DataFrame:
     """Take every line from stock in order; ``accepted`` says whether it fitted."""
     takes = (lines.join(orders.select("order_id", "seq", "t"), "order_id")
              .select(F.col("item_id").alias("key"), "t", "seq", (-F.col("qty")).alias("delta"), "order_id", "qty"))
     return guarded_ledger(takes, items.select(F.col("item_id").alias("key"), F.col("amount").alias("opening")),
-                          hot_rows, sized_by=lines.select(F.col("item_id").alias("key"))
+                          hot_rows, lines.select("item_id") if sized_by is None else sized_by
                           ).withColumnRenamed("key", "item_id")
 
 
-def debit_users(prices: DataFrame, orders: DataFrame, users: DataFrame, hot_rows=HOT_ROWS) -> DataFrame:
+def debit_users(prices: DataFrame, orders: DataFrame, users: DataFrame, hot_rows=HOT_ROWS,
+                sized_by: DataFrame | None = None) -> DataFrame:
     debits = (prices.join(orders.select("order_id", "seq", "t", "user_id"), "order_id")
               .select(F.col("user_id").alias("key"), "t", "seq", (-F.col("price")).alias("delta"),
                       "order_id", "price", "n_items"))
     return guarded_ledger(debits, users.select(F.col("user_id").alias("key"), F.col("credits").alias("opening")),
-                          hot_rows, sized_by=orders.select(F.col("user_id").alias("key"))
+                          hot_rows, orders.select("user_id") if sized_by is None else sized_by
                           ).withColumnRenamed("key", "user_id")
 
 
 def checkout(lines: DataFrame, orders: DataFrame, items: DataFrame, users: DataFrame,
-             hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per order: what happened and what has to be given back."""
+             hot_rows: int = HOT_ROWS, item_sizes: DataFrame | None = None) -> DataFrame:
+    """One row per order: what happened and what has to be given back.
+
+    ``item_sizes`` may be a cheap scan of the items ordered, see ``skew.hot_keys``.
+    """
     paid = debit_users(order_prices(lines), orders, users, hot_rows)
-    taken = (reserve_stock(lines, orders, items, hot_rows).groupBy("order_id")
+    taken = (reserve_stock(lines, orders, items, hot_rows, item_sizes).groupBy("order_id")
              .agg(F.bool_and("accepted").alias("stock_ok"),
                   F.count_if(~F.col("accepted")).alias("failed_items"),
                   F.sum(F.when(F.col("accepted"), F.col("qty")).otherwise(0)).alias("taken_qty")))
@@ -93,7 +98,8 @@ def compensations(result: DataFrame) -> DataFrame:
         ask("refund", v.IN_TOPIC[v.PAYMENT], "orders/checkout", "replenish-payment"))
 
 
-def checkout_log(stock: DataFrame, payments: DataFrame, page_rows: int = 100_000) -> DataFrame:
+def checkout_log(stock: DataFrame, payments: DataFrame, page_rows: int = 100_000,
+                 sized_by: DataFrame | None = None) -> DataFrame:
     """Per order the reasons of its failure as a JSON array, sorted.
 
     ``stock`` (order_id, item_id, code), ``payments`` (order_id, code, message).
@@ -105,7 +111,7 @@ def checkout_log(stock: DataFrame, payments: DataFrame, page_rows: int = 100_000
                    "order_id", "code", F.coalesce("message", F.lit("Insufficient funds.")).alias("message"))))
     entry = json_object(message=quoted("message"), status=quoted(name_of(F.col("code"), v.OPERATION_RESULT)),
                         status_code=raw("code"))
-    return collect_pages(reasons, "order_id", entry, "entries_", page_rows).select(
+    return collect_pages(reasons, "order_id", entry, "entries_", page_rows, sized_by=sized_by).select(
         "order_id", "page", F.concat(F.lit("["), F.array_join("entries_", ","), F.lit("]")).alias("log"))
 
 

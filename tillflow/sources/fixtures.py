@@ -72,10 +72,16 @@ def orders0(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lines0(spark: SparkSession, folder: str) -> DataFrame:
-    return (table(spark, folder, "lineitem")
-            .groupBy(F.col("l_orderkey").cast("string").alias("order_id"),
-                     F.col("l_partkey").cast("string").alias("item_id"))
-            .agg(F.sum("l_quantity").cast("bigint").alias("qty")))
+    # grouped on the numbers: cheaper to hash and to shuffle than their text
+    return (table(spark, folder, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("qty"))
+            .select(F.col("l_orderkey").cast("string").alias("order_id"),
+                    F.col("l_partkey").cast("string").alias("item_id"), F.col("qty").cast("bigint").alias("qty")))
+
+
+def size_of(spark: SparkSession, folder: str, column: str) -> DataFrame:
+    """One key column of a table, to find hot keys with."""
+    name = {"l": "lineitem", "o": "orders", "c": "customer", "p": "part"}.get(column[0], "events")
+    return table(spark, folder, "events" if column == "user_id" else name).select(column)
 
 
 def request_params(commands: DataFrame) -> Column:
