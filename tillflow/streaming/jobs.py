@@ -17,8 +17,9 @@ from tillflow.sources import bus as buses
 from tillflow.streaming import processors as p, rules
 
 PASSED = "map<string, struct<state:int, amount:bigint>>"
+RESULTS = {"items": "x.key", "codes": "x.value.state", "amounts": "x.value.amount"}  # parallel arrays
 KERNEL_COLUMNS = ["key", "ts", "seq", "rule", "text", "value", "user_id", "order_id", "item_id",
-                  "amount", "price", "code", "note", "passed"]
+                  "amount", "price", "code", "note", *RESULTS]
 
 
 def keyed_messages(records: DataFrame, service: str) -> DataFrame:
@@ -43,7 +44,8 @@ def keyed_messages(records: DataFrame, service: str) -> DataFrame:
         field(params, "item_id").alias("item_id"),
         F.coalesce(number("amount"), F.lit(0).cast("bigint")).alias("amount"), number("price").alias("price"),
         number("state").cast("int").alias("code"), field(params, "message").alias("note"),
-        F.from_json(field(params, "products"), PASSED).alias("passed"))
+        *[F.expr(f"transform(map_entries(from_json(get_json_object(params, '$.products'), '{PASSED}')), x -> {part})")
+          .alias(name) for name, part in RESULTS.items()])
 
 
 def answers(outcomes: DataFrame, service: str) -> DataFrame:
