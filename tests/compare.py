@@ -69,7 +69,7 @@ def session(cpus: int = 8):
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("tillflow")
              .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
              .config("spark.driver.memory", "8g").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("FATAL")  # state stores log noisy errors when a session ends
     return spark
 
 
