@@ -15,8 +15,8 @@ def _col(c) -> Column:
 
 def quoted(c) -> Column:
     """A string column as a JSON string, or JSON null."""
-    text = F.to_json(F.array(_col(c)))
-    return F.when(_col(c).isNull(), F.lit("null")).otherwise(F.substr(text, F.lit(2), F.length(text) - 2))
+    # the one-element array without its brackets; they end at the quotes or at null
+    return F.btrim(F.to_json(F.array(_col(c))), F.lit("[]"))
 
 
 def raw(c) -> Column:

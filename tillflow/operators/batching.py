@@ -39,7 +39,8 @@ def fan_out(messages: DataFrame, keep: str | None = None) -> DataFrame:
         *kept, "order_id", "user_id", "return_state",
         F.sha2(F.concat_ws(":", "request_id", "order_id", "return_state"), 256).alias("batch_id"),
         F.size("products").cast("bigint").alias("batch_count"),
-        F.explode("products").alias("item_id", "amount"))
+        # a plain explode would have the JSON parsed once more, to filter on its size
+        F.explode_outer("products").alias("item_id", "amount")).where(F.col("item_id").isNotNull())
 
 
 def batch_progress(items: DataFrame) -> DataFrame:
