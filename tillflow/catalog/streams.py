@@ -6,7 +6,7 @@ from tillflow import vocabulary as v
 from tillflow.catalog import query
 from tillflow.catalog.accounts import NOT_FOUND, existing_users
 from tillflow.catalog.batches import BATCH_ITEMS, SEEN, batch_items
-from tillflow.catalog.orders import ITEM_THERE, OPEN, USER_THERE, checked_orders
+from tillflow.catalog.orders import ITEM_THERE, OPEN, USER_THERE, checked_orders, listed_products
 from tillflow.catalog.payments import ASKED, PAY_FOLD, pay_requests
 from tillflow.catalog.views import sql
 from tillflow.functions import envelope as env
@@ -68,14 +68,14 @@ def user_snapshot(users):
 
 
 def order_snapshot(spark, folder, paid=True, status=True, checked=True):
-    """Orders one row per item; the flags say which of their columns are taken over."""
-    lines = lines0(spark, folder)
+    """Orders with their baskets; the flags say which of their columns are taken over."""
     orders = checked_orders(spark, folder)
-    return orders.join(lines, "order_id", "left").select(
+    return orders.join(listed_products(spark, folder), "order_id", "left").select(
         F.col("order_id").alias("key"), "user_id",
         (F.col("user_checked") if checked else F.lit(True)).alias("user_checked"),
         (F.col("is_paid") if paid else F.lit(False)).alias("is_paid"),
-        (F.col("checkout_status") if status else F.lit(v.NOT_PROCESSED)).alias("checkout_status"), "item_id", "qty")
+        (F.col("checkout_status") if status else F.lit(v.NOT_PROCESSED)).alias("checkout_status"),
+        F.coalesce("page", F.lit(0).cast("bigint")).alias("page"), F.coalesce("products", F.lit("{}")).alias("products"))
 
 
 USER_OPEN = {

@@ -49,14 +49,6 @@ def put(state, old, new):
         state.update(new)
 
 
-def put_map(state, old, new):
-    for name in old.keys() - new.keys():
-        state.removeKey((name,))
-    for name, value in new.items():
-        if old.get(name) != value:
-            state.updateValue((name,), (value,))
-
-
 class UserProcessor(Keyed):
     """Balance and owned orders of a user; the orders are only read for a view."""
 
@@ -137,7 +129,8 @@ class PaymentProcessor(Keyed):
 class OrderProcessor(Keyed):
     """Order state, and a timer per running checkout.
 
-    Products are a map state: a change writes one entry, however long the list.
+    The basket, and what a running checkout holds and has logged, are JSON
+    text: every message needs them whole, and one call reads or writes them.
     """
 
     def __init__(self, timers: bool):
@@ -147,29 +140,30 @@ class OrderProcessor(Keyed):
         self.handle = handle
         self.head = handle.getValueState(
             "head", "user_id string, checked boolean, paid boolean, status int, progress int")
-        self.products = handle.getMapState("products", "item_id string", "qty bigint")
-        self.held = handle.getMapState("held", "item_id string", "amount bigint")
-        self.log = handle.getListState("log", "message string, code int")
+        self.products = handle.getValueState("products", "items string")
+        self.running = handle.getValueState("running", "held string, log string")
         self.waiting = handle.getValueState("waiting", "value string, ts timestamp, seq bigint")
 
     def handleInitialState(self, key, initialState, timerValues):
-        """One row per item of the order, or one row with no item."""
+        """One row per order; a very long basket comes in several, by page."""
         s = initialState
+        found = self.products.get() if s.page else None
+        more = {**json.loads(found[0]), **json.loads(s.products)} if found else None
         self.head.update((s.user_id, s.user_checked, s.is_paid, s.checkout_status, 0))
-        if s.item_id is not None:
-            self.products.updateValue((s.item_id,), (s.qty,))
+        self.products.update((json.dumps(more) if more else s.products,))
 
     def load(self, key):
         head = self.head.get()
-        self.order, self.head_was = None, tuple(head) if head else None
-        self.products_were, self.held_was, self.log_was = {}, {}, []
+        self.order = self.head_was = self.products_were = self.running_was = None
         if head:
-            self.products_were = {k[0]: q[0] for k, q in self.products.iterator()}
-            running = head[3] == v.IN_PROGRESS
-            if running:  # only a running checkout holds stock or has a log
-                self.held_was = {k[0]: a[0] for k, a in self.held.iterator()}
-                self.log_was = [tuple(e) for e in self.log.get()]
-            self.order = kernels.Order(*head, dict(self.products_were), dict(self.held_was), list(self.log_was))
+            self.head_was, products = tuple(head), self.products.get()
+            self.products_were = tuple(products) if products else None
+            if head[3] == v.IN_PROGRESS:
+                found = self.running.get()
+                self.running_was = tuple(found) if found else None
+            held, log = self.running_was or ("{}", "[]")
+            self.order = kernels.Order(*head, json.loads(products[0]) if products else {}, json.loads(held),
+                                       [tuple(entry) for entry in json.loads(log)])
 
     def apply(self, key, m):
         self.order, answers = kernels.order_step(self.order, key, m)
@@ -180,13 +174,9 @@ class OrderProcessor(Keyed):
 
     def store(self, key):
         o = self.order
-        head = (o.user_id, o.checked, o.paid, o.status, o.progress) if o else None
-        put(self.head, self.head_was, head)
-        put_map(self.products, self.products_were, o.products if o else {})
-        put_map(self.held, self.held_was, o.held if o else {})
-        log = list(o.log) if o else []
-        if log != self.log_was:
-            self.log.put(log) if log else self.log.clear()
+        put(self.head, self.head_was, (o.user_id, o.checked, o.paid, o.status, o.progress) if o else None)
+        put(self.products, self.products_were, (json.dumps(o.products),) if o and o.products else None)
+        put(self.running, self.running_was, (json.dumps(o.held), json.dumps(o.log)) if o and (o.held or o.log) else None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.load(key[0])
@@ -216,26 +206,30 @@ class FanInProcessor(StatefulProcessor):
         self.done = handle.getValueState("done", "yes boolean")
 
     def handleInputRows(self, key, rows, timerValues):
-        if self.done.exists():
+        if self.window_ms is not None and self.done.exists():
             return
         found = self.seen.get()
         n, of, value, ts, seq = found if found else (0, None, None, None, None)
         if not found and self.window_ms is not None:
             self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.window_ms)
+        passes = {}
         for m in sorted(rows, key=lambda r: (r.ts, r.seq, r.item_id)):
             if value is None:
                 of, value, ts, seq = m.batch_count, m.value, m.ts, m.seq
-            self.passes.updateValue((m.item_id,), (m.passed,))
+            passes[m.item_id] = m.passed
             n += 1
-        if n < of:
+        if n < of:  # only an incomplete batch is put into state
+            for item, passed in passes.items():
+                self.passes.updateValue((item,), (passed,))
             self.seen.update((n, of, value, ts, seq))
             return
-        passes = dict(sorted((k[0], p[0]) for k, p in self.passes.iterator()))
-        products = ",".join(f"{json.dumps(item)}:{passed}" for item, passed in passes.items())
-        self.seen.clear()
-        self.passes.clear()
+        if found:
+            passes = {**{k[0]: p[0] for k, p in self.passes.iterator()}, **passes}
+            self.seen.clear()
+            self.passes.clear()
         if self.window_ms is not None:  # the timer forgets it again
             self.done.update((True,))
+        products = ",".join(f"{json.dumps(item)}:{passed}" for item, passed in sorted(passes.items()))
         yield Row(batch_id=key[0], value=value, ts=ts, seq=seq, complete=True, seen=n, products="{" + products + "}")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
