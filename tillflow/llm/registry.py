@@ -1,0 +1,31 @@
+"""The registered queries of this subpackage."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tillflow.llm.frames import settings
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query over the given tables; ``sql`` computes the same rows."""
+    def add(fn):
+        @wraps(fn)
+        def run(spark, folder):
+            return fn(settings(spark), folder)
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLES[name] = sql
+        return run
+    return add
+
+
+def load() -> None:
+    """Import every module that registers queries."""
+    from tillflow.llm import decontaminate, simhash, urlrules  # noqa: F401
