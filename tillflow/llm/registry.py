@@ -28,4 +28,5 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers queries."""
-    from tillflow.llm import decontaminate, simhash, urlrules  # noqa: F401
+    from tillflow.llm import (  # noqa: F401
+        bpe, decontaminate, simhash, tokencounts, tokenfiles, urlrules)
