@@ -178,6 +178,10 @@ def build(toxic: list[bytes], clean: list[bytes]) -> Model:
     return best[1]
 
 
+def fold(id_col: str):
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
+
+
 def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Model:
     """Learns from labelled documents outside the held-out fold, those whose ids have the smallest hashes."""
     known = labels.where(F.col("toxic").isNotNull() & (fold(id_col) != HELD_FOLD)).groupBy(id_col).agg(
