@@ -29,4 +29,4 @@ def query(name: str, sql: str | None = None):
 def load() -> None:
     """Import every module that registers queries."""
     from tillflow.llm import (  # noqa: F401
-        bpe, decontaminate, simhash, tokencounts, tokenfiles, toxicity, urlrules)
+        bpe, contexttree, decontaminate, simhash, tokencounts, tokenfiles, toxicity, urlrules)
