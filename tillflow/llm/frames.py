@@ -33,6 +33,18 @@ def texts(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     return df.select(*keys, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def sampled(df: DataFrame, id_col: str, most: int, longest: int) -> list[str]:
+    """The non-empty texts of up to ``longest`` bytes among the rows with the ``most`` smallest hashes of ids.
+
+    Ids are chosen before any text is read; both the ids and the texts that
+    come to the driver are bounded by the parameters.
+    """
+    hashed = F.xxhash64(F.col(id_col).cast("string"))
+    ids = df.select(id_col).where(F.col(id_col).isNotNull()).distinct().orderBy(hashed, id_col).limit(most)
+    rows = df.where(F.octet_length("text").between(1, longest)).join(F.broadcast(ids), id_col, "left_semi")
+    return [r.text for r in rows.orderBy(hashed, id_col, "text").limit(most).select("text").collect()]
+
+
 def map_texts(df: DataFrame, fn: Callable[[list[str]], dict[str, list]], schema: str) -> DataFrame:
     """Add the columns that ``fn`` makes of a batch's texts and drop the text.
 

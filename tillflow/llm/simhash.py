@@ -137,21 +137,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", crowded: int = CROW
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each group: the smallest id, of equal ids the smallest text.
+    """``docs`` with one row of each group: the smallest id, of equal ids the smallest row.
 
-    Groups without any id keep their smallest text.
+    A group without any id keeps its smallest row. All columns stay as they are.
     """
-    groups = near_duplicates(docs, id_col).select(id_col, "component_id")
-    heads = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    kept = docs.join(heads, docs[id_col].eqNullSafe(heads[id_col]), "left_semi")
-    return one_row_each(kept, id_col)
-
-
-def one_row_each(docs: DataFrame, id_col: str) -> DataFrame:
-    """Repeated ids: the row whose columns, as one structure, are smallest."""
+    groups = written(near_duplicates(docs, id_col), "groups")
+    heads = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count("*").alias("rows"))
+    heads = written(heads.withColumnRenamed(id_col, "_head"), "heads")
+
+    def of(chosen: DataFrame) -> DataFrame:
+        return docs.join(chosen, docs[id_col].eqNullSafe(F.col("_head")), "left_semi")
+
+    kept = of(heads.where("rows = 1"))
+    repeated = heads.where("rows > 1")
+    if repeated.isEmpty():
+        return kept
+    # rare: only rows of repeated ids are compared as a whole
     others = [c for c in docs.columns if c != id_col]
-    least = docs.groupBy(id_col).agg(F.min(F.struct(*others)).alias("_row"))
-    return least.select(*[F.col(id_col) if c == id_col else F.col("_row")[c].alias(c) for c in docs.columns])
+    least = of(repeated).groupBy(id_col).agg(F.min(F.struct(*others)).alias("_row"))
+    return kept.unionByName(least.select(*[F.col(id_col) if c == id_col else F.col("_row")[c].alias(c) for c in docs.columns]))
 
 
 @query("op1_simhash")
