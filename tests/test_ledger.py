@@ -86,3 +86,20 @@ def test_pieces_extend(deltas, start, data):
         for d in deltas:
             b = b + d if b + d >= 0 else b
         assert b == other + state[3]
+
+
+def test_hot_and_ordinary_keys_give_the_same_with_gaps(spark):
+    """Openings that repeat, keys without commands, and commands without key or delta."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", "c", None]), i // 3, i, rng.choice([None, *range(-9, 10)])) for i in range(400)]
+    commands = spark.createDataFrame(rows, "key string, t bigint, seq bigint, delta bigint")
+    opening = spark.createDataFrame([("a", 6), ("a", 5), ("h", 9), (None, 3)], "key string, opening bigint")
+    sizes = spark.createDataFrame([(k,) for k in ["a", "b", "h", None] for _ in range(60)], "key string")
+    for fold in (ledger.guarded_ledger, ledger.guarded_balance):
+        plain = fold(commands, opening)
+        split = fold(commands, opening, hot_rows=40, sized_by=sizes)
+        same = sorted(plain.columns)
+        assert sorted(map(repr, plain.select(*same).collect())) == sorted(map(repr, split.select(*same).collect()))
+    done = ledger.guarded_ledger(commands, opening)
+    assert done.count() == 400 and done.where("accepted and (key is null or delta is null)").count() == 0
+    assert {r.key: (r.balance, r.n_accepted) for r in ledger.guarded_balance(commands, opening).collect()}["h"] == (9, 0)

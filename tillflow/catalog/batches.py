@@ -19,8 +19,7 @@ BATCH_ID = "sha256(order_id || ':' || order_id || ':send-stock')"
 def stock_messages(spark, folder):
     """The stock request of every checkout, keyed by request id = order id."""
     lines = lines0(spark, folder)
-    sent = ops.checkout_requests(orders0(spark, folder), lines, plan.order_prices(lines),
-                                 sized_by=size_of(spark, folder, "l_orderkey"))
+    sent = ops.checkout_requests(orders0(spark, folder), lines, plan.order_prices(lines))
     return sent.where(F.col("topic") == "stock_in").select(F.col("order_id").alias("request_id"), "params")
 
 
@@ -65,21 +64,13 @@ def incomplete_batches(spark, folder):
 
 
 @query("batch_collect", sql("""
-    SELECT batch_id, CAST(0 AS BIGINT) page, max(order_id) order_id, 'send-stock' state,
+    SELECT batch_id, max(order_id) order_id, 'send-stock' state,
            '{"order_id":"' || max(order_id) || '","user_id":"' || max(user_id) || '","products":{' || string_agg(
                '"' || item_id || '":{"state":0,"amount":' || qty || '}', ',' ORDER BY item_id) || '}}' params
     FROM batch_items GROUP BY 1 HAVING count(*) >= max(batch_count)""",
     "prices", "orders0", batch_items=BATCH_ITEMS))
 def batch_collect(spark, folder):
-    return batching.collect_batches(batch_items(spark, folder), sized_by=batch_sizes(spark, folder, "b", ""))
-
-
-def batch_sizes(spark, folder, before, after):
-    """The batch id of every order line, for both ways ids are made here."""
-    order_id = F.col("l_orderkey").cast("string")
-    return size_of(spark, folder, "l_orderkey").select(
-        F.sha2(F.concat(F.lit(before), order_id, *([F.lit(":"), order_id, F.lit(after)] if after else [])), 256)
-        .alias("batch_id"))
+    return batching.collect_batches(batch_items(spark, folder))
 
 
 def taken(spark, folder):
@@ -94,15 +85,14 @@ PASSED = """CASE WHEN ok THEN '{"state":0,"amount":' || qty || '}' ELSE '{"state
 
 
 @query("stock_batch", sql(f"""
-    SELECT {BATCH_ID} batch_id, CAST(0 AS BIGINT) page, order_id, 'send-stock' state,
+    SELECT {BATCH_ID} batch_id, order_id, 'send-stock' state,
            '{{"order_id":"' || order_id || '","user_id":"' || max(user_id) || '","products":{{' || string_agg(
                '"' || item_id || '":' || {PASSED}, ',' ORDER BY item_id) || '}}}}' params
     FROM item_fold JOIN orders0 USING (order_id) GROUP BY order_id""", "item_fold", "orders0"))
 def stock_batch(spark, folder):
     done = taken(spark, folder)
     amount = F.when(F.col("code") == v.SUCCESS, F.col("amount"))
-    return batching.collect_batches(done.withColumn("passed", batching.passed(F.col("code"), amount)),
-                                    sized_by=batch_sizes(spark, folder, "", ":send-stock"))
+    return batching.collect_batches(done.withColumn("passed", batching.passed(F.col("code"), amount)))
 
 
 @query("stock_outcome", sql("""
@@ -116,15 +106,14 @@ def stock_outcome(spark, folder):
 
 
 @query("refund_map", sql("""
-    SELECT order_id, CAST(0 AS BIGINT) page, '{' || string_agg('"' || item_id || '":' || qty, ',' ORDER BY item_id) || '}' refunds
+    SELECT order_id, '{' || string_agg('"' || item_id || '":' || qty, ',' ORDER BY item_id) || '}' refunds
     FROM item_fold JOIN saga USING (order_id) WHERE ok AND NOT is_paid GROUP BY 1""", "item_fold", "saga"))
 def refund_map(spark, folder):
     back = saga(spark, folder).where(~F.col("is_paid"))
     held = plan.reserve_stock(lines0(spark, folder), orders0(spark, folder), items0(spark, folder),
                               sized_by=size_of(spark, folder, "l_partkey")).where("accepted")
-    return (ops.products(held.select("order_id", "item_id", "qty").join(back, "order_id", "left_semi"),
-                         sized_by=size_of(spark, folder, "l_orderkey"))
-            .select("order_id", "page", F.col("products").alias("refunds")))
+    return (ops.products(held.select("order_id", "item_id", "qty").join(back, "order_id", "left_semi"))
+            .select("order_id", F.col("products").alias("refunds")))
 
 
 @query("restock", sql("""
@@ -177,7 +166,7 @@ def compensations(spark, folder):
 
 
 @query("checkout_log", sql("""
-    SELECT order_id, CAST(0 AS BIGINT) page, '[' || string_agg(entry, ',' ORDER BY entry) || ']' log FROM (
+    SELECT order_id, '[' || string_agg(entry, ',' ORDER BY entry) || ']' log FROM (
         SELECT order_id, '{"message":"Not enough items in stock: ' || item_id || '","status":"FAILURE","status_code":1}' entry
         FROM item_fold WHERE NOT ok
         UNION ALL SELECT order_id, '{"message":"Not enough credits.","status":"FAILURE","status_code":1}'
@@ -189,8 +178,7 @@ def checkout_log(spark, folder):
     paid = (plan.debit_users(plan.order_prices(lines), orders, users0(spark, folder))
             .withColumns({"code": F.when(F.col("accepted"), v.SUCCESS).otherwise(v.FAILURE),
                           "message": F.lit(v.NO_CREDITS)}))
-    return plan.checkout_log(stock, paid, sized_by=size_of(spark, folder, "l_orderkey").unionAll(
-        size_of(spark, folder, "o_orderkey")))
+    return plan.checkout_log(stock, paid)
 
 
 @query("checkout_outcomes", sql("""

@@ -40,6 +40,23 @@ def correlate(spark, folder):
         micros(F.col("response_ts")).alias("response_at"), "answered")
 
 
+@query("correlate_answer", sql("""
+    SELECT request_id, epoch_us(first.ts) response_at, first.result result, first.message message, first.params params
+    FROM (SELECT req.request_id, min({'ts': l_shipdate, 'result': CASE WHEN l_returnflag = 'R' THEN 'failure' WHEN l_returnflag IS NOT NULL THEN 'success' END,
+                                      'message': l_linestatus, 'params': '{"item_id":"' || l_partkey || '"}'}) AS first
+          FROM req LEFT JOIN lineitem ON CAST(l_orderkey AS VARCHAR) = req.request_id AND l_shipdate >= request_ts
+              AND l_shipdate <= request_ts + INTERVAL 180 DAY GROUP BY 1)""", **PAIRS))
+def correlate_answer(spark, folder):
+    """What each request is answered: result, message and params of its first response in time."""
+    said = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("request_id"), F.col("l_shipdate").alias("response_ts"),
+        F.when(F.col("l_returnflag") == "R", "failure").otherwise("success").alias("result"),
+        F.col("l_linestatus").alias("message"),
+        F.concat(F.lit('{"item_id":"'), F.col("l_partkey").cast("string"), F.lit('"}')).alias("params"))
+    return ops.correlate(requests(spark, folder), said, TIMEOUT).select(
+        "request_id", micros(F.col("response_ts")).alias("response_at"), "result", "message", "params")
+
+
 @query("orphan_responses", sql("""
     SELECT request_id, epoch_us(response_ts) response_at FROM resp
     WHERE request_id NOT IN (SELECT request_id FROM req)""", **PAIRS))

@@ -75,7 +75,7 @@ def order_snapshot(spark, folder, paid=True, status=True, checked=True):
         (F.col("user_checked") if checked else F.lit(True)).alias("user_checked"),
         (F.col("is_paid") if paid else F.lit(False)).alias("is_paid"),
         (F.col("checkout_status") if status else F.lit(v.NOT_PROCESSED)).alias("checkout_status"),
-        F.coalesce("page", F.lit(0).cast("bigint")).alias("page"), F.coalesce("products", F.lit("{}")).alias("products"))
+        F.coalesce("products", F.lit("{}")).alias("products"))
 
 
 USER_OPEN = {

@@ -7,9 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tillflow import vocabulary as v
 from tillflow.functions.jsontext import json_object, quoted, raw
 from tillflow.operators.guards import can_remove
-from tillflow.operators.skew import collect_pages
-
-PAGE_ROWS = 100_000
+from tillflow.operators.skew import collect_sorted
 
 
 def create_once(requests: DataFrame, key: str, created: str, taken: str) -> DataFrame:
@@ -31,13 +29,10 @@ def braces(ids: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(ids, ", "), F.lit("]"))
 
 
-def order_sets(users: DataFrame, orders: DataFrame, page_rows: int = PAGE_ROWS,
-               sized_by: DataFrame | None = None) -> DataFrame:
-    """Per user the ids of the orders owned; very long sets come in pages."""
-    owned = collect_pages(orders.select("user_id", "order_id").distinct(), "user_id",
-                          F.col("order_id"), "orders", page_rows, sized_by=sized_by)
+def order_sets(users: DataFrame, orders: DataFrame) -> DataFrame:
+    """Per user the ids of the orders owned."""
+    owned = collect_sorted(orders.select("user_id", "order_id").distinct(), "user_id", F.col("order_id"), "orders")
     return (users.join(owned, "user_id", "left")
-            .withColumn("page", F.coalesce("page", F.lit(0).cast("bigint")))
             .withColumn("orders", F.coalesce(braces(F.col("orders")), F.lit("[]"))))
 
 

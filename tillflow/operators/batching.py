@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tillflow import vocabulary as v
 from tillflow.functions.jsontext import json_object, quoted, raw
 from tillflow.operators.guards import missing_field
 from tillflow.operators.ledger import HOT_ROWS, guarded_ledger
 from tillflow.operators.orders import object_of
-from tillflow.operators.skew import page_of
 
 # fixed values: what a fan-out message must carry
 REQUIRED = {
@@ -44,32 +43,29 @@ def fan_out(messages: DataFrame, keep: str | None = None) -> DataFrame:
 
 
 def batch_progress(items: DataFrame) -> DataFrame:
-    """Per batch how many of its items came back, and whether that is all."""
-    return (items.groupBy("batch_id").agg(F.count("*").alias("seen"), F.max("batch_count").alias("batch_count"))
+    """Per batch how many different items came back, and whether that is all."""
+    return (items.groupBy("batch_id").agg(F.count_distinct("item_id").alias("seen"), F.max("batch_count").alias("batch_count"))
             .withColumn("complete", F.col("seen") >= F.col("batch_count")))
 
 
-def collect_batches(items: DataFrame, page_rows: int = 100_000, sized_by: DataFrame | None = None) -> DataFrame:
+def collect_batches(items: DataFrame) -> DataFrame:
     """Join the answers of complete batches into one products object each.
 
     ``items`` has batch_id, batch_count, order_id, user_id, return_state,
     item_id, ``t`` and ``passed`` (the answer as JSON). Of several answers for
-    one item the latest counts. Batches with very many items come in pages.
+    one item the latest counts. A batch is handed on once, as one message.
     """
     keys = ["batch_id", "item_id"]
     latest = items.groupBy(*keys).agg(
-        F.max_by("passed", "t").alias("passed"), F.count("*").alias("n_"),
+        F.max_by("passed", "t").alias("passed"),
         *[F.max(c).alias(c) for c in ("batch_count", "order_id", "user_id", "return_state")])
-    paged = page_of(latest, "batch_id", F.col("item_id"), page_rows, sized_by)
-    joined = paged.groupBy("batch_id", "page").agg(
+    joined = latest.groupBy("batch_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("item_id").alias("name"), F.col("passed").alias("value"))))
          .alias("pairs_"),
-        F.sum("n_").alias("seen_"),
+        F.count("*").alias("seen_"),
         *[F.max(c).alias(c) for c in ("batch_count", "order_id", "user_id", "return_state")])
-    # a batch has as many rows here as it has pages
-    whole = F.sum("seen_").over(Window.partitionBy("batch_id")) >= F.col("batch_count")
-    return joined.withColumn("whole_", whole).where("whole_").select(
-        "batch_id", "page", "order_id", F.col("return_state").alias("state"),
+    return joined.where(F.col("seen_") >= F.col("batch_count")).select(
+        "batch_id", "order_id", F.col("return_state").alias("state"),
         json_object(order_id=quoted("order_id"), user_id=quoted("user_id"),
                     products=object_of(F.col("pairs_"))).alias("params"))
 

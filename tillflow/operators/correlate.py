@@ -11,16 +11,19 @@ def in_time(timeout: str) -> Column:
 
 
 def correlate(requests: DataFrame, responses: DataFrame, timeout: str = "60 seconds") -> DataFrame:
-    """Each request with the time of its first response; later ones are ignored.
+    """Each request with its first response in time; later ones are ignored.
 
     ``requests`` (unique request_id, request_ts), ``responses`` (request_id,
-    response_ts). Responses are reduced to one row per request before the
+    response_ts and what the response says: result, message, params or any
+    other columns, which come along; of equal times the smallest). Responses are reduced to one row per request before the
     outer join, so a request with very many responses stays cheap: the inner
     join may be split on the response side and the minimum combines map-side.
     """
+    said = [c for c in responses.columns if c not in ("request_id", "response_ts")]
     first = (responses.join(requests.select("request_id", "request_ts"), "request_id")
              .where(in_time(timeout))
-             .groupBy("request_id").agg(F.min("response_ts").alias("response_ts")))
+             .groupBy("request_id").agg(F.min(F.struct("response_ts", *said)).alias("first_"))
+             .select("request_id", "first_.*"))
     return requests.join(first, "request_id", "left").withColumn("answered", F.col("response_ts").isNotNull())
 
 
@@ -29,7 +32,8 @@ def orphan_responses(responses: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def timed_out(requests: DataFrame, responses: DataFrame, timeout: str = "60 seconds") -> DataFrame:
-    return correlate(requests, responses, timeout).where(~F.col("answered")).drop("response_ts", "answered")
+    return correlate(requests, responses.select("request_id", "response_ts"), timeout).where(~F.col("answered")).drop(
+        "response_ts", "answered")
 
 
 def dedup_requests(requests: DataFrame) -> DataFrame:

@@ -39,7 +39,9 @@ def guarded_ledger(commands: DataFrame, opening: DataFrame | None = None,
     """Every command with ``accepted`` and the ``balance`` after it.
 
     ``commands`` has ``key``, the order (``t``, ``seq``), a signed ``delta``
-    and any further columns; ``opening`` has ``key`` and ``opening`` >= 0.
+    and any further columns; ``opening`` has ``key`` and ``opening`` >= 0;
+    several openings of a key add up. A command without key or delta is never
+    accepted and changes nothing.
     ``sized_by`` helps to find the hot keys, see ``skew.hot_keys``.
     """
     return _fold(commands, opening, hot_rows, sized_by, each_command=True)
@@ -47,11 +49,17 @@ def guarded_ledger(commands: DataFrame, opening: DataFrame | None = None,
 
 def guarded_balance(commands: DataFrame, opening: DataFrame | None = None,
                     hot_rows: int = HOT_ROWS, sized_by: DataFrame | None = None) -> DataFrame:
-    """Per key the final ``balance`` and the counts of accepted and rejected."""
-    return _fold(commands.select("key", "t", "seq", "delta"), opening, hot_rows, sized_by, each_command=False)
+    """Per key the final ``balance`` and the counts of accepted and rejected.
+
+    Keys that only have an opening keep it; rows without key are left out.
+    """
+    commands = commands.where(F.col("key").isNotNull()).select("key", "t", "seq", "delta")
+    return _fold(commands, opening, hot_rows, sized_by, each_command=False)
 
 
 def _fold(commands, opening, hot_rows, sized_by, each_command):
+    if opening is not None:
+        opening = opening.where(F.col("key").isNotNull())
     hot, limit = hot_keys(commands, "key", hot_rows, sized_by)
     if not hot:
         return _fold_by_key(commands, opening, each_command)
@@ -84,7 +92,8 @@ def _schema(commands, each_command):
 
 def _fold_by_key(commands, opening, each_command):
     rows = (_as_commands(commands, opening)
-            .repartition("key")
+            # rows without key need no order, so they are spread
+            .repartition("key", F.when(F.col("key").isNull(), F.xxhash64("t", "seq")))
             .sortWithinPartitions("key", F.col("is_opening").desc(), "t", "seq"))
     if not each_command:
         rows = rows.select("key", "delta", "is_opening")
@@ -119,6 +128,13 @@ def apply_guard(delta: np.ndarray, starts: np.ndarray, first: int):
     return accepted, balance
 
 
+def _deltas(batch) -> tuple[np.ndarray, np.ndarray]:
+    """The changes, 0 where key or delta is missing, and which rows are whole."""
+    whole = pc.and_(pc.is_valid(batch.column("key")), pc.is_valid(batch.column("delta")))
+    delta = pc.if_else(whole, batch.column("delta"), pa.scalar(0, batch.column("delta").type))
+    return delta.to_numpy(zero_copy_only=False), whole.to_numpy(zero_copy_only=False)
+
+
 def _runs(batches: Iterator[pa.RecordBatch]):
     """Guarded batches, with the balance of the last key carried along."""
     last_key, carried = None, 0
@@ -126,12 +142,12 @@ def _runs(batches: Iterator[pa.RecordBatch]):
         if not batch.num_rows:
             continue
         keys = batch.column("key")
-        codes = pc.dictionary_encode(keys).indices.to_numpy()
+        codes = pc.fill_null(pc.dictionary_encode(keys).indices, -1).to_numpy(zero_copy_only=False)
         starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
         same = keys[0].as_py() == last_key
-        delta = batch.column("delta").to_numpy()
+        delta, whole = _deltas(batch)
         accepted, balance = apply_guard(delta, starts, carried if same else 0)
-        yield batch, keys, starts, same, accepted, balance
+        yield batch, keys, starts, same, accepted & whole, balance
         last_key, carried = keys[-1].as_py(), int(balance[-1])
 
 
@@ -203,7 +219,8 @@ def _fold_in_chunks(commands, opening, chunks, each_command):
     stored = written(cut, "ledger-chunks", "chunk")
     starts_at = {}
     if opening is not None:
-        starts_at = {r.key: r.opening for r in opening.collect()}  # one row per hot key
+        # one row per hot key
+        starts_at = {r.key: r.opening for r in opening.groupBy("key").agg(F.sum("opening").alias("opening")).collect()}
 
     # a start no history can exhaust, and the emptiest one
     pieces: dict[tuple, list] = {}
@@ -223,7 +240,11 @@ def _fold_in_chunks(commands, opening, chunks, each_command):
             break
     begin = spark.createDataFrame(
         [(c, k, b) for (c, k), b in known.items()], f"chunk bigint, key {key_type}, start bigint")
-    return _emit(stored, begin, commands, each_command)
+    done = _emit(stored, begin, commands, each_command)
+    idle = [(k, b, 0, 0) for k, b in starts_at.items() if k not in {key for _, key in pieces}]
+    if each_command or not idle:
+        return done
+    return done.unionByName(spark.createDataFrame(idle, _schema(commands, False)))
 
 
 def _walk(pieces, starts_at):
@@ -273,7 +294,7 @@ def _replay(stored, starts, guesses, key_type):
             for _, _, part in parts:
                 tries = guesses or [part.column("start")[0].as_py()]
                 state = state or [(b, 0, UNBOUNDED, 0) for b in tries]
-                delta = part.column("delta").to_numpy()
+                delta, _ = _deltas(part)
                 state = [_extend(s, delta) for s in state]
             yield pa.RecordBatch.from_pylist(
                 [{"chunk": chunk, "key": key, "lo": lo, "hi": hi, "shift": shift}
@@ -300,10 +321,10 @@ def _emit(stored, begin, commands, each_command):
         for chunk, key, part in _stretches(batches):
             if (chunk, key) != last:
                 last, now = (chunk, key), part.column("start")[0].as_py()
-            delta = part.column("delta").to_numpy()
+            delta, whole = _deltas(part)
             accepted, balance = apply_guard(delta, np.array([0]), now)
             now = int(balance[-1])
-            columns = [part.column(n) for n in names] + [pa.array(accepted), pa.array(balance)]
+            columns = [part.column(n) for n in names] + [pa.array(accepted & whole), pa.array(balance)]
             out = pa.RecordBatch.from_arrays(columns, names=[*names, "accepted", "balance"])
             yield out if each_command else out.append_column("chunk", part.column("chunk"))
 

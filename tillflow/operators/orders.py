@@ -8,9 +8,7 @@ from tillflow import vocabulary as v
 from tillflow.functions.jsontext import json_object, quoted, raw
 from tillflow.operators.guards import can_modify, can_remove
 from tillflow.operators.routing import first_reason
-from tillflow.operators.skew import collect_pages
-
-PAGE_ROWS = 100_000
+from tillflow.operators.skew import collect_sorted
 
 
 def object_of(pairs: Column) -> Column:
@@ -19,11 +17,11 @@ def object_of(pairs: Column) -> Column:
         F.transform(pairs, lambda p: F.concat(quoted(p["name"]), F.lit(":"), p["value"])), ","), F.lit("}"))
 
 
-def products(lines: DataFrame, page_rows: int = PAGE_ROWS, sized_by: DataFrame | None = None) -> DataFrame:
-    """Per order its items as JSON object, sorted by item; huge orders in pages."""
+def products(lines: DataFrame) -> DataFrame:
+    """Per order its items as JSON object, sorted by item."""
     entry = F.struct(F.col("item_id").alias("name"), raw("qty").alias("value"))
-    return (collect_pages(lines, "order_id", entry, "pairs", page_rows, [F.count("*").alias("n_items")], sized_by)
-            .select("order_id", "page", "n_items", object_of(F.col("pairs")).alias("products")))
+    return (collect_sorted(lines, "order_id", entry, "pairs", [F.count("*").alias("n_items")])
+            .select("order_id", "n_items", object_of(F.col("pairs")).alias("products")))
 
 
 def outcome(reason: Column, success: str, *failures: str) -> tuple[Column, Column]:
@@ -101,18 +99,13 @@ def order_params(products_text="products") -> Column:
         checkout_status=raw("checkout_status"), checkout_progress=raw("checkout_progress"))
 
 
-def order_view(orders: DataFrame, lines: DataFrame, page_rows: int = PAGE_ROWS,
-               sized_by: DataFrame | None = None) -> DataFrame:
-    listed = products(lines, page_rows, sized_by)
-    return (orders.join(listed, "order_id", "left")
-            .select("order_id", F.coalesce("page", F.lit(0).cast("bigint")).alias("page"),
-                    order_params().alias("params")))
+def order_view(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    return orders.join(products(lines), "order_id", "left").select("order_id", order_params().alias("params"))
 
 
-def checkout_requests(orders: DataFrame, lines: DataFrame, prices: DataFrame, page_rows: int = PAGE_ROWS,
-                      sized_by: DataFrame | None = None) -> DataFrame:
+def checkout_requests(orders: DataFrame, lines: DataFrame, prices: DataFrame) -> DataFrame:
     """The two messages a checkout sends: take the stock, and pay."""
-    stock = orders.join(products(lines, page_rows, sized_by), "order_id").select(
+    stock = orders.join(products(lines), "order_id").select(
         "order_id", F.lit(v.IN_TOPIC[v.STOCK]).alias("topic"), F.lit("batch/subtract").alias("route"),
         F.lit("batch:subtract").alias("state"),
         json_object(products=F.col("products"), order_id=quoted("order_id"), user_id=quoted("user_id"),

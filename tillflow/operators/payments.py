@@ -11,6 +11,8 @@ from tillflow.operators.guards import payment_price_reason
 from tillflow.operators.ledger import HOT_ROWS, guarded_ledger
 from tillflow.operators.routing import first_reason
 
+# fixed values: why a payment is not started again
+UNDER_WAY, CONCLUDED = "Payment is already being executed.", "Payment already concluded."
 INVALID, PAID, FAILED, CANCELLED, PROCESSING = range(5)  # codes of vocabulary.PAYMENT_STATUS
 
 
@@ -39,12 +41,24 @@ def order_lookup(requests: DataFrame, orders: DataFrame, prices: DataFrame) -> D
 
 
 def pay_orders(requests: DataFrame, orders: DataFrame, prices: DataFrame, users: DataFrame,
-               hot_rows: int = HOT_ROWS, sized_by: DataFrame | None = None) -> DataFrame:
-    """Pay one request per order, in order (t, seq) per user.
+               hot_rows: int = HOT_ROWS, sized_by: DataFrame | None = None, unique: bool = False) -> DataFrame:
+    """Pay the first request of each order, in order (t, seq) per user.
 
     ``users`` holds the existing users with their credits. One pass debits
     those that pass every check; the rest is refused with the first reason.
+    Later requests of an order (``seq`` is unique) are errors and move nothing:
+    its payment is concluded, or was still under way. ``unique`` promises that
+    there are none, as for the one payment of a checkout.
     """
+    if not unique:
+        once = first_of_each(requests, "order_id")
+        ran = pay_orders(requests.join(once, "seq", "left_semi"), orders, prices, users, hot_rows, sized_by, True)
+        again = requests.join(once, "seq", "left_anti").select("order_id", "seq", "t").join(
+            ran.select("order_id", "user_id", "price", "status"), "order_id")
+        reason = F.when(F.col("status") == PAID, CONCLUDED).otherwise(UNDER_WAY)
+        return ran.unionByName(again.select(
+            "order_id", "user_id", "price", "seq", "t", "status", F.lit("error").alias("result"),
+            F.concat(F.lit(v.MANAGED), reason).alias("message")), allowMissingColumns=True)
     asked = order_lookup(requests, orders, prices)
     known = users.select("user_id", F.lit(True).alias("known_"))
     checked = asked.join(known, "user_id", "left").withColumn("reason", first_reason(
@@ -67,20 +81,32 @@ def pay_orders(requests: DataFrame, orders: DataFrame, prices: DataFrame, users:
         F.coalesce("reason", F.lit("Payment completed, user credits subtracted.")).alias("message"))
 
 
+def first_of_each(requests: DataFrame, key: str) -> DataFrame:
+    """The ``seq`` of the first request (t, seq) of each key."""
+    first = requests.groupBy(key).agg(F.min(F.struct("t", "seq")).alias("first_"))
+    return first.select(F.col("first_.seq").alias("seq"))
+
+
 def cancel_payments(requests: DataFrame, payments: DataFrame, orders: DataFrame, users: DataFrame) -> DataFrame:
-    """Cancel paid payments: the recorded price goes back to the user."""
+    """Cancel paid payments: the recorded price goes back to the user.
+
+    ``requests`` has order_id, t and a unique seq. Only the first request of a
+    payment can cancel it; by the later ones it is no longer paid.
+    """
     state = payments.select("order_id", "user_id", "price", "status")
     known_orders = orders.select("order_id", F.lit(True).alias("order_"))
     known_users = users.select("user_id", F.lit(True).alias("user_"))
-    joined = (requests.select("order_id").join(state, "order_id", "left")
+    first = first_of_each(requests, "order_id").withColumn("first_", F.lit(True))
+    joined = (requests.select("order_id", "seq").join(first, "seq", "left").join(state, "order_id", "left")
               .join(known_orders, "order_id", "left").join(known_users, "user_id", "left"))
     errors = first_reason((F.col("status").isNull(), v.not_found("payment")),
-                          (F.col("status") != PAID, "Cannot cancel payment."))
+                          ((F.col("status") != PAID) | F.col("first_").isNull(), "Cannot cancel payment."))
     failures = first_reason((F.col("order_").isNull(), "Order does not exist anymore."),
                             (F.col("user_").isNull(), "User does not exist anymore."))
     fine = errors.isNull() & failures.isNull()
     return joined.select(
-        "order_id", F.when(fine, CANCELLED).otherwise(F.col("status")).alias("status"),
+        "order_id", "seq", F.when(fine | (F.col("status") == PAID) & F.col("first_").isNull() & failures.isNull(), CANCELLED)
+        .otherwise(F.col("status")).alias("status"),
         F.when(fine, F.col("price")).otherwise(F.lit(0).cast("bigint")).alias("refund"),
         F.when(fine, "success").when(errors.isNotNull(), "error").otherwise("failure").alias("result"),
         F.when(fine, "Payment cancelled. User credits refunded.")
@@ -94,19 +120,17 @@ def duplicate_payments(requests: DataFrame, settled: DataFrame) -> DataFrame:
     the payment is still under way. A payment that ended unpaid may be tried
     again, so such a request has no reason.
     """
-    first = requests.groupBy("order_id").agg(F.min(F.struct("t", "seq")).alias("first_"))
-    first = first.select(F.col("first_.seq").alias("seq"))
-    later = requests.join(first, "seq", "left_anti").join(settled, "order_id", "left")
+    later = requests.join(first_of_each(requests, "order_id"), "seq", "left_anti").join(settled, "order_id", "left")
     reason = first_reason(
-        (F.col("settled_at").isNull() | (F.col("t") < F.col("settled_at")), "Payment is already being executed."),
-        (F.col("status") == PAID, "Payment already concluded."))
+        (F.col("settled_at").isNull() | (F.col("t") < F.col("settled_at")), UNDER_WAY),
+        (F.col("status") == PAID, CONCLUDED))
     return later.select("seq", "order_id", F.concat(F.lit(v.MANAGED), reason).alias("message"))
 
 
 def checkout_payments(orders: DataFrame, prices: DataFrame, users: DataFrame, hot_rows: int = HOT_ROWS,
                       sized_by: DataFrame | None = None) -> DataFrame:
     """The payment side of a checkout: result code, payment status and message."""
-    paid = pay_orders(orders.select("order_id", "t", "seq"), orders, prices, users, hot_rows, sized_by)
+    paid = pay_orders(orders.select("order_id", "t", "seq"), orders, prices, users, hot_rows, sized_by, unique=True)
     message = (F.when(F.col("status") == PAID, "Credits subtracted.")
                 .when(F.col("status") == FAILED, v.NO_CREDITS).otherwise(F.col("message")))
     code = (F.when(F.col("status") == PAID, v.SUCCESS).when(F.col("status") == FAILED, v.FAILURE).otherwise(v.ERROR))

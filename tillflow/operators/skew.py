@@ -25,7 +25,7 @@ def hot_keys(df: DataFrame, key: str, rows_per_key: int, sized_by: DataFrame | N
         key = sized_by.columns[0]
     else:
         as_text = False
-    sizes = df.groupBy(key).agg(F.count("*").alias("rows_"))
+    sizes = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows_"))
     while True:
         found = sizes.where(F.col("rows_") > rows_per_key).limit(HOT_KEYS_MOST + 1).collect()
         if len(found) <= HOT_KEYS_MOST:
@@ -40,27 +40,6 @@ def split_hot(df: DataFrame, key: str, hot: dict) -> tuple[DataFrame, DataFrame]
     return df.join(names, key, "left_semi"), df.join(names, key, "left_anti")
 
 
-def page_of(df: DataFrame, key: str, item: Column, page_rows: int, sized_by: DataFrame | None = None) -> DataFrame:
-    """Add ``page``: 0 for ordinary keys, a hash of the item for hot ones.
-
-    Grouping by (key, page) then never gathers much more than ``page_rows``
-    items in one array, and no item is left out.
-    """
-    hot, limit = hot_keys(df, key, page_rows, sized_by)
-    if not hot:
-        return df.withColumn("page", F.lit(0).cast("bigint"))
-    pages = df.sparkSession.createDataFrame(
-        [(k, 1 + 2 * n // limit) for k, n in hot.items()],
-        T.StructType([df.schema[key], T.StructField("pages_", T.LongType())]))
-    return (df.join(F.broadcast(pages), key, "left")
-              .withColumn("page", F.pmod(F.xxhash64(item), F.coalesce("pages_", F.lit(1).cast("bigint"))))
-              .drop("pages_"))
-
-
-def collect_pages(df: DataFrame, key: str, entry: Column, alias: str,
-                  page_rows: int = 100_000, extra=(), sized_by: DataFrame | None = None) -> DataFrame:
-    """One sorted array of entries per (key, page)."""
-    entry_name = "entry_"
-    paged = page_of(df.withColumn(entry_name, entry), key, F.col(entry_name), page_rows, sized_by)
-    return (paged.groupBy(key, "page")
-                 .agg(F.array_sort(F.collect_list(entry_name)).alias(alias), *extra))
+def collect_sorted(df: DataFrame, key: str, entry: Column, alias: str, extra=()) -> DataFrame:
+    """One sorted array of entries per key, whatever its size: it becomes one message or one answer."""
+    return df.withColumn("entry_", entry).groupBy(key).agg(F.array_sort(F.collect_list("entry_")).alias(alias), *extra)

@@ -10,9 +10,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """The same table as a file stream: new files of that name are new rows."""
-    reader = (spark.readStream.schema(table(spark, folder, name).schema)
-              .option("pathGlobFilter", f"{name}*.parquet"))
+    """The same table as a file stream: new files are new rows.
+
+    A table stored as a folder of part files is streamed from that folder, one
+    stored as a single file by its exact name. A missing table is an error.
+    """
+    reader = spark.readStream.schema(table(spark, folder, name).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    path = f"{folder}/{name}.parquet"
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether the path is a folder, on any file system that Spark reads; raises if there is nothing."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(there).isDirectory()

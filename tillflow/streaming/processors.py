@@ -145,9 +145,9 @@ class OrderProcessor(Keyed):
         self.waiting = handle.getValueState("waiting", "value string, ts timestamp, seq bigint")
 
     def handleInitialState(self, key, initialState, timerValues):
-        """One row per order; a very long basket comes in several, by page."""
+        """One row per order; baskets of several rows are merged, whatever their order."""
         s = initialState
-        found = self.products.get() if s.page else None
+        found = self.products.get() if self.products.exists() else None
         more = {**json.loads(found[0]), **json.loads(s.products)} if found else None
         self.head.update((s.user_id, s.user_checked, s.is_paid, s.checkout_status, 0))
         self.products.update((json.dumps(more) if more else s.products,))
