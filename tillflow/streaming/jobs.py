@@ -64,7 +64,7 @@ def answers(outcomes: DataFrame, service: str) -> DataFrame:
         rows, F.lit(service), F.col("kind"),
         F.when(F.col("to_route") == rules.SAME, F.col("state.route")).otherwise(F.col("to_route")),
         F.when(F.col("to_token") == rules.SAME, F.col("state.state")).otherwise(F.col("to_token")),
-        F.col("new_params"), F.when(refused, F.concat(F.lit(v.MANAGED), text)).otherwise(text))
+        F.col("new_params"), F.when(refused & ~text.startswith(v.UNMANAGED), F.concat(F.lit(v.MANAGED), text)).otherwise(text))
     return sent.select(F.coalesce("to_topic", F.lit(v.DEFAULT_OUT_TOPIC)).alias("topic"),
                        env.serialize_envelope().alias("value"), "ts", "seq")
 

@@ -23,7 +23,11 @@ class Keyed(StatefulProcessor):
                 known_route = m.text is not None
                 answers = [("refused" if known_route else "unknown_route", {}, m.text)]
             else:
-                answers = self.apply(key[0], m)
+                try:
+                    answers = self.apply(key[0], m)
+                except Exception as e:  # noqa: BLE001 - one bad message must not end the job
+                    # kernels look everything up before they change anything, so the state is as it was
+                    answers = [("refused", {}, f"{v.UNMANAGED}{type(e).__name__}: {e}")]
             for outcome, extra, text in answers:
                 yield self.row(m.value, m.ts, m.seq, m.rule, outcome, extra, text)
         self.store(key[0])
