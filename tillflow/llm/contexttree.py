@@ -155,7 +155,7 @@ def _zeros_and_ones(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     zeros, ones = np.zeros_like(counts), np.zeros_like(counts)
     sums = counts
     for bit in range(8):  # the last bit first
-        sums = sums.reshape(len(counts), -1, 2)
+        sums = sums.reshape(len(counts), 128 >> bit, 2)
         width = sums.shape[1]
         zeros[:, width:2 * width], ones[:, width:2 * width] = sums[:, :, 0], sums[:, :, 1]
         sums = sums.sum(axis=2)
@@ -227,7 +227,7 @@ def weigh(levels: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         leaf_at = sum(map(len, logs))
         level["id"][leaves] = -1 - (leaf_at + np.arange(len(leaves)))
         logs.append(_byte_logs(level["sum"][leaves] + level["left"][leaves] * level["kt"][leaves]))
-        if d:
+        if d and n:
             above, parent = levels[d - 1], level["parent"]
             byte = (level["codes"] >> (8 * (d - 1))) & 255
             children[d - 1][above["id"][parent], byte] = level["id"]
