@@ -88,3 +88,16 @@ def test_unknown_items_and_bad_amounts_take_nothing(spark):
     stock = spark.createDataFrame([("a", 5)], "item_id string, amount bigint")
     got = {r.order_id: r.code for r in batching.take_items(takes, stock).collect()}
     assert got == {"o1": 0, "o2": 2, "o3": 2, "o4": 1, "o5": 0}
+
+
+def test_checks_notice_one_wrong_row(spark):
+    from tillflow.operators import quality
+    moves = spark.createDataFrame([("a", -3, True), ("a", 2, True), ("a", -9, False), ("b", -1, True)], "key string, delta bigint, accepted boolean")
+    opening = spark.createDataFrame([("a", 10), ("b", 4), ("c", 1)], "key string, opening bigint")
+    closing = spark.createDataFrame([("a", 9), ("b", 3), ("c", 1)], "key string, balance bigint")
+    assert all(r.conserved for r in quality.conserved(moves, closing, opening).collect())
+    broken = closing.withColumn("balance", F.when(F.col("key") == "b", 4).otherwise(F.col("balance")))
+    assert [r.key for r in quality.conserved(moves, broken, opening).where("not conserved").collect()] == ["b"]
+    gone = spark.createDataFrame([("o1",), ("o2",)], "order_id string")
+    assert tuple(quality.still_there(gone, gone.where("order_id = 'o2'"), ["order_id"]).first()) == (2, 1)
+    assert tuple(quality.not_there(gone, gone.where("order_id = 'o2'"), ["order_id"]).first()) == (2, 1)

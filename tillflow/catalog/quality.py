@@ -26,18 +26,23 @@ def dq_credit_conserved(spark, folder):
 
 
 @query("dq_stock_conserved", sql("""
-    SELECT item_id key, -coalesce(s.sold, 0) change, CAST(0 AS BIGINT) added, coalesce(s.sold, 0) subtracted, true conserved
-    FROM items0 LEFT JOIN (SELECT item_id, CAST(sum(qty) AS BIGINT) sold FROM lines0
-                           WHERE order_id IN (SELECT order_id FROM saga WHERE is_paid) GROUP BY 1) s USING (item_id)""",
-    "items0", "saga"))
+    SELECT item_id key, coalesce(s.back, 0) - coalesce(s.taken, 0) change, coalesce(s.back, 0) added,
+           coalesce(s.taken, 0) subtracted, true conserved
+    FROM items0 LEFT JOIN (SELECT item_id, CAST(sum(qty) AS BIGINT) taken,
+                                  coalesce(CAST(sum(qty) FILTER (NOT is_paid) AS BIGINT), 0) back
+                           FROM item_fold JOIN saga USING (order_id) WHERE ok GROUP BY 1) s USING (item_id)""",
+    "items0", "item_fold", "saga"))
 def dq_stock_conserved(spark, folder):
+    """The stock after all checkouts, from the orders that were bought, against what the ledger took and got back."""
     lines, items = lines0(spark, folder), items0(spark, folder).select("item_id", "amount")
     result = saga(spark, folder)
     closing = plan.stock_after(result, lines, items).select(F.col("item_id").alias("key"), F.col("amount").alias("balance"))
-    bought = lines.join(result.select("order_id", "is_paid"), "order_id").select(
-        F.col("item_id").alias("key"), (-F.col("qty")).alias("delta"), F.col("is_paid").alias("accepted"))
+    taken = plan.reserve_stock(lines, orders0(spark, folder), items, sized_by=size_of(spark, folder, "l_partkey"))
+    moves = taken.where("accepted").join(result.select("order_id", "is_paid"), "order_id").select(
+        F.col("item_id").alias("key"), "accepted", F.explode(F.when(F.col("is_paid"), F.array(-F.col("qty")))
+                                                             .otherwise(F.array(-F.col("qty"), F.col("qty")))).alias("delta"))
     opening = items.select(F.col("item_id").alias("key"), F.col("amount").alias("opening"))
-    return quality.conserved(bought, closing, opening)
+    return quality.conserved(moves, closing, opening)
 
 
 @query("dq_removed_orders", sql("""
