@@ -302,10 +302,8 @@ def late_rows(spark, folder):
         commands.where(part).write.mode("append").parquet(f"{path}/in")
         stream = (spark.readStream.schema(commands.schema).parquet(f"{path}/in")
                   .withWatermark("ts", "0 seconds").dropDuplicates(["seq", "ts"]))
-        running = (stream.writeStream.format("parquet").option("path", f"{path}/out")
-                   .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
-        running.awaitTermination()
-        late += analytics.late_rows(running)
+        late += analytics.late_rows(spark, stream.writeStream.format("parquet").option("path", f"{path}/out")
+                                    .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True))
     return spark.read.schema(commands.schema).parquet(f"{path}/out").agg(
         (F.count("*") + F.lit(late)).alias("n_rows"), F.lit(late).cast("bigint").alias("n_late"))
 

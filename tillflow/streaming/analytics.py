@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+from collections import Counter, defaultdict
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 
 from tillflow.operators.correlate import in_time
 
@@ -47,6 +51,40 @@ def dedup_stream(requests: DataFrame, ts: str, lateness: str) -> DataFrame:
     return requests.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(["request_id"])
 
 
-def late_rows(query) -> int:
-    """How many rows a finished stream dropped because they came after the watermark."""
-    return sum(op["numRowsDroppedByWatermark"] for step in query.recentProgress for op in step["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Counts, per query, the rows dropped because they came after the watermark.
+
+    The count grows with every micro-batch's report, so it does not depend on
+    how many reports the session keeps.
+    """
+
+    def __init__(self):
+        self.dropped: Counter = Counter()
+        self.ended: defaultdict = defaultdict(threading.Event)
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        self.dropped[str(event.progress.runId)] += sum(
+            op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.ended[str(event.runId)].set()
+
+
+def late_rows(spark: SparkSession, writer: DataStreamWriter, timeout: float = 120) -> int:
+    """Run a stream to its end; how many rows it dropped as late."""
+    listener = LateRows()
+    spark.streams.addListener(listener)
+    try:
+        query = writer.start()
+        query.awaitTermination()
+        if not listener.ended[str(query.runId)].wait(timeout):
+            raise TimeoutError("the stream's last report did not come")
+        return listener.dropped[str(query.runId)]
+    finally:
+        spark.streams.removeListener(listener)
