@@ -45,6 +45,16 @@ def test_one_row_each(odd, labels, spark, tmp_path):
     assert {tuple(r)[1:] for r in judged.collect()} == {("", "", None, "allow")}
 
 
+def test_one_row_of_each_group_where_ids_repeat(spark):
+    frames.settings(spark)
+    long = "some words that stand here in a row " * 3
+    rows = [(1, long), (1, "something else"), (0, "something else"), (2, long), (None, "only without id"),
+            (None, "only without id"), (None, long), (3, "three"), (3, "three")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n long")
+    got = sorted((tuple(r) for r in simhash.drop_near_duplicates(docs).collect()), key=lambda r: r[2])
+    assert got == [(1, long, 0), (0, "something else", 2), (None, "only without id", 4), (3, "three", 7)]
+
+
 def test_empty_tables(spark, odd, labels, tmp_path):
     none = odd.limit(0)
     benchmark = spark.createDataFrame([], "item_id long, text string")

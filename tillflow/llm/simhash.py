@@ -10,9 +10,11 @@ fingerprints share is cut again, by the same rule, in the bits it left open.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillflow.llm.components import components
 from tillflow.llm.frames import map_texts, table, texts
@@ -118,7 +120,7 @@ def near_pairs(distinct_bits: DataFrame, crowded: int = CROWDED) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", crowded: int = CROWDED) -> DataFrame:
-    """``(id, bits, component_id)`` for every row: fingerprint and group.
+    """``(id, bits, component_id, root)`` for every row: fingerprint, group, and the group's smallest fingerprint.
 
     Rows with at most three different bits are linked; component_id is the
     smallest id reachable. Null and blank texts have fingerprint 0 and are
@@ -132,8 +134,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", crowded: int = CROW
     rooted = distinct.join(roots.withColumnRenamed("node", "bits"), "bits", "left")
     rooted = rooted.select("bits", "first", F.coalesce("root", "bits").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = rooted.join(smallest, "root").select("bits", "component_id")
-    return every.join(groups, "bits").select(id_col, "bits", "component_id")
+    groups = rooted.join(smallest, "root").select("bits", "component_id", "root")
+    return every.join(groups, "bits").select(id_col, "bits", "component_id", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -142,20 +144,30 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     A group without any id keeps its smallest row. All columns stay as they are.
     """
     groups = written(near_duplicates(docs, id_col), "groups")
-    heads = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count("*").alias("rows"))
-    heads = written(heads.withColumnRenamed(id_col, "_head"), "heads")
-
-    def of(chosen: DataFrame) -> DataFrame:
-        return docs.join(chosen, docs[id_col].eqNullSafe(F.col("_head")), "left_semi")
-
-    kept = of(heads.where("rows = 1"))
-    repeated = heads.where("rows > 1")
-    if repeated.isEmpty():
+    heads = F.col(id_col).eqNullSafe(F.col("component_id")) | F.col("component_id").isNull()
+    several = groups.groupBy(id_col).agg(F.count("*").alias("rows_")).where(f"rows_ > 1 or `{id_col}` is null")
+    several = written(several.select(F.col(id_col).alias("_several")), "several")
+    clear = groups.where(heads & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_head"))
+    clear = clear.join(several, F.col("_head") == F.col("_several"), "left_anti")
+    kept = docs.join(clear, docs[id_col] == F.col("_head"), "left_semi")
+    if several.isEmpty():
         return kept
-    # rare: only rows of repeated ids are compared as a whole
-    others = [c for c in docs.columns if c != id_col]
-    least = of(repeated).groupBy(id_col).agg(F.min(F.struct(*others)).alias("_row"))
-    return kept.unionByName(least.select(*[F.col(id_col) if c == id_col else F.col("_row")[c].alias(c) for c in docs.columns]))
+    # rare: an id that several rows have, or none at all, does not say which row is meant; the fingerprint does
+    unsure = with_bits(docs.join(several, docs[id_col].eqNullSafe(F.col("_several")), "left_semi"))
+    chosen = groups.where(heads).select(F.col(id_col).alias("_id"), F.col("bits").alias("_own"), F.col("root").alias("_root")).distinct()
+    least = (unsure.join(chosen, unsure[id_col].eqNullSafe(F.col("_id")) & (F.col("_bits") == F.col("_own")))
+             .groupBy("_root").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("_row")))
+    return kept.unionByName(least.select(*[F.col("_row")[c].alias(c) for c in docs.columns]))
+
+
+def with_bits(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` and each text's fingerprint as ``_bits``."""
+    def run(batches):
+        for batch in batches:
+            texts_ = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            bits = pa.array([fingerprint(t or "") for t in texts_], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, bits], names=[*batch.schema.names, "_bits"])
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_bits", T.LongType())]))
 
 
 @query("op1_simhash")
