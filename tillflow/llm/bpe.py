@@ -147,7 +147,7 @@ def codec(ranks_path: str) -> tuple[PrefixBpe, units.Parts]:
     """The worker's encoder and its memory of parts."""
     def make():
         bpe = PrefixBpe(load_ranks(ranks_path), public_tokenizers.PATTERN)
-        return bpe, units.Parts(lambda part: np.array(bpe.encode(part), "<u4").tobytes(), 500_000)
+        return bpe, units.Parts(units.packed(bpe.encode, 4), 500_000)
     return kept(f"bpe {ranks_path}", make)
 
 

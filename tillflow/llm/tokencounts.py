@@ -72,8 +72,8 @@ def count_tokens(tok, parts: units.Parts, text: str) -> int:
 
 def _parts(path: str) -> units.Parts:
     tok = tokenizer(path)
-    return kept(f"parts {path}", lambda: units.Parts(
-        lambda part: np.array(tok.encode(part, add_special_tokens=False).ids, "<u4").tobytes()))
+    return kept(f"parts {path}", lambda: units.Parts(units.packed(
+        lambda part: tok.encode(part, add_special_tokens=False).ids, 4)))
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", limit: int = LIMIT, path: str | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tillflow.llm import units
-from tillflow.llm.frames import kept, map_texts, table, texts
+from tillflow.llm.frames import kept, map_texts, sampled, table, texts
 from tillflow.llm.registry import query
 from tillflow.llm.tokencounts import VOCABULARY, tokenizer
 from tillflow.session import fresh_path, written
@@ -65,9 +65,9 @@ class Coder:
 
     def serialize(self, text: str) -> bytes:
         """The ids of a text and the end id, each in ``width`` bytes, little-endian."""
-        tok, kind = tokenizer(self.path), f"<u{self.width}"
-        parts = kept(f"parts {self.path} {kind}", lambda: units.Parts(
-            lambda part: np.array(tok.encode(part, add_special_tokens=False).ids, kind).tobytes()))
+        tok = tokenizer(self.path)
+        parts = kept(f"parts {self.path} {self.width}", lambda: units.Parts(units.packed(
+            lambda part: tok.encode(part, add_special_tokens=False).ids, self.width)))
         return units.encode(text, parts) + END_ID.to_bytes(self.width, "little")
 
     def ids(self, frame: bytes) -> np.ndarray:
@@ -79,10 +79,9 @@ def trained(docs: DataFrame, path: str, id_col: str) -> Coder:
     from tokenizers import Tokenizer
     width = 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
     plain = Coder(path, width, b"")
-    short = texts(docs, id_col).where(F.octet_length("text").between(1, SAMPLE_BYTES))
-    sample = short.orderBy(F.xxhash64(F.col(id_col).cast("string")), "text").limit(SAMPLE_DOCS).select("text").collect()
+    sample = sampled(texts(docs, id_col), id_col, SAMPLE_DOCS, SAMPLE_BYTES)
     try:
-        found = zstandard.train_dictionary(DICTIONARY_BYTES, [plain.serialize(r.text) for r in sample], level=LEVEL)
+        found = zstandard.train_dictionary(DICTIONARY_BYTES, [plain.serialize(t) for t in sample], level=LEVEL)
     except zstandard.ZstdError:  # too few texts for a dictionary: frames go without
         return plain
     return Coder(path, width, found.as_bytes())

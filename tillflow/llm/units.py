@@ -9,6 +9,7 @@ Pieces are merged each on its own, so the parts can be encoded one by one.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable
 
 # the longer way: only single spaces with no other white space beside them
@@ -18,15 +19,46 @@ UNUSUAL = re.compile(r"[^\S \n]")
 REMEMBERED = 1_000_000
 
 
+# a word and the signs behind it; a letter ends a piece before any of these
+SIGNS = ".,;:!?*#$%&)"
+
+
+def packed(encode: Callable[[str], list[int]], width: int) -> Callable[[str], bytes]:
+    """``encode`` with its ids as little-endian numbers of 2 or 4 bytes."""
+    kind = {2: "<%dH", 4: "<%dI"}[width]
+
+    def run(text: str) -> bytes:
+        ids = encode(text)
+        return struct.pack(kind % len(ids), *ids)
+    return run
+
+
 class Parts(dict):
-    """Tokens by part, encoded when first met. A part other than a text's first stands without its space."""
+    """Tokens by part, encoded when first met.
+
+    Parts other than a text's first stand without the space before them; keys
+    that begin with a line feed stand for words right behind one.
+    """
 
     def __init__(self, encode: Callable[[str], bytes], most: int = REMEMBERED):
         super().__init__()
         self.encode, self.most = encode, most
+        self.line_feed = encode("\n")
 
     def __missing__(self, part: str) -> bytes:
-        value = self.encode(" " + part)
+        bare = part.rstrip(SIGNS)
+        if bare and bare[-1].isalpha() and len(bare) < len(part):
+            # signs behind a letter are a piece of their own
+            value = self[bare] + self["\n" + part[len(bare):]]
+        elif part[0] == "\n":
+            value = self.encode(part[1:])
+        else:
+            head, feed, rest = part.partition("\n")
+            if feed and head and rest and not head[-1].isspace() and not rest[0].isspace():
+                # one line feed between two words is a piece of its own
+                value = self[head] + self.line_feed + self["\n" + rest]
+            else:
+                value = self.encode(" " + part)
         if len(self) >= self.most:
             self.clear()
         self[part] = value
