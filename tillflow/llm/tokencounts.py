@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,6 +32,25 @@ def tokenizer(path: str):
     return kept(f"tokenizer {path}", make)
 
 
+def part_ids(tok) -> Callable[[str], list[int]]:
+    """The library's ids of one part; words of ASCII letters go straight to its model.
+
+    With or without the space ahead such a word is one piece, which a
+    byte-level pre-tokenizer would only hand on with the space as ``\u0120``.
+    """
+    plain = (type(tok.pre_tokenizer).__name__ == "ByteLevel" and tok.normalizer is None
+             and not any(t.content.isalpha() for t in tok.get_added_tokens_decoder().values()))
+    tokenize, encode = tok.model.tokenize, tok.encode
+
+    def ids(part: str) -> list[int]:
+        spaced = part[:1] == " "
+        word = part[1:] if spaced else part
+        if plain and word.isascii() and word.isalpha():
+            return [t.id for t in tokenize("\u0120" + word if spaced else word)]
+        return encode(part, add_special_tokens=False).ids
+    return ids
+
+
 def _starts(tok, text: str, at: int) -> np.ndarray:
     """Where in the whole text each token of the chunk ``text`` begins."""
     return np.array([a for a, _ in tok.encode(text, add_special_tokens=False).offsets], np.int64) + at
@@ -72,8 +92,7 @@ def count_tokens(tok, parts: units.Parts, text: str) -> int:
 
 def _parts(path: str) -> units.Parts:
     tok = tokenizer(path)
-    return kept(f"parts {path}", lambda: units.Parts(units.packed(
-        lambda part: tok.encode(part, add_special_tokens=False).ids, 4)))
+    return kept(f"parts {path}", lambda: units.Parts(units.packed(part_ids(tok), 4)))
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", limit: int = LIMIT, path: str | None = None) -> DataFrame:

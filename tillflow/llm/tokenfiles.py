@@ -25,7 +25,7 @@ import public_tokenizers
 from tillflow.llm import units
 from tillflow.llm.frames import kept, map_texts, sampled, table, texts
 from tillflow.llm.registry import query
-from tillflow.llm.tokencounts import VOCABULARY, tokenizer
+from tillflow.llm.tokencounts import VOCABULARY, part_ids, tokenizer
 from tillflow.session import fresh_path, written
 
 END_ID = 0
@@ -66,8 +66,8 @@ class Coder:
     def serialize(self, text: str) -> bytes:
         """The ids of a text and the end id, each in ``width`` bytes, little-endian."""
         tok = tokenizer(self.path)
-        parts = kept(f"parts {self.path} {self.width}", lambda: units.Parts(units.packed(
-            lambda part: tok.encode(part, add_special_tokens=False).ids, self.width)))
+        parts = kept(f"parts {self.path} {self.width}", lambda: units.Parts(
+            units.packed(part_ids(tok), self.width)))
         return units.encode(text, parts) + END_ID.to_bytes(self.width, "little")
 
     def ids(self, frame: bytes) -> np.ndarray:
