@@ -131,11 +131,11 @@ def token_counts(train: DataFrame) -> DataFrame:
 
 def tree_counts(grams: DataFrame) -> tuple[list[dict], int]:
     """For each depth the kept contexts' codes and their 256 counts; and the number of training bytes."""
-    total = grams.agg(F.sum("n")).first()[0] or 0
     contexts = F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("code", 8).bitwiseAND((1 << (8 * d)) - 1).alias("context"))
                          for d in range(DEPTH + 1)])
     each = grams.select(F.explode(contexts).alias("c"), F.col("code").bitwiseAND(255).alias("byte"), "n")
     pairs = written(each.groupBy("c.depth", "c.context", "byte").agg(F.sum("n").alias("n")), "pairs")
+    total = pairs.where("depth = 0").agg(F.sum("n")).first()[0] or 0
     kept = pairs.groupBy("depth", "context").agg(F.sum("n").alias("all")).where(F.col("all") >= max(1.0, SHARE * total))
     # bounded: at most 1 / SHARE contexts a depth and 256 bytes behind each
     rows = pairs.join(kept.select("depth", "context"), ["depth", "context"], "left_semi").toArrow()
