@@ -166,6 +166,39 @@ def test_context_tree(spark, share, monkeypatch):
     assert np.allclose(np.power(10.0, tables[1].astype(float)).sum(axis=1), 1, atol=1e-5)
 
 
+@pytest.mark.parametrize("frequent", [1 << 20, 40, 0])
+def test_every_context_counts(spark, frequent, monkeypatch):
+    frames.settings(spark)
+    # contexts far under any share of these texts count too, and runs may be held by the tasks or joined
+    monkeypatch.setattr(contexttree, "SHARE", 0.04)
+    monkeypatch.setattr(contexttree, "FREQUENT", frequent, raising=False)
+    some = ["the cat sat on the mat", "a mat on cat éé", "on the the", "", "the cat", "xyz é", "mat on the", "At on on"]
+    rows = [(i, some[i % len(some)]) for i in range(30)] + [(None, "not here ~"), (3, None)]
+    held = [i is None or zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    data = [(t or "").encode().lower() for _, t in rows]
+    want = plain_context_tree([t for t, h in zip(data, held) if not h], data, 1)
+    got = contexttree.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {h for h in held} == {True, False}
+    assert np.allclose(sorted(r.score for r in got), sorted(want), atol=1e-6)
+
+
+def test_long_texts_are_looked_up_in_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    batch = [bytes(rng.integers(97, 99, n, dtype=np.uint8)) for n in (0, 5, 300, 1, 999)]
+    codes = np.unique(np.concatenate([contexttree._codes(d, contexttree._scored_places(s)) for d, s in contexttree._padded_blocks(batch)]))
+    some = contexttree.Frequent(codes[::2], np.arange(len(codes[::2])), -rng.random(len(codes[::2])))
+    sums, others, times = contexttree.known_values(batch, some)
+    monkeypatch.setattr(contexttree, "BLOCK", 64)
+    again = contexttree.known_values(batch, some)
+    assert np.allclose(sums, again[0])
+    assert (others.to_pylist(), times.to_pylist()) == (again[1].to_pylist(), again[2].to_pylist())
+    value = dict(zip(some.codes.tolist(), some.values.tolist()))
+    for i, text in enumerate(batch):
+        runs = Counter(int.from_bytes((bytes(5) + text + b"\0")[k:k + 6], "big") for k in range(len(text) + 1))
+        assert math.isclose(sums[i], sum(value.get(r, 0) * n for r, n in runs.items()), abs_tol=1e-9)
+        assert dict(zip(others[i].as_py(), times[i].as_py())) == {r: n for r, n in runs.items() if r not in value}
+
+
 def test_long_texts_are_scored_in_pieces(monkeypatch):
     rng = np.random.default_rng(4)
     child = np.full((1, 256), -1, np.int32)

@@ -3,10 +3,15 @@
 A byte is eight binary decisions; each decision of each byte has its own tree of
 contexts, the bytes before it. At every node a Krichevsky-Trofimov estimate is
 weighed against the product of its children's, so all depths are mixed by what
-they gave on the training text. Counts come from all training text by Spark.
-The tree keeps the contexts that hold at least ``SHARE`` of the training bytes,
-so each depth has at most 1 / SHARE of them at every size of the corpus; what
-follows the other extensions of a context is pooled in one more child.
+they gave on the training text. The tree keeps every context that was seen. Its
+nodes are rows of Spark tables, one for each depth: weights go up by grouping
+nodes by their parents, mixtures come down by joins. So each run of DEPTH + 1
+bytes gets its probability; every task holds those of the most frequent runs,
+with all others texts are joined.
+
+``tree_counts``, ``weigh`` and ``log10_probabilities`` are the same model in
+memory, for small texts, with contexts under ``SHARE`` of the bytes pooled;
+``score`` does not use them.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillflow.llm.frames import table, texts
@@ -35,6 +40,8 @@ BLOCK = 1 << 20
 TOKEN_SHARE = 2.0 ** -18
 DISTINCT = 400_000
 END_TOKEN = " "  # no word has a space
+# at most so many runs of bytes go to every task with their probabilities, the most frequent ones
+FREQUENT = 1 << 20
 
 
 def held_out(id_col: str):
@@ -78,8 +85,19 @@ def _scored_places(lengths: list[int]) -> np.ndarray:
     return np.flatnonzero(mask)
 
 
-def gram_counts(train: DataFrame) -> DataFrame:
-    """``(code, n)``: how often each run of DEPTH + 1 bytes occurs in the training text, combined within tasks."""
+def _codes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs of DEPTH + 1 bytes that end at the given places, as whole numbers; the last byte is the lowest."""
+    code = np.zeros(len(at), np.int64)
+    for d in range(DEPTH, -1, -1):
+        code = (code << 8) | data[at - d]
+    return code
+
+
+def gram_counts(docs: DataFrame, trains: Column | None = None) -> DataFrame:
+    """``(code, n)``: how often each run of DEPTH + 1 bytes occurs in the training text, combined within tasks.
+
+    Runs that only rows without ``trains`` have are there with n = 0.
+    """
     schema = pa.schema([("code", pa.int64()), ("n", pa.int64())])
 
     def merged(chunks: list[pa.Table]) -> pa.Table:
@@ -88,13 +106,11 @@ def gram_counts(train: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks, rows = [], 0
         for batch in batches:
-            for data, lengths in _padded_blocks([_lowered(t) for t in batch.column(0).to_pylist()]):
-                at = _scored_places(lengths)
-                code = np.zeros(len(at), np.int64)
-                for d in range(DEPTH, -1, -1):
-                    code = (code << 8) | data[at - d]
-                counted = pc.value_counts(pa.array(code))
-                chunks.append(pa.table({"code": counted.field(0), "n": counted.field(1)}))
+            blocks = [(block, times) for times in (1, 0) for block in _padded_blocks(
+                [_lowered(t) for t in batch.column(0).filter(pc.equal(batch.column(1), times)).to_pylist()])]
+            for (data, lengths), times in blocks:
+                counted = pc.value_counts(pa.array(_codes(data, _scored_places(lengths))))
+                chunks.append(pa.table({"code": counted.field(0), "n": pc.multiply(counted.field(1), times)}))
                 rows += len(counted)
                 if rows > 2_000_000:
                     chunks = [merged(chunks)]
@@ -105,7 +121,150 @@ def gram_counts(train: DataFrame) -> DataFrame:
         if chunks:
             yield from merged(chunks).cast(schema).to_batches(100_000)
 
-    return train.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    trains = F.lit(1) if trains is None else trains.cast("int")
+    return docs.select("text", trains.alias("times")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def _log_gamma(x: Column) -> Column:
+    """log gamma(x), x > 0: Stirling's series of x + 6 and the six factors between."""
+    y = x + 6
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y ** 3) + 1 / (1260 * y ** 5) - 1 / (1680 * y ** 7)
+    return series - F.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
+
+
+def _prefix(d: int) -> Column:
+    """The key of a node's ancestor at depth ``d``."""
+    return F.col("key").bitwiseAND((1 << (8 * d + 8)) - 1)
+
+
+def gram_values(grams: DataFrame) -> DataFrame:
+    """``(code, n, value)``: log10 of the probability of a run's last byte after its first DEPTH.
+
+    All runs of ``grams`` are there, and for each the one with the other last
+    bit. A node is a decision (1 to 255 in heap order) of a context; its key is
+    the context's code with the decision in the lowest byte. Nodes that only
+    runs with n = 0 have change nothing: their estimates and weights are log 1,
+    and their decisions come out as one half at their depth.
+    """
+    def decision(j: int):
+        byte = F.col("code").bitwiseAND(255)
+        return F.struct((F.col("code") - byte).bitwiseOR(F.shiftright(byte + 256, 8 - j)).alias("key"),
+                        F.shiftright(byte, 7 - j).bitwiseAND(1).alias("bit"))
+
+    def own(level: DataFrame) -> DataFrame:
+        ones, zeros = F.col("ones").cast("double"), (F.col("every") - F.col("ones")).cast("double")
+        value = _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1) - math.log(math.pi)
+        # exactly 0 where nothing was counted
+        return level.withColumn("own", F.when(F.col("every") == 0, 0.0).otherwise(value))
+
+    # bottom-up: a node's own estimate, and the product of its children's weights
+    nodes = grams.select(F.explode(F.array(*[decision(j) for j in range(8)])).alias("d"), "n")
+    nodes = nodes.groupBy(F.col("d.key").alias("key")).agg(F.sum(F.col("n") * F.col("d.bit")).alias("ones"), F.sum("n").alias("every"))
+    levels = {DEPTH: written(own(nodes), f"depth{DEPTH}")}
+    weight = F.col("own")
+    for d in range(DEPTH - 1, -1, -1):
+        above = levels[d + 1].withColumn("weight", weight).groupBy(_prefix(d).alias("key")).agg(
+            F.sum("ones").alias("ones"), F.sum("every").alias("every"), F.sum("weight").alias("below"))
+        levels[d] = written(own(above), f"depth{d}")
+        weight = (F.greatest("own", "below") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("below")))) - math.log(2))
+
+    # top-down: what the nodes above add to each decision, and the share left to those below
+    one = (F.col("ones") + 0.5) / (F.col("every") + 1)
+    mixed = levels[0].withColumns({"added": F.lit(0.0), "left": F.lit(1.0)})
+    for d in range(DEPTH):
+        share = 1 / (1 + F.exp(F.col("below") - F.col("own")))
+        mixed = mixed.select(F.col("key").alias("parent"), (F.col("added") + F.col("left") * share * one).alias("added"),
+                             (F.col("left") * (1 - share)).alias("left"))
+        mixed = levels[d + 1].join(mixed, _prefix(d) == F.col("parent")).drop("parent")
+    leaves = mixed.select(F.shiftright("key", 8).alias("context"), F.struct(
+        F.col("key").bitwiseAND(255).alias("node"), "ones", "every", (F.col("added") + F.col("left") * one).alias("one")).alias("d"))
+    # bounded: a context has 255 decisions at most
+    contexts = leaves.groupBy("context").agg(F.collect_list("d").alias("decisions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            node, ones, every, one = (x.to_numpy() for x in lists.flatten().flatten())
+            at = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            p_one = np.full((len(lists), 256), 0.5)
+            p_one[at, node] = one
+            values = _byte_logs(p_one, np.float64)
+            last = node >= 128
+            at, byte = at[last], 2 * node[last] - 256
+            context = batch.column(0).to_numpy()[at] << 8
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate((context | byte, context | byte | 1))),
+                pa.array(np.concatenate((every[last] - ones[last], ones[last]))),
+                pa.array(np.concatenate((values[at, byte], values[at, byte + 1])))], names=["code", "n", "value"])
+
+    return contexts.mapInArrow(run, "code long, n long, value double")
+
+
+class Frequent:
+    """The values of some runs, the most frequent ones found first."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, values: np.ndarray):
+        order = np.lexsort((codes, -counts))
+        self.codes, self.values = np.append(codes[order], -1), np.append(values[order], 0.0)
+        self.bits = max(8, len(codes).bit_length() + 2)
+        self.slots = np.full(1 << self.bits, len(codes), np.int32)
+        slot = self._slot(self.codes[:-1])
+        self.slots[slot[::-1]] = np.arange(len(codes) - 1, -1, -1, dtype=np.int32)  # the first of a slot stays
+        behind = np.flatnonzero(self.slots[slot] != np.arange(len(codes)))
+        behind = behind[np.argsort(self.codes[behind])]
+        self.more, self.more_values = np.append(self.codes[behind], 1 << 62), np.append(self.values[behind], 0.0)
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each run's value, 0 if it has none here; and the places of those that have none."""
+        index = self.slots.take(self._slot(codes))
+        values = self.values.take(index)
+        others = np.flatnonzero(self.codes.take(index) != codes)
+        at = np.searchsorted(self.more, codes[others])
+        known = self.more[at] == codes[others]
+        values[others] = np.where(known, self.more_values[at], 0.0)
+        return values, others[~known]
+
+
+def frequent_values(values: DataFrame) -> tuple[Frequent, Column]:
+    """Up to FREQUENT of the most frequent runs of the training text, and the condition that others meet."""
+    size = F.floor(F.log2(F.greatest("n", F.lit(1))) * 8)
+    sizes = values.where("n > 0").groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect()  # 512 rows at most
+    least, held = 1 << 10, 0
+    for r in sizes:
+        held += r["count"]
+        if held > FREQUENT:
+            break
+        least = r["size"]
+    chosen = (F.col("n") > 0) & (size >= least)
+    rows = values.where(chosen).toArrow()  # bounded: FREQUENT rows
+    return Frequent(*(rows.column(k).to_numpy() for k in ("code", "n", "value"))), ~chosen
+
+
+def known_values(batch: list[bytes], frequent: Frequent) -> tuple[list[float], pa.ListArray, pa.ListArray]:
+    """For each text the sum of its frequent runs' values, and its other runs and how often it has them."""
+    sums, at_text, others = np.zeros(len(batch)), [], []
+    text = 0
+    for data, lengths in _padded_blocks(batch):
+        codes = _codes(data, _scored_places(lengths))
+        values, missing = frequent.find(codes)
+        sizes = np.array(lengths)
+        starts = np.concatenate(([0], np.cumsum(np.abs(sizes))[:-1]))
+        own = text + np.concatenate(([0], np.cumsum(sizes > 0)[:-1]))  # a piece that goes on has the text of the next one
+        np.add.at(sums, own, np.add.reduceat(values, starts))
+        at_text.append(own[np.searchsorted(starts, missing, "right") - 1])
+        others.append(codes[missing])
+        text += int((sizes > 0).sum())
+    at, code = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at_text, others))
+    order = np.lexsort((code, at))
+    at, code = at[order], code[order]
+    first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (code[1:] != code[:-1])))[:len(at)])
+    times = np.diff(np.append(first, len(at)))
+    offsets = pa.array(np.searchsorted(at[first], np.arange(len(batch) + 1)).astype(np.int32))
+    return (sums.tolist(), pa.ListArray.from_arrays(offsets, pa.array(code[first])),
+            pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64))))
 
 
 def token_counts(train: DataFrame) -> DataFrame:
@@ -255,11 +414,11 @@ def weigh(levels: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return child, np.concatenate(logs)
 
 
-def _byte_logs(p_one: np.ndarray) -> np.ndarray:
+def _byte_logs(p_one: np.ndarray, kind: type = np.float32) -> np.ndarray:
     """log10 of each byte's probability from those of a 1 in the 256 decisions."""
     with np.errstate(divide="ignore"):
         one, zero = np.log10(p_one), np.log10(1 - p_one)
-    out = np.zeros((len(p_one), 256), np.float32)
+    out = np.zeros((len(p_one), 256), kind)
     byte = np.arange(256)
     for bit in range(7, -1, -1):
         node = (256 + byte) >> (bit + 1)
@@ -300,8 +459,9 @@ def score(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     spark = docs.sparkSession
     whole = texts(docs, id_col)
     train = whole.where(~held_out(id_col)).select("text")
-    levels, _ = tree_counts(gram_counts(train))
-    shared = spark.sparkContext.broadcast(weigh(levels))
+    values = written(gram_values(gram_counts(whole, ~held_out(id_col))), "values")
+    frequent_runs, other_runs = frequent_values(values)
+    shared = spark.sparkContext.broadcast(frequent_runs)
 
     counts = written(token_counts(train), "tokens")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -313,7 +473,7 @@ def score(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        find, (child, logs) = known.value.get, shared.value
+        find, runs = known.value.get, shared.value
         end = find(END_TOKEN.encode())
         for batch in batches:
             parts = [_lowered(t) for t in batch.column(2).to_pylist()]
@@ -330,26 +490,33 @@ def score(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
                                     - (len(words) + 1) * per_token)
                 made["tokens"].append([w.decode("utf-8", "replace") for w in rare])
                 made["times"].append(list(rare.values()))
+            sums, codes, code_times = known_values(parts, runs)
             columns = [pa.array(made["row"], pa.int64()), batch.column(0), batch.column(1),
                        pa.array(made["n_tokens"], pa.int64()), pa.array(made["n_frequent"], pa.int64()),
                        pa.array(made["base"], pa.float64()),
-                       pa.array(log10_probabilities(parts, child, logs), pa.float64()),
-                       pa.array(made["tokens"], pa.list_(pa.string())), pa.array(made["times"], pa.list_(pa.int64()))]
+                       pa.array(sums, pa.float64()),
+                       pa.array(made["tokens"], pa.list_(pa.string())), pa.array(made["times"], pa.list_(pa.int64())),
+                       codes, code_times]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = ["row", id_col, "held_out", "n_tokens", "n_frequent", "base", "score", "tokens", "times"]
+    names = ["row", id_col, "held_out", "n_tokens", "n_frequent", "base", "known_score", "tokens", "times", "codes", "code_times"]
     kind = docs.schema[id_col].dataType.simpleString()
     scored = written(whole.select(id_col, held_out(id_col).alias("held_out"), "text").mapInArrow(
         run, f"row long, `{id_col}` {kind}, held_out boolean, n_tokens long, n_frequent long, base double, "
-             "score double, tokens array<string>, times array<long>"), "scored")
+             "known_score double, tokens array<string>, times array<long>, codes array<long>, code_times array<long>"), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("tokens", "times")).alias("t")).select(
         "row", F.col("t.tokens").alias("token"), F.col("t.times").alias("times"))
     rare = rare.join(counts.where(~frequent), "token").groupBy("row").agg(
         F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare"))
-    return scored.join(rare, "row", "left").select(
+    others = scored.select("row", F.explode(F.arrays_zip("codes", "code_times")).alias("c")).select(
+        "row", F.col("c.codes").alias("code"), F.col("c.code_times").alias("code_times"))
+    others = others.join(values.where(other_runs).select("code", "value"), "code").groupBy("row").agg(
+        F.sum(F.col("code_times") * F.col("value")).alias("other_score"))
+    return scored.join(rare, "row", "left").join(others, "row", "left").select(
         id_col, "held_out", "n_tokens", (F.col("n_frequent") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare", F.lit(0.0))).alias("base_score"), "score")
+        (F.col("base") + F.coalesce("rare", F.lit(0.0))).alias("base_score"),
+        (F.col("known_score") + F.coalesce("other_score", F.lit(0.0))).alias("score"))
 
 
 @query("op8_context_tree")
