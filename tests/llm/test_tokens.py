@@ -260,6 +260,31 @@ def test_odd_vectors_ties_and_small_cells(spark):
     assert {r.query_id for r in got} == {i for _, i, _ in good if i % 20 == 0}
 
 
+def recall(spark, data, top=5, least=20):
+    """Share of the true neighbours, by ids, that are found with narrow windows."""
+    frames.settings(spark)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    got, hits, queries = {}, 0, range(0, len(data), 20)
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0, top, window_share=0.05, window_least=least, cell=32).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for i in queries:
+        scores = (data * data[i]).sum(axis=1)
+        scores[i] = -np.inf
+        hits += len(got[i] & set(np.lexsort((np.arange(len(data)), -scores))[:top].tolist()))
+    return hits / (len(queries) * top)
+
+
+def unit_vectors(n, dimension=6):
+    data = np.random.default_rng(3).normal(size=(n, dimension))
+    return data / np.linalg.norm(data, axis=1)[:, None]
+
+
+def test_a_large_group_of_copies_finds_its_first_members(spark):
+    data = unit_vectors(2000)
+    data[::3] = data[0]
+    assert recall(spark, data) >= 0.97
+
+
 def test_hilbert_neighbours_are_one_step_apart():
     grid = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     keys = ann.hilbert_keys(grid, 3)

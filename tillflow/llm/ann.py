@@ -92,26 +92,24 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dimension: int) -> np.ndarray:
 
 
 def _best(left: pa.Table, right: pa.Table, top: int, dimension: int) -> pa.Table:
-    """The ``top`` rows of a cell for each of its queries, ties to smaller vec_ids."""
-    out = {"query": [], "row": [], "query_id": [], "vec_id": [], "score": []}
+    """The ``top`` vectors of a cell for each of its queries, the query's own included, ties to smaller vec_ids."""
+    out = {"query": [], "row": [], "vec_id": [], "score": []}
     if left.num_rows and right.num_rows:
         queries, rows = _matrix(left.column("vector"), dimension), _matrix(right.column("vector"), dimension)
         own, uid, vec = (x.to_numpy() for x in (left.column("uid"), right.column("uid"), right.column("vec_id")))
-        named, scores = left.column("vec_id").to_numpy(), queries @ rows.T
+        scores = queries @ rows.T
         slack = 1e-9 * max(1.0, float(np.abs(scores).max()))
         for i in range(len(queries)):
             near = scores[i]
-            if len(near) > top + 1:
-                least = np.partition(near, len(near) - top - 1)[len(near) - top - 1] - slack
+            if len(near) > top:
+                least = np.partition(near, len(near) - top)[len(near) - top] - slack
                 near = np.flatnonzero(near >= least)
             else:
                 near = np.arange(len(near))
-            near = near[uid[near] != own[i]]
             # one order of adding for every pair, so equal vectors tie exactly
             exact = (rows[near] * queries[i]).sum(axis=1)
             order = np.lexsort((vec[near], -exact))[:top]
             out["query"].append(np.full(len(order), own[i]))
-            out["query_id"].append(np.full(len(order), named[i]))
             out["row"].append(uid[near][order])
             out["vec_id"].append(vec[near][order])
             out["score"].append(exact[order])
@@ -129,7 +127,8 @@ def nearest(vectors: DataFrame, is_query, top: int, id_col: str = "vec_id", vect
     vector is null, if a component is null or not finite, if all are zero, or
     if the length is not the most frequent one. Ties go to the smaller id. Empty
     tables and tables without queries give no rows. Extra columns are left out.
-    The windows hold ``window_share`` of the table, so that recall does not
+    Equal vectors are searched for once, and stand for their ``top`` + 1 smallest
+    ids. The windows hold ``window_share`` of the table, so that recall does not
     fall as it grows; on vectors without any structure no smaller share will do.
     """
     spark = vectors.sparkSession
@@ -142,7 +141,17 @@ def nearest(vectors: DataFrame, is_query, top: int, id_col: str = "vec_id", vect
     if sizes is None:
         return spark.createDataFrame([], result)
     dimension = sizes.d
-    rows = written(typed.where(F.size("vector") == dimension).withColumn("uid", F.monotonically_increasing_id()), "vectors")
+    every = written(typed.where(F.size("vector") == dimension).withColumn("uid", F.monotonically_increasing_id()), "vectors")
+    # of equal vectors the first top + 1; Spark drops others before the shuffle, too
+    same = Window.partitionBy("vector").orderBy("vec_id", "uid")
+    members = written(every.withColumns({"place": F.row_number().over(same), "first": F.first("uid").over(same)}).where(
+        F.col("place") <= top + 1).select(F.col("first").alias("group"), "uid", "vec_id", "place", "vector"), "members")
+    heads = members.where("place = 1").select("uid", "vec_id", "vector")
+    asks = written(every.where("is_query").select("vector", F.col("uid").alias("query"), F.col("vec_id").alias("query_id")).join(
+        heads.select("vector", F.col("uid").alias("group")), "vector").select("group", "query", "query_id"), "asks")
+    # from here on a row is a distinct vector
+    rows = written(heads.join(asks.select(F.col("group").alias("uid"), F.lit(True).alias("asks")).distinct(), "uid", "left").select(
+        "uid", "vec_id", "vector", F.coalesce("asks", F.lit(False)).alias("is_query")), "distinct")
     n, n_queries, longest = rows.agg(
         F.count("*"), F.sum(F.col("is_query").cast("long")),
         F.max(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v))).first()
@@ -196,13 +205,19 @@ def nearest(vectors: DataFrame, is_query, top: int, id_col: str = "vec_id", vect
     left, right = asked.join(data, "uid"), held.join(data, "uid")
     right = right.select(*[F.col(c).alias(c, metadata={"side": "right"}) for c in right.columns])
     pairs = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(
-        lambda left, right: _best(left, right, top, dimension),
-        "query long, row long, query_id long, vec_id long, score double")
-    pairs = pairs.groupBy("query", "row").agg(F.first("query_id").alias("query_id"), F.first("vec_id").alias("vec_id"),
-                                              F.max("score").alias("score"))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(
-        "query_id", "rank", "vec_id", "score")
+        lambda left, right: _best(left, right, top + 1, dimension),
+        "query long, row long, vec_id long, score double")
+    pairs = pairs.groupBy("query", "row").agg(F.first("vec_id").alias("vec_id"), F.max("score").alias("score"))
+
+    def first(df: DataFrame, by: str, most: int) -> DataFrame:
+        order = Window.partitionBy(by).orderBy(F.desc("score"), "vec_id", "row")
+        return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    # one more each time, since a query's own row falls out at the end
+    found = first(pairs, "query", top + 1).select(F.col("query").alias("asked"), F.col("row").alias("group"), "score")
+    found = found.join(members.select("group", F.col("uid").alias("row"), "vec_id"), "group")
+    found = first(found, "asked", top + 1).select(F.col("asked").alias("group"), "row", "vec_id", "score")
+    found = asks.join(found, "group").where(F.col("row") != F.col("query"))
+    return first(found, "query", top).select("query_id", "rank", "vec_id", "score")
 
 
 @query("op3_nearest")
