@@ -285,6 +285,14 @@ def test_a_large_group_of_copies_finds_its_first_members(spark):
     assert recall(spark, data) >= 0.97
 
 
+def test_a_few_long_vectors_hide_no_others(spark):
+    data = unit_vectors(2000)
+    data[7] *= 20
+    assert recall(spark, data) >= 0.95
+    data *= np.exp(np.random.default_rng(6).normal(size=2000))[:, None]
+    assert recall(spark, data) >= 0.95
+
+
 def test_hilbert_neighbours_are_one_step_apart():
     grid = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     keys = ann.hilbert_keys(grid, 3)

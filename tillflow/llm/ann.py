@@ -1,7 +1,8 @@
 """Nearest neighbours by shifted space-filling curves.
 
 Vectors are projected to a few dimensions and sorted along several Hilbert
-curves, each with its own projection and shift. Spark range-partitions the keys
+curves, each with its own projection and shift. Vectors of different length have
+curves of their own: each band of lengths does. Spark range-partitions the keys
 and so ranks every row on every curve. A query is compared with the rows whose
 ranks on some curve lie near its own; the curves' findings are merged and
 ranked by the exact inner product.
@@ -59,13 +60,13 @@ def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Curves:
-    """The projections, ranges and shifts of all curves."""
+    """The projections, ranges and shifts of a band's curves."""
 
-    def __init__(self, dimension: int, longest: float, sample: np.ndarray):
+    def __init__(self, dimension: int, longest: float, sample: np.ndarray, curves: int):
         rng = np.random.default_rng(SEED)
         self.longest, dims = longest, min(DIMENSIONS, dimension + 1)
-        self.projections = [np.linalg.qr(rng.normal(size=(dimension + 1, dims)))[0] for _ in range(CURVES)]
-        self.shifts = rng.random((CURVES, dims)) * 0.25
+        self.projections = [np.linalg.qr(rng.normal(size=(dimension + 1, dims)))[0] for _ in range(curves)]
+        self.shifts = rng.random((curves, dims)) * 0.25
         self.ranges = []
         raised = self.raised(sample)
         for p in self.projections:
@@ -128,7 +129,7 @@ def nearest(vectors: DataFrame, is_query, top: int, id_col: str = "vec_id", vect
     if the length is not the most frequent one. Ties go to the smaller id. Empty
     tables and tables without queries give no rows. Extra columns are left out.
     Equal vectors are searched for once, and stand for their ``top`` + 1 smallest
-    ids. The windows hold ``window_share`` of the table, so that recall does not
+    ids. The windows hold ``window_share`` of each band's rows, so that recall does not
     fall as it grows; on vectors without any structure no smaller share will do.
     """
     spark = vectors.sparkSession
@@ -152,53 +153,70 @@ def nearest(vectors: DataFrame, is_query, top: int, id_col: str = "vec_id", vect
     # from here on a row is a distinct vector
     rows = written(heads.join(asks.select(F.col("group").alias("uid"), F.lit(True).alias("asks")).distinct(), "uid", "left").select(
         "uid", "vec_id", "vector", F.coalesce("asks", F.lit(False)).alias("is_query")), "distinct")
-    n, n_queries, longest = rows.agg(
-        F.count("*"), F.sum(F.col("is_query").cast("long")),
-        F.max(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v))).first()
-    sample = rows.orderBy(F.xxhash64("vec_id"), "uid").limit(SAMPLE).select("vector").collect()
-    curves = Curves(dimension, math.sqrt(longest), np.array([r.vector for r in sample]))
+    n_queries = rows.where("is_query").count()
+    # a band for each half octave of lengths; lengths of one stand in the middle of theirs
+    square = F.greatest(F.lit(1e-300), F.least(F.lit(1e300), F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v)))
+    rows = rows.withColumns({"square": square, "band": F.floor(F.log2(square) + 0.5).cast("int")})
+    bands = rows.groupBy("band").agg(F.count("*").alias("n"), F.max("square").alias("longest")).orderBy("band").collect()
+    curves, slots, starts, before_band = {}, [], {}, 0
+    for b in bands:  # bounded: some 2,000 half octaves, of which tables have few
+        sample = rows.where(F.col("band") == b.band).orderBy(F.xxhash64("vec_id"), "uid").limit(
+            max(256, SAMPLE // len(bands))).select("vector").collect()
+        window = max(window_least, math.ceil(window_share * b.n))
+        # where the window holds all rows of a band, one curve shows all
+        made = Curves(dimension, math.sqrt(b.longest), np.array([r.vector for r in sample]), 1 if window >= b.n else CURVES)
+        curves[b.band], starts[b.band] = made, len(slots)
+        # queries of a cell are split so that no task multiplies more than QUERIES by CELL
+        chunks = max(1, math.ceil(min(1.0, (cell + 2 * window) / b.n) * n_queries / QUERIES))
+        for _ in made.projections:
+            slots.append((before_band, window, (b.n - 1) // cell, chunks))
+            before_band += b.n
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid, asks = batch.column("uid").to_numpy(), batch.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
-            data = _matrix(batch.column("vector"), dimension)
-            # a query has no length to make up, so its place differs from its row's
-            groups = ((uid, curves.raised(data), False), (uid[asks], np.c_[data[asks], np.zeros(asks.sum())], True))
-            for ids, raised, asking in groups:
-                for curve, key in enumerate(curves.keys(raised)):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids), pa.array(np.full(len(ids), curve, np.int32)), pa.array(key),
-                         pa.array(np.full(len(ids), asking))], names=["uid", "curve", "key", "asking"])
+            data, own = _matrix(batch.column("vector"), dimension), batch.column("band").to_numpy()
+            asked = data[asks] / np.maximum(np.abs(data[asks]).max(axis=1), 1e-300)[:, None]
+            asked /= np.linalg.norm(asked, axis=1)[:, None]
+            for band, made in curves.items():
+                # a query's length changes no order, so it gets the band's; it has none to make up and its place differs from its row's
+                groups = ((uid[own == band], made.raised(data[own == band]), False),
+                          (uid[asks], np.c_[asked * made.longest, np.zeros(len(asked))], True))
+                for ids, raised, asking in groups:
+                    for curve, key in enumerate(made.keys(raised) if len(ids) else [], starts[band]):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(ids), pa.array(np.full(len(ids), curve, np.int32)), pa.array(key),
+                             pa.array(np.full(len(ids), asking))], names=["uid", "curve", "key", "asking"])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
+            # ranks count rows: a query's is the number of rows before it
+            rows_ = np.cumsum(~batch.column(3).to_numpy(zero_copy_only=False).astype(bool))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(3), pa.array(np.full(len(batch), part, np.int32)),
-                 pa.array(np.arange(at, at + len(batch)))], names=["uid", "curve", "asking", "part", "at"])
-            at += len(batch)
+                 pa.array(at + np.concatenate(([0], rows_[:-1]))[:len(batch)])], names=["uid", "curve", "asking", "part", "at"])
+            at += int(rows_[-1]) if len(batch) else 0
 
-    entries = rows.select("uid", "is_query", "vector").mapInArrow(keyed, "uid long, curve int, key long, asking boolean")
+    entries = rows.select("uid", "is_query", "band", "vector").mapInArrow(keyed, "uid long, curve int, key long, asking boolean")
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort = ["curve", "key", "uid", "asking"]
     places = written(entries.repartitionByRange(shuffles, *sort).sortWithinPartitions(*sort).mapInArrow(
         placed, "uid long, curve int, asking boolean, part int, at long"), "places")
     before, total = {}, 0
-    for part, count in sorted(places.groupBy("part").count().collect()):  # one number a range
+    counted = places.groupBy("part").agg(F.sum((~F.col("asking")).cast("long")))
+    for part, count in sorted(counted.collect()):  # one number a range
         before[part], total = total, total + count
-    offset = F.element_at(F.create_map(*[F.lit(x) for p in before.items() for x in p]), F.col("part"))
-    places = places.withColumn("rank", offset + F.col("at") - F.col("curve") * F.lit(n + n_queries).cast("long"))
+    offset = F.element_at(F.create_map(*[F.lit(x).cast(t) for p in before.items() for x, t in zip(p, ("int", "long"))]), F.col("part"))
+    start, window, last, chunks = (F.get(F.array(*[F.lit(x).cast("long") for x in xs]), F.col("curve")) for xs in zip(*slots))
+    places = places.withColumn("rank", offset + F.col("at") - start)
 
-    window = max(window_least, math.ceil(window_share * n))
-    # queries of a cell are split so that no task multiplies more than QUERIES by CELL
-    chunks = max(1, math.ceil((cell + 2 * window) * n_queries / n / QUERIES))
-    last = (n + n_queries - 1) // cell
     asked = places.where("asking").select("uid", "curve", F.explode(F.sequence(
         F.greatest(F.floor((F.col("rank") - window) / cell), F.lit(0)),
-        F.least(F.floor((F.col("rank") + window) / cell), F.lit(last)))).alias("cell"),
-        F.pmod(F.xxhash64("uid"), F.lit(chunks)).alias("chunk"))
+        F.least(F.floor((F.col("rank") + window) / cell), last))).alias("cell"),
+        F.pmod(F.xxhash64("uid"), chunks).alias("chunk"))
     held = places.where("not asking").select("uid", "curve", F.floor(F.col("rank") / cell).alias("cell"),
-                                             F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"))
+                                             F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"))
     by = ["curve", "cell", "chunk"]
     data = rows.select("uid", "vec_id", "vector")
     # both sides come from the same tables, so the right one gets columns of its own
