@@ -76,6 +76,16 @@ def test_empty_tables(spark, odd, labels, tmp_path):
     assert urlrules.judge(empty).count() == 0
 
 
+def test_clean_rows_stay_whatever_their_id(spark):
+    frames.settings(spark)
+    benchmark = spark.createDataFrame([(1, "a passage of the benchmark")], "item_id long, text string")
+    leak = "here is A passage of the benchmark, copied"
+    rows = [(1, leak), (1, "clean"), (None, leak), (None, "also clean"), (None, None), (2, "clean"), (3, leak)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in decontaminate.drop_contaminated(docs, benchmark).collect()]
+    assert sorted(kept, key=repr) == sorted([r for r in rows if r[1] != leak], key=repr)
+
+
 def test_filters_keep_all_columns(odd, labels, spark):
     benchmark = spark.createDataFrame([(1, "no id at all")], "item_id long, text string")
     civil = toxicity.drop_toxic(odd, labels)

@@ -63,6 +63,10 @@ def _runs(lengths: list[int]) -> Column:
     return F.concat(*[F.coalesce(_each_start("_words", n, run(n)), none) for n in lengths])
 
 
+def _digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
     """``(id, n_words, n_hit, n_items, items_sha256, contaminated)`` for every row of ``docs``.
 
@@ -73,6 +77,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows and repeated or null ids give one row each; equal texts are worked out
     once. Empty tables are fine on either side. Extra columns are left out.
     """
+    return _judged(docs, benchmark, id_col, item_col).drop("digest")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, item_col: str = "item_id") -> DataFrame:
+    """``contamination`` with each text's digest."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col("text")).alias("_words"))
     items = items.where(F.size("_words") > 0)
     # at most nine numbers: which items are shorter than a window
@@ -89,7 +98,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     runs = written(runs.select("item", F.col("r.run").alias("run")).distinct(), "windows")
 
     # one pass over all texts: a row of each document, and a row of each mark it shares with the benchmark
-    every = docs.select(F.col(id_col), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("digest"),
+    every = docs.select(F.col(id_col), _digest(F.col("text")).alias("digest"),
                         words_of(F.col("text")).alias("_words"))
     every = _winnowed(every).select(id_col, "digest", F.size("_words").alias("n_words"),
                                     F.posexplode_outer(_fingerprints(every, short)).alias("at", "mark"))
@@ -100,8 +109,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     # of equal texts one is compared with the windows themselves
     chosen = passed.where("shared").groupBy("digest").agg(F.min(id_col).alias("_chosen"))
-    found = docs.select(F.col(id_col), F.col("text"), F.md5(F.coalesce(
-        F.col("text").cast("string"), F.lit("")).cast("binary")).alias("digest"))
+    found = docs.select(F.col(id_col), F.col("text"), _digest(F.col("text")).alias("digest"))
     found = found.join(chosen, (found.digest == chosen.digest) & found[id_col].eqNullSafe(chosen._chosen), "left_semi")
     found = found.select("digest", words_of(F.col("text")).alias("_words"))
     found = found.select("digest", F.explode(_runs(lengths)).alias("r")).select("digest", "r.at", "r.n", "r.run")
@@ -116,19 +124,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     heads = passed.where("head").select(id_col, "digest", "n_words")
     zero = F.lit(0).cast("long")
     return heads.join(result, "digest", "left").select(
-        id_col, F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", zero).alias("n_hit"),
+        id_col, "digest", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", zero).alias("n_hit"),
         F.coalesce("n_items", zero).alias("n_items"),
         F.sha2(F.coalesce("ids", F.lit("")).cast("binary"), 256).alias("items_sha256"),
         F.col("n_hit").isNotNull().alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows of ids whose text holds a window of the benchmark.
+    """``docs`` without the rows whose text holds a window of the benchmark.
 
-    Where an id is repeated, one contaminated row takes all of them along.
+    Rows go by their own text, whatever rows share their id.
     """
-    bad = contamination(docs, benchmark, id_col).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad")), "left_anti")
+    bad = _judged(docs, benchmark, id_col).where("contaminated").select(F.col("digest").alias("_bad")).distinct()
+    return docs.join(bad, _digest(docs["text"]) == F.col("_bad"), "left_anti")
 
 
 _WORDS = (f"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), "
