@@ -96,4 +96,4 @@ def test_filters_keep_all_columns(odd, labels, spark):
     # equal texts leave one row; null, empty and blank texts are one group
     assert ids(single) == sorted([1, 2, 5, 6, 7, None], key=repr)
     assert unseen.where("text = 'no id at all'").count() == 0
-    assert ids(unseen) == [1, 1, 2, 3, 4, 5, 6, 7]  # the other row without id goes along with its id
+    assert ids(unseen) == [1, 1, 2, 3, 4, 5, 6, 7, None]  # the other row without id stays
