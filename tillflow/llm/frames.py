@@ -45,6 +45,17 @@ def sampled(df: DataFrame, id_col: str, most: int, longest: int) -> list[str]:
     return [r.text for r in rows.orderBy(hashed, id_col, "text").limit(most).select("text").collect()]
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, lengthened where a column has that name already; Spark does not tell cases apart."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_texts(df: DataFrame, fn: Callable[[list[str]], dict[str, list]], schema: str) -> DataFrame:
     """Add the columns that ``fn`` makes of a batch's texts and drop the text.
 

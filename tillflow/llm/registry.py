@@ -29,4 +29,4 @@ def query(name: str, sql: str | None = None):
 def load() -> None:
     """Import every module that registers queries."""
     from tillflow.llm import (  # noqa: F401
-        ann, bpe, contexttree, decontaminate, pages, resampling, runs, simhash, tokencounts, tokenfiles, toxicity, urlrules)
+        ann, bpe, contexttree, decontaminate, pages, pii, resampling, runs, simhash, tokencounts, tokenfiles, toxicity, urlrules)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillflow.llm.frames import table
+from tillflow.llm.frames import table, unused
 from tillflow.llm.registry import query
 from tillflow.session import written
 
@@ -192,10 +192,11 @@ def ranked(df: DataFrame, *order: Column) -> DataFrame:
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     spark = df.sparkSession
-    rows = df.withColumn("place_", F.monotonically_increasing_id())
-    order = (*order, F.col("place_"))
+    place, part_, offset = unused(df.columns, "place", "part", "before")
+    rows = df.withColumn(place, F.monotonically_increasing_id())
+    order = (*order, F.col(place))
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = df.withColumns({"part_": F.lit(0), "rank": F.lit(0).cast("long")}).schema
+    schema = df.withColumns({part_: F.lit(0), "rank": F.lit(0).cast("long")}).schema
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,14 +207,14 @@ def ranked(df: DataFrame, *order: Column) -> DataFrame:
                                               pa.array(np.arange(before + 1, before + n + 1))], schema=arrow)
             before += n
 
-    sorted_ = rows.repartitionByRange(shuffles, *order).sortWithinPartitions(*order).drop("place_")
+    sorted_ = rows.repartitionByRange(shuffles, *order).sortWithinPartitions(*order).drop(place)
     placed = written(sorted_.mapInArrow(run, schema), "ranked")
     totals, before = [], 0
-    for r in placed.groupBy("part_").agg(F.count("*").alias("n")).orderBy("part_").collect():  # one row a range
-        totals.append((r.part_, before))
+    for r in placed.groupBy(part_).agg(F.count("*").alias("n")).orderBy(part_).collect():  # one row a range
+        totals.append((r[part_], before))
         before += r.n
-    offsets = spark.createDataFrame(totals, "part_ int, before_ long")
-    return placed.join(F.broadcast(offsets), "part_").withColumn("rank", F.col("rank") + F.col("before_")).drop("part_", "before_")
+    offsets = spark.createDataFrame(totals, f"{part_} int, {offset} long")
+    return placed.join(F.broadcast(offsets), part_).withColumn("rank", F.col("rank") + F.col(offset)).drop(part_, offset)
 
 
 def resampled(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int = 1,
@@ -229,6 +230,9 @@ def resampled(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_c
     tables are fine on either side. ``keep`` names further columns to
     carry along, as the texts of a training set; all others are left out.
     """
+    clash = {c.lower() for c in keep} & {id_col.lower(), "n_words", "buckets", "n_features", "weight", "score", "rank"}
+    if clash:
+        raise ValueError(f"these names are taken: {sorted(clash)}")
     features = head_of(docs, target, longest, buckets, text_col)
     rows = written(bucketed(docs, features, [id_col, *keep], text_col), "buckets")
     gain = gains(bucket_totals(rows, buckets), bucket_totals(bucketed(target, features, [], text_col), buckets))
