@@ -94,7 +94,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 AT = re.compile(r"\s?[\[({<]\s?(?:at|AT|@)\s?[\])}>]\s?|\s(?:at|AT|@)\s|\s@|@\s")
 LAST_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOT = r"(?:\.|\s?[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>]\s?|\s(?:dot|DOT)\s)"
-SPELLED = re.compile(rf"[A-Za-z0-9-]{{1,63}}(?:{DOT}[A-Za-z0-9-]{{1,63}})*?{DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9-])")
+SPELLED = re.compile(rf"[A-Za-z0-9-]{{1,63}}(?:{DOT}[A-Za-z0-9-]{{1,63}})*{DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9-])")
 DOT_ONLY = re.compile(DOT)
 NUMBER = re.compile(r"\+?\(?[0-9](?:[ ()./-]{0,2}[0-9])*+")
 COLONS = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Za-z:])")
