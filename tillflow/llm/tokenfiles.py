@@ -32,6 +32,8 @@ END_ID = 0
 LEVEL = 3
 # the dictionary is trained on at most so many documents of at most so many bytes
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 1 << 15, 1 << 16
+# this operator spends its time on new words, so a worker remembers more parts than others do (some 400 MB)
+REMEMBERED = 2_000_000
 BLOCK_DOCS, BLOCK_BYTES = 4096, 4 << 20
 BLOCK = ("part int, block int, start long, first_id long, last_id long, dictionary string, width int, "
          "ids array<long>, n_tokens array<long>, offsets array<long>, frames binary")
@@ -67,7 +69,7 @@ class Coder:
         """The ids of a text and the end id, each in ``width`` bytes, little-endian."""
         tok = tokenizer(self.path)
         parts = kept(f"parts {self.path} {self.width}", lambda: units.Parts(
-            units.packed(part_ids(tok), self.width)))
+            units.packed(part_ids(tok), self.width), REMEMBERED))
         return units.encode(text, parts) + END_ID.to_bytes(self.width, "little")
 
     def ids(self, frame: bytes) -> np.ndarray:

@@ -67,7 +67,9 @@ class Parts(dict):
 
 def split(text: str) -> list[str]:
     """The parts of a text; each but the first has lost the space before it."""
-    if "  " in text or " \n" in text or "\n " in text or text[-1:] == " " or UNUSUAL.search(text):
+    if ("  " in text or " \n" in text or "\n " in text or text[-1:] == " "
+            # other white space is not printable, which is known sooner than a search
+            or not text.replace("\n", "").isprintable() and UNUSUAL.search(text)):
         return STABLE.split(text)
     return text.split(" ")
 
