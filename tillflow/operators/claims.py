@@ -47,7 +47,7 @@ def claim_ledger(commands: DataFrame, opening: DataFrame, hot_rows: int = HOT_RO
     ``short``, ``void`` or ``returned``, null if it was never tried. Commands without key
     are spread and change nothing.
     """
-    opening = opening.where(F.col("key").isNotNull()).groupBy("key").agg(F.sum("opening").alias("opening"))
+    opening = opening.where(F.col("key").isNotNull())
     hot, limit = hot_keys(commands, "key", hot_rows, sized_by)
     if not hot:
         return _carried(commands, opening)
@@ -147,7 +147,7 @@ def _fold(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Re
             names_ = claims.slice(lo, hi - lo).to_pylist()
             for i in range(lo, hi):
                 if opening[i]:
-                    account.balance = int(delta[i])
+                    account.balance = (account.balance or 0) + int(delta[i])
                     continue
                 accepted[i], outcome[i], state[i] = account.apply(int(delta[i]) if whole[i] else None, names_[i - lo], back[i])
                 known[i] = account.balance is not None and outcome[i] != VOID
@@ -167,7 +167,7 @@ def _fold(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Re
 
 def _in_rounds(commands: DataFrame, opening: DataFrame, hot_rows: int) -> DataFrame:
     names = commands.columns
-    known = opening.select("key", F.lit(True).alias("known"))
+    known = opening.select("key", F.lit(True).alias("known")).distinct()
     rows = written(commands.join(F.broadcast(known), "key", "left")  # one row a hot key
                    .withColumn("effect", F.when(F.coalesce("give_back", F.lit(False)), 0).otherwise(F.col("delta"))), "claims")
     while True:

@@ -8,7 +8,8 @@ from tillflow import vocabulary as v
 from tillflow.functions.codes import name_of
 from tillflow.functions.jsontext import json_object, quoted, raw
 from tillflow.operators.guards import payment_price_reason
-from tillflow.operators.ledger import HOT_ROWS, guarded_ledger
+from tillflow.operators import claims
+from tillflow.operators.claims import HOT_ROWS
 from tillflow.operators.routing import first_reason
 
 # fixed values: why a payment is not started again
@@ -40,45 +41,51 @@ def order_lookup(requests: DataFrame, orders: DataFrame, prices: DataFrame) -> D
             .drop("user_", "price_"))
 
 
-def pay_orders(requests: DataFrame, orders: DataFrame, prices: DataFrame, users: DataFrame,
-               hot_rows: int = HOT_ROWS, sized_by: DataFrame | None = None, unique: bool = False) -> DataFrame:
-    """Pay the first request of each order, in order (t, seq) per user.
-
-    ``users`` holds the existing users with their credits. One pass debits
-    those that pass every check; the rest is refused with the first reason.
-    Later requests of an order (``seq`` is unique) are errors and move nothing:
-    its payment is concluded, or was still under way. ``unique`` promises that
-    there are none, as for the one payment of a checkout.
+def settle(requests: DataFrame, orders: DataFrame, prices: DataFrame, users: DataFrame, moves: DataFrame | None = None,
+           hot_rows: int = HOT_ROWS, sized_by: DataFrame | None = None) -> DataFrame:
+    """Payments and cancellations in one pass, per user in the order (t, seq).
+
+    ``requests`` has order_id, t, a unique seq and may have ``give_back`` (a
+    cancellation), user_id and price; ``users`` holds the existing users with
+    their credits, ``moves`` (key, t, seq, delta) what else happens to them. A
+    payment that ended invalid, failed or cancelled is started again by the next
+    request; a paid one is concluded, and the first cancellation refunds what was
+    paid. Requests of an order that bring different users are settled by user.
     """
-    if not unique:
-        once = first_of_each(requests, "order_id")
-        ran = pay_orders(requests.join(once, "seq", "left_semi"), orders, prices, users, hot_rows, sized_by, True)
-        again = requests.join(once, "seq", "left_anti").select("order_id", "seq", "t").join(
-            ran.select("order_id", "user_id", "price", "status"), "order_id")
-        reason = F.when(F.col("status") == PAID, CONCLUDED).otherwise(UNDER_WAY)
-        return ran.unionByName(again.select(
-            "order_id", "user_id", "price", "seq", "t", "status", F.lit("error").alias("result"),
-            F.concat(F.lit(v.MANAGED), reason).alias("message")), allowMissingColumns=True)
     asked = order_lookup(requests, orders, prices)
-    known = users.select("user_id", F.lit(True).alias("known_"))
-    checked = asked.join(known, "user_id", "left").withColumn("reason", first_reason(
-        (F.col("state") == "no-order", "Order does not exist."),
-        (F.col("price") <= 0, payment_price_reason(F.col("price"))),
-        (F.col("known_").isNull(), "User does not exist."))).drop("known_", "state")
-    debits = (checked.where(F.col("reason").isNull()).withColumnRenamed("user_id", "key")
-              .withColumn("delta", -F.col("price")))
+    if "give_back" not in asked.columns:
+        asked = asked.withColumn("give_back", F.lit(False))
+    there = F.col("state") == "order-exists"
+    commands = asked.select(
+        "order_id", "user_id", "price", "seq", "t", F.coalesce("give_back", F.lit(False)).alias("give_back"), there.alias("there"),
+        F.when(there, F.col("user_id")).alias("key"), F.col("order_id").alias("claim"),
+        F.when(F.col("price") > 0, -F.col("price")).alias("delta"))
+    if moves is not None:
+        commands = commands.unionByName(moves.select("key", "t", "seq", "delta"), allowMissingColumns=True)
     opening = users.select(F.col("user_id").alias("key"), F.col("credits").alias("opening"))
-    ran = guarded_ledger(debits, opening, hot_rows, sized_by).withColumnRenamed("key", "user_id").select(
-        "order_id", "user_id", "price", "seq", "t",
-        F.when(F.col("accepted"), PAID).otherwise(FAILED).alias("status"), "balance",
-        F.when(~F.col("accepted"), "User does not have enough credits.").alias("reason"))
-    refused = checked.where(F.col("reason").isNotNull()).select(
-        "order_id", "user_id", "price", "seq", "t", F.lit(INVALID).alias("status"), "reason")
-    fine = F.col("reason").isNull()
-    return ran.unionByName(refused, allowMissingColumns=True).select(
-        "order_id", "user_id", "price", "seq", "t", "status", "balance",
-        F.when(fine, "success").otherwise("failure").alias("result"),
-        F.coalesce("reason", F.lit("Payment completed, user credits subtracted.")).alias("message"))
+    ran = claims.claim_ledger(commands, opening, hot_rows, sized_by).where(F.col("claim").isNotNull())
+    outcome, back = F.col("outcome"), F.col("give_back")
+    errors = first_reason(
+        (back & (~F.col("there") | (outcome == claims.ABSENT)), v.not_found("payment")),
+        (back & ~F.col("accepted"), "Cannot cancel payment."), (outcome == claims.HELD, CONCLUDED))
+    failures = first_reason(
+        (~F.col("there"), "Order does not exist."), (outcome == claims.VOID, payment_price_reason(F.col("price"))),
+        (outcome == claims.UNKNOWN, "User does not exist."), (outcome == claims.SHORT, "User does not have enough credits."))
+    state = F.col("claim_state")
+    status = (F.when(state == claims.HELD, PAID).when(state == claims.SHORT, FAILED).when(state == claims.VOID, INVALID)
+               .when(state == claims.RETURNED, CANCELLED).when(~back, INVALID))
+    return ran.select(
+        "order_id", "user_id", "price", "seq", "t", "give_back", status.alias("status"), "balance",
+        F.when(errors.isNotNull(), "error").when(failures.isNotNull(), "failure").otherwise("success").alias("result"),
+        F.coalesce(F.concat(F.lit(v.MANAGED), errors), failures,
+                   F.when(back, "Payment cancelled. User credits refunded.")
+                    .otherwise("Payment completed, user credits subtracted.")).alias("message"))
+
+
+def pay_orders(requests: DataFrame, orders: DataFrame, prices: DataFrame, users: DataFrame,
+               hot_rows: int = HOT_ROWS, sized_by: DataFrame | None = None) -> DataFrame:
+    """Pay orders: ``settle`` without cancellations."""
+    return settle(requests, orders, prices, users, None, hot_rows, sized_by).drop("give_back")
 
 
 def first_of_each(requests: DataFrame, key: str) -> DataFrame:
@@ -130,7 +137,7 @@ def duplicate_payments(requests: DataFrame, settled: DataFrame) -> DataFrame:
 def checkout_payments(orders: DataFrame, prices: DataFrame, users: DataFrame, hot_rows: int = HOT_ROWS,
                       sized_by: DataFrame | None = None) -> DataFrame:
     """The payment side of a checkout: result code, payment status and message."""
-    paid = pay_orders(orders.select("order_id", "t", "seq"), orders, prices, users, hot_rows, sized_by, unique=True)
+    paid = pay_orders(orders.select("order_id", "t", "seq"), orders, prices, users, hot_rows, sized_by)
     message = (F.when(F.col("status") == PAID, "Credits subtracted.")
                 .when(F.col("status") == FAILED, v.NO_CREDITS).otherwise(F.col("message")))
     code = (F.when(F.col("status") == PAID, v.SUCCESS).when(F.col("status") == FAILED, v.FAILURE).otherwise(v.ERROR))
