@@ -97,3 +97,20 @@ def test_filters_keep_all_columns(odd, labels, spark):
     assert ids(single) == sorted([1, 2, 5, 6, 7, None], key=repr)
     assert unseen.where("text = 'no id at all'").count() == 0
     assert ids(unseen) == [1, 1, 2, 3, 4, 5, 6, 7, None]  # the other row without id stays
+
+
+def test_filters_with_clashing_names_and_a_map(spark, labels):
+    frames.settings(spark)
+    names = "_bad bad _several several _head head _bits bits _id _own _root root _row row own asked id digest".split()
+    rows = [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "no id at all"), (None, "e f g"), (2, "e f g h i j")]
+    docs = spark.createDataFrame([(i, t, {"k": n}, *["x"] * len(names)) for n, (i, t) in enumerate(rows)],
+                                 "doc_id long, text string, tags map<string,int>, " + ", ".join(f"{n} string" for n in names))
+    benchmark = spark.createDataFrame([(1, "no id at all")], "item_id long, text string")
+    single = simhash.drop_near_duplicates(docs)
+    assert single.columns == docs.columns
+    assert sorted(((r.doc_id, r.text, r.tags["k"]) for r in single.collect()), key=repr) == [
+        (1, "a b c d", 0), (2, "e f g h i j", 5), (2, "no id at all", 3), (None, "e f g", 4)]
+    unseen = decontaminate.drop_contaminated(docs, benchmark)
+    assert unseen.columns == docs.columns and unseen.count() == 5
+    civil = toxicity.drop_toxic(docs, labels)
+    assert civil.columns == docs.columns and civil.count() == 6

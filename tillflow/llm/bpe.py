@@ -13,6 +13,7 @@ import base64
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -25,8 +26,8 @@ RANKS = "byte_bpe_50k.tiktoken"
 NEVER = 1 << 60
 # pieces up to this length share one table of prefixes, longer ones have their own
 SHARED_BYTES = 64
-SHARED_PREFIXES = 600_000
-PAIRS = 1_000_000
+# what a worker remembers before it starts anew, some 150 MB in all
+SHARED_PREFIXES, PAIRS, PARTS = 450_000, 200_000, 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -63,7 +64,7 @@ class PrefixBpe:
         self.reachable = {r for t, r in ranks.items() if len(t) == 1} | set(self.left)
         self.endings = {t[i:] for t in ranks for i in range(len(t))}
         self.prefixes: dict[bytes, int] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def _edge(self, token: int, inner: dict[int, int]) -> list[tuple[int, int]]:
         """A token's parts at one edge, each with the rank of the merge that ended it."""
@@ -74,7 +75,7 @@ class PrefixBpe:
 
     def may_follow(self, a: int, b: int) -> bool:
         """No merge across the border of a and b comes before the merges that use up its two sides."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 32 | b)
         if known is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
@@ -88,7 +89,7 @@ class PrefixBpe:
                         break
                 if not known:
                     break
-            self.pairs[a, b] = known
+            self.pairs[a << 32 | b] = known
         return known
 
     def _last(self, piece: bytes, end: int, last_of) -> int:
@@ -147,7 +148,7 @@ def codec(ranks_path: str) -> tuple[PrefixBpe, units.Parts]:
     """The worker's encoder and its memory of parts."""
     def make():
         bpe = PrefixBpe(load_ranks(ranks_path), public_tokenizers.PATTERN)
-        return bpe, units.Parts(units.packed(bpe.encode, 4), 500_000)
+        return bpe, units.Parts(units.packed(bpe.encode, 4), PARTS)
     return kept(f"bpe {ranks_path}", make)
 
 
@@ -156,12 +157,17 @@ def encode_texts(batch: list[str], ranks_path: str, with_ids: bool) -> dict[str,
     made = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": []} if with_ids else {})
     names = kept(f"decimal {ranks_path}", lambda: [str(i).encode() for i in range(len(bpe.bytes))])
     for text in batch:
-        ids = np.frombuffer(units.encode(text, parts), "<u4").tolist()
+        data = np.frombuffer(units.encode(text, parts), "<u4")
+        ids = data.tolist()
         made["n_tokens"].append(len(ids))
         made["ids_sha256"].append(hashlib.sha256(b" ".join(map(names.__getitem__, ids))).hexdigest())
         made["decoded_sha256"].append(hashlib.sha256(bpe.decode(ids)).hexdigest())
         if with_ids:
-            made["ids"].append(ids)
+            made["ids"].append(data.astype(np.int32))
+    if with_ids:
+        # one flat buffer, no number of Python's own for each id of the batch
+        ends = np.concatenate(([0], np.cumsum(made["n_tokens"]))).astype(np.int32)
+        made["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made["ids"] or [np.zeros(0, np.int32)])))
     return made
 
 

@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillflow.llm.frames import table
+from tillflow.llm.frames import table, unused
 from tillflow.llm.registry import query
 from tillflow.session import written
 
 WINDOW = 10
+SALTS = 16  # a passage that very many documents hold is spread over so many tasks
 GRAM = 5  # WINDOW - GRAM + 1 grams compete in each window
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN_WORDS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -113,11 +114,14 @@ def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, item_col: str =
     found = found.join(chosen, (found.digest == chosen.digest) & found[id_col].eqNullSafe(chosen._chosen), "left_semi")
     found = found.select("digest", words_of(F.col("text")).alias("_words"))
     found = found.select("digest", F.explode(_runs(lengths)).alias("r")).select("digest", "r.at", "r.n", "r.run")
-    hits = written(found.join(runs.select("run").distinct(), "run", "left_semi").distinct(), "hits")
+    salt = F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int").alias("salt")
+    spread = written(runs.select("item", "run", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "spread")
+    hits = written(found.select("*", salt).join(spread.select("run", "salt").distinct(), ["run", "salt"], "left_semi").distinct(), "hits")
 
     covered = hits.select("digest", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("w")).distinct()
     covered = covered.groupBy("digest").agg(F.count("*").alias("n_hit"))
-    named = hits.select("digest", "run").distinct().join(runs.where("item is not null"), "run").select("digest", "item").distinct()
+    named = hits.select("digest", "run", "salt").distinct().join(spread.where("item is not null"), ["run", "salt"])
+    named = named.select("digest", "item").distinct()
     named = named.groupBy("digest").agg(F.count("*").alias("n_items"),
                                         F.array_join(F.array_sort(F.collect_list("item")), ",").alias("ids"))
     result = covered.join(named, "digest", "left")
@@ -135,8 +139,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     Rows go by their own text, whatever rows share their id.
     """
-    bad = _judged(docs, benchmark, id_col).where("contaminated").select(F.col("digest").alias("_bad")).distinct()
-    return docs.join(bad, _digest(docs["text"]) == F.col("_bad"), "left_anti")
+    name, = unused(docs.columns, "bad")
+    bad = _judged(docs, benchmark, id_col).where("contaminated").select(F.col("digest").alias(name)).distinct()
+    return docs.join(bad, _digest(F.col("text")) == F.col(name), "left_anti")
 
 
 _WORDS = (f"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), "

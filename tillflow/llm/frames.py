@@ -14,13 +14,17 @@ from tillflow.session import prepare
 
 # rows and bytes of one Arrow batch: long texts must not pile up in a Python worker
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+# a writing task holds a row group of texts in memory
+ROW_GROUP_BYTES = 32 << 20
 
 
 def settings(spark: SparkSession) -> SparkSession:
     prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    if spark.conf.get("parquet.block.size", None) is None:
+        spark.conf.set("parquet.block.size", ROW_GROUP_BYTES)
     return spark
 
 
@@ -71,7 +75,8 @@ def map_texts(df: DataFrame, fn: Callable[[list[str]], dict[str, list]], schema:
         for batch in batches:
             made = fn(batch.column(batch.schema.get_field_index("text")).to_pylist())
             columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
-            columns += [pa.array(made[f.name], f.type) for f in list(arrow)[len(keys):]]
+            columns += [made[f.name].cast(f.type) if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type)
+                        for f in list(arrow)[len(keys):]]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in arrow])
 
     return df.mapInArrow(run, out_schema)

@@ -14,10 +14,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tillflow.llm.components import components
-from tillflow.llm.frames import map_texts, table, texts
+from tillflow.llm.frames import map_texts, table, texts, unused
 from tillflow.llm.registry import query
 from tillflow.session import written
 
@@ -139,35 +138,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", crowded: int = CROW
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each group: the smallest id, of equal ids the smallest row.
+    """``docs`` with one row of each group: the smallest id, of equal ids the row of the smallest JSON text.
 
-    A group without any id keeps its smallest row. All columns stay as they are.
+    A group without any id keeps the smallest row by the same rule. All columns
+    stay as they are, whatever their names and types. Null and blank texts are one group.
     """
     groups = written(near_duplicates(docs, id_col), "groups")
+    several_, head_, bits_ = unused(docs.columns, "several", "head", "bits")
     heads = F.col(id_col).eqNullSafe(F.col("component_id")) | F.col("component_id").isNull()
     several = groups.groupBy(id_col).agg(F.count("*").alias("rows_")).where(f"rows_ > 1 or `{id_col}` is null")
-    several = written(several.select(F.col(id_col).alias("_several")), "several")
-    clear = groups.where(heads & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_head"))
-    clear = clear.join(several, F.col("_head") == F.col("_several"), "left_anti")
-    kept = docs.join(clear, docs[id_col] == F.col("_head"), "left_semi")
+    several = written(several.select(F.col(id_col).alias(several_)), "several")
+    clear = groups.where(heads & F.col(id_col).isNotNull()).select(F.col(id_col).alias(head_))
+    clear = clear.join(several, F.col(head_) == F.col(several_), "left_anti")
+    kept = docs.join(clear, F.col(id_col) == F.col(head_), "left_semi")
     if several.isEmpty():
         return kept
     # rare: an id that several rows have, or none at all, does not say which row is meant; the fingerprint does
-    unsure = with_bits(docs.join(several, docs[id_col].eqNullSafe(F.col("_several")), "left_semi"))
-    chosen = groups.where(heads).select(F.col(id_col).alias("_id"), F.col("bits").alias("_own"), F.col("root").alias("_root")).distinct()
-    least = (unsure.join(chosen, unsure[id_col].eqNullSafe(F.col("_id")) & (F.col("_bits") == F.col("_own")))
-             .groupBy("_root").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("_row")))
-    return kept.unionByName(least.select(*[F.col("_row")[c].alias(c) for c in docs.columns]))
-
-
-def with_bits(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and each text's fingerprint as ``_bits``."""
-    def run(batches):
-        for batch in batches:
-            texts_ = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            bits = pa.array([fingerprint(t or "") for t in texts_], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, bits], names=[*batch.schema.names, "_bits"])
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_bits", T.LongType())]))
+    unsure = with_bits(docs.join(several, F.col(id_col).eqNullSafe(F.col(several_)), "left_semi"), bits_)
+    chosen = groups.where(heads).select(F.col(id_col).alias(head_), F.col("bits").alias(several_), F.col("root")).distinct()
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    packed = unsure.select(row.alias("row"), F.col(bits_).alias("own"), F.col(id_col).alias("asked"))
+    chosen = chosen.select(F.col(head_).alias("id"), F.col(several_).alias("bits"), "root")
+    least = (packed.join(chosen, F.col("asked").eqNullSafe(F.col("id")) & (F.col("own") == F.col("bits")))
+             .groupBy("root").agg(F.min_by("row", F.to_json("row")).alias("row")))
+    return kept.unionByName(least.select("row.*"))
+
+
+def with_bits(docs: DataFrame, name: str) -> DataFrame:
+    """All columns of ``docs`` and each text's fingerprint as ``name``; of a null text that of an empty one."""
+    @F.arrow_udf("bigint")
+    def bits(text: pa.Array) -> pa.Array:
+        return pa.array([fingerprint(t or "") for t in text.to_pylist()], pa.int64())
+    return docs.withColumn(name, bits(F.col("text").cast("string")))
 
 
 @query("op1_simhash")

@@ -10,7 +10,6 @@ compresses it. The document's gains become a score by thresholds calibrated
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
@@ -216,15 +215,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Data
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with all columns, without the rows whose text the classifier rejects."""
+    """``docs`` with all columns, without the rows whose text the classifier rejects.
+
+    Rows go by their own text: null texts count as empty, repeated rows and
+    repeated or null ids are judged one by one, an empty table stays empty.
+    Only the text goes to Python; the other columns stay where they are.
+    """
     model = trained(docs, labels, id_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([model.score(t or "") < 0.5 for t in text], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def civil(text: pa.Array) -> pa.Array:
+        return pa.array([model.score(t or "") < 0.5 for t in text.to_pylist()], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(civil(F.col("text").cast("string")))
 
 
 @query("op9_toxicity")
