@@ -29,4 +29,4 @@ def query(name: str, sql: str | None = None):
 def load() -> None:
     """Import every module that registers queries."""
     from tillflow.catalog import (  # noqa: F401
-        accounts, batches, checkouts, messages, orders, payments, quality, responses, streams)
+        accounts, batches, checkouts, lives, messages, orders, payments, quality, responses, streams)
