@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import json
+import random
 from itertools import count
 
 import pytest
@@ -12,7 +13,7 @@ from tillflow import vocabulary as v
 from tillflow.functions import envelope as env
 from tillflow.session import fresh_path
 from tillflow.sources import bus as buses
-from tillflow.streaming import analytics, replay, rules
+from tillflow.streaming import analytics, jobs, replay, rules
 
 NUMBERS = count(1)
 
@@ -133,6 +134,92 @@ def test_requests_without_answer_time_out(spark):
     assert sorted((r.request_id, r.response_ts is not None) for r in rows) == [(str(i), i < 5) for i in range(10)]
 
 
+def run_to_files(stream, path, label):
+    (stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint-{label}")
+     .trigger(availableNow=True).start().awaitTermination(300))
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+ITEMS = "batch_id string, batch_count long, item_id string, passed string, value string, ts timestamp, seq long, reason string"
+
+
+def test_fan_in_counts_items_not_answers(spark):
+    path = fresh_path(spark, "items")
+
+    def at(seconds):
+        return dt.datetime(2024, 1, 1) + dt.timedelta(seconds=seconds)
+
+    def send(*rows):
+        spark.createDataFrame([(b, 2, i, p, "{}", at(s), n, reason) for n, (b, i, p, s, reason) in enumerate(rows)], ITEMS).coalesce(
+            1).write.mode("append").parquet(f"{path}/in")
+        return run_to_files(jobs.fan_in(spark.readStream.schema(ITEMS).parquet(f"{path}/in"), "0 seconds", 10), path, "fan-in").collect()
+
+    # one item answers twice: not complete; an unreadable record comes out as such
+    got = send(("b1", "i1", "1", 0, None), ("b1", "i1", "2", 1, None), ("b2", "i1", "7", 1, None), ("quarantine:x", None, None, 1, "no item"))
+    assert [(r.complete, r.products) for r in got] == [(None, "no item")]
+    # the other item completes it, with the latest answer of the first; the repeat behind it changes nothing
+    got = send(("b1", "i2", "3", 2, None), ("b1", "i2", "3", 2, None), ("b1", "i1", "2", 2, None))
+    done = [r for r in got if r.complete]
+    assert [(r.batch_id, r.seen, r.products) for r in done] == [("b1", 2, '{"i1":2,"i2":3}')]
+    assert len(send(("b1", "i1", "9", 3, None))) == 2
+    # past every timer: the incomplete one is given up, and nothing is kept of the other
+    got = send(("end", "i1", "1", 1000, None))
+    assert [(r.batch_id, r.seen) for r in got if r.complete is False] == [("b2", 1)]
+    state = spark.read.format("statestore").option("stateVarName", "done").load(f"{path}/checkpoint-fan-in")
+    assert state.count() == 0
+    kept = spark.read.format("statestore").option("stateVarName", "seen").load(f"{path}/checkpoint-fan-in").select("key.*").collect()
+    assert [tuple(r) for r in kept] == [("end",)]
+
+
+def test_first_answers_come_once(spark):
+    rng, path = random.Random(3), fresh_path(spark, "answers")
+    start = dt.datetime(2024, 1, 1)
+    asked = {f"r{i}": rng.randrange(2000) for i in range(60)}
+    replied = [(f"r{rng.randrange(80)}", rng.randrange(2200)) for _ in range(300)]
+    # in slices of arrival that are out of order by less than the lateness
+    for low in range(0, 2400, 200):
+        spark.createDataFrame([(k, start + dt.timedelta(seconds=t)) for k, t in asked.items() if low <= t + hash_of(k) % 90 < low + 200],
+                              "request_id string, request_ts timestamp").write.mode("append").parquet(f"{path}/asked")
+        spark.createDataFrame([(k, start + dt.timedelta(seconds=t)) for k, t in replied if low <= t + hash_of(k + str(t)) % 90 < low + 200],
+                              "request_id string, response_ts timestamp").write.mode("append").parquet(f"{path}/replied")
+    spark.createDataFrame([("end", start + dt.timedelta(days=9))], "request_id string, request_ts timestamp").write.mode("append").parquet(f"{path}/asked")
+    rows = run_to_files(analytics.first_answers(
+        spark.readStream.schema("request_id string, request_ts timestamp").option("maxFilesPerTrigger", 8).parquet(f"{path}/asked"),
+        spark.readStream.schema("request_id string, response_ts timestamp").option("maxFilesPerTrigger", 8).parquet(f"{path}/replied"),
+        100, "400 seconds"), path, "answers").collect()
+    want = {}
+    for k, t in asked.items():
+        want[k] = min((a for b, a in replied if b == k and t <= a <= t + 100), default=None)
+    got = {r.request_id: None if r.response_ts is None else int((r.response_ts - start).total_seconds()) for r in rows}
+    assert len(rows) == len(got) and got == want
+    assert {v is None for v in want.values()} == {True, False}
+
+
+def hash_of(text):
+    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+
+
+def test_payments_are_tried_again_as_the_job_does(spark, folder):
+    """All payments, then all of them once more: the batch form equals the payment job."""
+    from tillflow.catalog import payments as fixtures, streams
+    from tillflow.catalog.accounts import existing_users
+    from tillflow.operators import payments
+    from tillflow.sources.fixtures import orders0
+    once = fixtures.pay_requests(spark, folder)
+    again = once.select("order_id", (F.col("t") + 10**15).alias("t"), (F.col("seq") + 10**9).alias("seq"))
+    bus = fresh_path(spark, "twice")
+    buses.make_folders(spark, bus)
+    snapshots = {v.USER: streams.user_snapshot(existing_users(spark, folder)), v.ORDER: streams.order_snapshot(spark, folder)}
+    for asked in (once, again):
+        asked = asked.withColumns({"request_id": F.concat_ws("/", "order_id", "seq"), "ts": F.timestamp_micros("t")})
+        buses.send(streams.web(asked, "payment_in", "payment/pay", order_id="order_id"), bus)
+        replay.replay(spark, bus, snapshots, only=[v.USER, v.PAYMENT, v.ORDER])
+    job = {(r.request_id, r.result, r.message) for r in replay.responses(spark, bus, [v.PAYMENT]).collect()}
+    batch = payments.pay_orders(once.unionByName(again), orders0(spark, folder), fixtures.prices0(spark, folder), existing_users(spark, folder))
+    rows = {(f"{r.order_id}/{r.seq}", r.result, r.message) for r in batch.collect()}
+    assert rows == job and len({r[2] for r in rows}) >= 5
+
+
 def test_kafka_options_and_rows(spark):
     options = buses.kafka_read_options("user_in,order_in", "broker:9092", most_per_trigger=1000)
     assert options["subscribe"] == "user_in,order_in" and options["maxOffsetsPerTrigger"] == "1000"

@@ -13,13 +13,14 @@ from tillflow.functions import envelope as env
 from tillflow.functions.jsontext import field, json_object, quoted
 from tillflow.session import fresh_path
 from tillflow.sources import bus as buses
-from tillflow.sources.fixtures import as_commands, cmd, items0, lines0, micros, orders0, request_params, users0
+from tillflow.sources.fixtures import as_commands, cmd, items0, lines0, micros, msg, orders0, request_params, users0
 from tillflow.operators.routing import target_topic
 from tillflow.sources.tables import table_stream
 from tillflow.streaming import analytics, jobs, replay
 
 
 FAR = "2200-01-01 00:00:00"
+ANSWER_DAYS = 30  # a shipment later than that is no answer to its order
 
 
 def drained(spark, stream, schema, label, *partition_by, mode="append"):
@@ -194,6 +195,74 @@ def stock_job(spark, folder):
                       "state.state", F.col("result.message").alias("message"))
 
 
+def batch_message(products, user_id):
+    """A stock request of a checkout as the order service sends it."""
+    body = json_object(products=products, order_id=quoted("order_id"), user_id=user_id, return_state=quoted(F.lit("send-stock")))
+    nameless = json_object(products=products, order_id=quoted("order_id"), return_state=quoted(F.lit("send-stock")))
+    params = F.when(F.col("nameless"), nameless).otherwise(body)
+    return json_object(
+        input=json_object(request_id=quoted("order_id"), consumer=quoted(F.lit("order_in")), route=quoted(F.lit("orders/checkout")),
+                          params=F.lit("{}")),
+        params=params, state=json_object(route=quoted(F.lit("batch/subtract")), sender=quoted(F.lit("order")),
+                                         state=quoted(F.lit("batch:subtract"))))
+
+
+@query("job_quarantine", sql(f"""
+    SELECT seq * 2 + 1 seq, CASE WHEN route = 'users/unknown' THEN 'quarantine' ELSE 'answers' END sink,
+           CASE WHEN route = 'users/unknown' THEN 'Unknown message format.' END reason,
+           CASE WHEN route = 'users/unknown' THEN md5(value) END record, CAST(1 AS BIGINT) n FROM msg
+    UNION ALL SELECT seq * 2, CASE WHEN checkout_status = 3 OR n_items IS NULL THEN 'quarantine' ELSE 'bus' END,
+           CASE WHEN checkout_status = 3 THEN 'User ID is expected to exist.'
+                WHEN n_items IS NULL THEN 'A batch needs at least one product.' END, NULL,
+           CASE WHEN checkout_status = 3 THEN 1 ELSE coalesce(n_items, 1) END
+    FROM orders0 LEFT JOIN prices USING (order_id)""", "msg", "orders0", "prices"))
+def job_quarantine(spark, folder):
+    """Every event and every order's stock request through the stock job: answered, passed on by item, or kept aside with a reason."""
+    orders = orders0(spark, folder).join(listed_products(spark, folder), "order_id", "left").withColumn(
+        "nameless", F.col("checkout_status") == v.FAILED)
+    batches = orders.select(F.lit("stock_in").alias("topic"), batch_message(F.coalesce("products", F.lit("{}")), quoted("user_id")).alias("value"),
+                            F.col("ts").cast("timestamp").alias("ts"), (F.col("seq") * 2).alias("seq"))
+    events = msg(spark, folder).select(F.lit("stock_in").alias("topic"), "value", F.col("ts").cast("timestamp").alias("ts"),
+                                       (F.col("seq") * 2 + 1).alias("seq"))
+    bus = fresh_path(spark, "quarantine-bus")
+    buses.make_folders(spark, bus)
+    for records in (batches, events):
+        buses.send(records, bus)
+    stock = items0(spark, folder).where("item_exists").select(F.col("item_id").alias("key"), "amount")
+    replay.replay(spark, bus, {v.STOCK: stock}, only=[v.STOCK])
+    out = spark.read.schema(buses.RECORD).parquet(f"{bus}/{v.STOCK}")
+    kept = F.col("topic") == buses.QUARANTINE_TOPIC
+    sink = F.when(kept, "quarantine").when(F.col("topic") == v.DEFAULT_OUT_TOPIC, "answers").otherwise("bus")
+    record = F.when(kept & (F.col("seq") % 2 == 1), F.md5(F.get_json_object("value", "$.record").cast("binary")))
+    return out.groupBy("seq", sink.alias("sink"), F.when(kept, F.get_json_object("value", "$.reason")).alias("reason"),
+                       record.alias("record")).agg(F.count("*").alias("n"))
+
+
+# service, state token and sender of a checkout message, and what it is told
+DISPATCH = [(v.PAYMENT, "send-payment", "order", None), (v.PAYMENT, "send-payment", "stock", v.UNKNOWN_SENDER),
+            (v.PAYMENT, "replenish-payment", "web", v.UNKNOWN_SENDER), (v.PAYMENT, "nonsense", "order", v.unknown_state("nonsense")),
+            (v.PAYMENT, None, "order", v.unknown_state(None)), (v.USER, None, "payment", v.NO_STATE),
+            (v.USER, "nonsense", "payment", v.unknown_state("nonsense")), (v.USER, "replenish-payment", "payment", None),
+            (v.ORDER, "nonsense", "stock", v.unknown_state("nonsense")), (v.ORDER, "send-stock", "stock", None)]
+
+
+@query("dispatch_reasons", sql("SELECT order_id, c.i, c.reason FROM orders0, (VALUES " + ", ".join(
+    f"({i}::BIGINT, {'NULL' if text is None else repr(text)})" for i, (*_, text) in enumerate(DISPATCH)) + ") c(i, reason)", "orders0"))
+def dispatch_reasons(spark, folder):
+    """Checkout messages of every order under right and wrong states and senders, as the jobs judge them."""
+    out = None
+    for i, (service, token, sender, _) in enumerate(DISPATCH):
+        body = json_object(order_id=quoted("order_id"), user_id=quoted("user_id"))
+        value = json_object(
+            input=json_object(request_id=quoted("order_id"), consumer=quoted(F.lit("order_in")), route=quoted(F.lit("orders/checkout")),
+                              params=F.lit("{}")), params=body,
+            state=json_object(route=quoted(F.lit("orders/checkout")), sender=quoted(F.lit(sender)), state=quoted(F.lit(token).cast("string"))))
+        records = orders0(spark, folder).select(value.alias("value"), F.col("ts").cast("timestamp").alias("ts"), "seq")
+        judged = jobs.keyed_messages(records, service).select("order_id", F.lit(i).cast("bigint").alias("i"), F.col("text").alias("reason"))
+        out = judged if out is None else out.unionByName(judged)
+    return out
+
+
 # -- several services on one bus ---------------------------------------------------------------
 
 @query("payment_job", sql("SELECT order_id, result, message FROM paid",
@@ -239,12 +308,12 @@ def bus_replay(spark, folder):
     SELECT batch_id, seen >= batch_count complete, seen FROM seen""",
     "prices", "orders0", batch_items=BATCH_ITEMS, seen=SEEN))
 def fan_in_stream(spark, folder):
-    """Answers of item batches as a stream; incomplete batches are given up by the timer."""
+    """Answers of item batches as a stream, each sent twice; incomplete batches are given up by the timer."""
     items = batch_items(spark, folder).select(
         "batch_id", "batch_count", "item_id", "passed", F.lit("{}").alias("value"),
         F.timestamp_micros("t").alias("ts"), F.lit(0).cast("bigint").alias("seq"))
     folder_in = fresh_path(spark, "fan-in")
-    items.write.parquet(folder_in)
+    items.unionAll(items.withColumn("seq", F.col("seq") + 1)).write.parquet(folder_in)
     # one record far in the future moves the watermark past every timer
     far = items.limit(1).withColumns({
         "batch_id": F.lit("sentinel"), "batch_count": F.lit(2).cast("bigint"), "ts": F.to_timestamp(F.lit(FAR))})
@@ -264,21 +333,27 @@ def route_throughput_stream(spark, folder):
 
 
 @query("correlate_stream", sql("""
-    SELECT req.request_id, epoch_us(request_ts) request_at, epoch_us(response_ts) response_at
-    FROM req JOIN resp ON resp.request_id = req.request_id AND response_ts >= request_ts
-        AND response_ts <= request_ts + INTERVAL 180 DAY""",
-    req="SELECT CAST(o_orderkey AS VARCHAR) request_id, o_orderdate request_ts FROM orders WHERE o_orderstatus <> 'P'",
-    resp="SELECT CAST(l_orderkey AS VARCHAR) request_id, l_shipdate response_ts FROM lineitem"))
+    SELECT request_id, epoch_us(request_ts) request_at, epoch_us(min(response_ts)) response_at,
+           CASE WHEN min(response_ts) IS NULL THEN 'timed out' ELSE 'answered' END outcome
+    FROM req LEFT JOIN (SELECT request_id, response_ts FROM resp) r USING (request_id)
+    WHERE true GROUP BY request_id, request_ts""",
+    req="SELECT CAST(o_orderkey AS VARCHAR) request_id, o_orderdate request_ts FROM orders",
+    resp=f"""SELECT CAST(l_orderkey AS VARCHAR) request_id, l_shipdate response_ts FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+             WHERE l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL {ANSWER_DAYS} DAY"""))
 def correlate_stream(spark, folder):
-    """Every response within the timeout, as a stream-stream join; the first is the answer."""
-    requests = table_stream(spark, folder, "orders").where("o_orderstatus <> 'P'").select(
+    """Every order's first shipment within the timeout as the answer to it, by timers in keyed state."""
+    requests = table_stream(spark, folder, "orders").select(
         F.col("o_orderkey").cast("string").alias("request_id"), F.col("o_orderdate").cast("timestamp").alias("request_ts"))
     answers = table_stream(spark, folder, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("request_id"), F.col("l_shipdate").cast("timestamp").alias("response_ts"))
-    pairs = analytics.correlate_stream(requests, answers, "180 days", "3650 days")
-    found = drained(spark, pairs, pairs.schema, "correlate")
-    return found.select("request_id", micros(F.col("request_ts")).alias("request_at"),
-                        micros(F.col("response_ts")).alias("response_at"))
+    # one record far in the future moves the watermark past every deadline
+    far = fresh_path(spark, "far")
+    spark.range(1).select(F.lit("sentinel").alias("request_id"), F.to_timestamp(F.lit(FAR)).alias("request_ts")).write.parquet(far)
+    requests = requests.unionByName(spark.readStream.schema("request_id string, request_ts timestamp").parquet(far))
+    rows = analytics.first_answers(requests, answers, ANSWER_DAYS * 86_400, f"{ANSWER_DAYS} days")
+    found = drained(spark, rows, rows.schema, "correlate")
+    return found.select("request_id", micros(F.col("request_ts")).alias("request_at"), micros(F.col("response_ts")).alias("response_at"),
+                        F.when(F.col("response_ts").isNull(), "timed out").otherwise("answered").alias("outcome"))
 
 
 @query("dedup_requests_stream", sql("SELECT DISTINCT CAST(l_orderkey AS VARCHAR) request_id FROM lineitem"))

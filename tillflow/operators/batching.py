@@ -22,21 +22,35 @@ def missing_for_fan_out(params: Column) -> Column:
     return missing_field(params, REQUIRED)
 
 
+NO_PRODUCTS = "A batch needs at least one product."
+
+
+def unfit_for_fan_out(params: Column) -> Column:
+    """Why a message cannot be fanned out: a field is missing, or it would give no message at all."""
+    products = F.from_json(F.get_json_object(params, "$.products"), "map<string,bigint>")
+    return F.coalesce(missing_for_fan_out(params),
+                      F.when(F.coalesce(F.size(products), F.lit(-1)) < 1, NO_PRODUCTS))
+
+
 MESSAGE = "products map<string,bigint>, order_id string, user_id string, return_state string"
 
 
+def batch_id(request_id: str, order_id: str, return_state: str) -> Column:
+    """A hash, so a task that runs twice gives the same id."""
+    return F.sha2(F.concat_ws(":", request_id, order_id, return_state), 256)
+
+
 def fan_out(messages: DataFrame, keep: str | None = None) -> DataFrame:
     """One row per product of each message; ``messages`` has request_id and params.
 
-    All rows of a message share a batch id and the number of its products. The
-    id is a hash, so a task that runs twice gives the same one. ``keep`` names
-    one more column to carry along.
+    All rows of a message share a batch id and the number of its products.
+    ``keep`` names one more column to carry along.
     """
     kept = ["request_id"] + ([keep] if keep else [])
     read = messages.select(*kept, F.from_json("params", MESSAGE).alias("m_")).select(*kept, "m_.*")
     return read.select(
         *kept, "order_id", "user_id", "return_state",
-        F.sha2(F.concat_ws(":", "request_id", "order_id", "return_state"), 256).alias("batch_id"),
+        batch_id("request_id", "order_id", "return_state").alias("batch_id"),
         F.size("products").cast("bigint").alias("batch_count"),
         # a plain explode would have the JSON parsed once more, to filter on its size
         F.explode_outer("products").alias("item_id", "amount")).where(F.col("item_id").isNotNull())

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 
 from tillflow.operators.correlate import in_time
+from tillflow.streaming.processors import FIRST_ANSWERS, FirstAnswerProcessor
 
 
 def throughput_stream(requests: DataFrame, width: str, lateness: str) -> DataFrame:
@@ -46,6 +47,22 @@ def correlate_stream(requests: DataFrame, responses: DataFrame, timeout: str, la
     return joined.select("request_id", "request_ts", "response_ts")
 
 
+def first_answers(requests: DataFrame, responses: DataFrame, timeout_seconds: int, lateness: str) -> DataFrame:
+    """One row per request, answered or (``response_ts`` NULL) timed out, as soon as the watermark tells.
+
+    ``requests`` has request_id and request_ts, ``responses`` request_id and
+    response_ts. State lasts no longer than timeout and ``lateness``; both
+    sides meet in one keyed state, so repeated answers make no pairs.
+    """
+    both = requests.select("request_id", F.col("request_ts").alias("ts"), F.lit(False).alias("is_answer")).unionByName(
+        responses.select("request_id", F.col("response_ts").alias("ts"), F.lit(True).alias("is_answer")))
+    found = both.withColumn("us", F.unix_micros("ts")).withWatermark("ts", lateness).groupBy("request_id").transformWithState(
+        statefulProcessor=FirstAnswerProcessor(timeout_seconds * 1000), outputStructType=FIRST_ANSWERS,
+        outputMode="append", timeMode="eventTime")
+    return found.select("request_id", F.timestamp_micros("request_us").alias("request_ts"),
+                        F.timestamp_micros("response_us").alias("response_ts"))
+
+
 def dedup_stream(requests: DataFrame, ts: str, lateness: str) -> DataFrame:
     """The first arrival of every request id; its copies within ``lateness`` are dropped."""
     return requests.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(["request_id"])

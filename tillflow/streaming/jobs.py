@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tillflow import vocabulary as v
 from tillflow.functions import envelope as env
 from tillflow.functions.jsontext import coerce_long, field, json_object, merge_objects, quoted, raw
-from tillflow.operators.batching import fan_out
+from tillflow.operators.batching import MESSAGE, NO_PRODUCTS, batch_id, unfit_for_fan_out
 from tillflow.operators.routing import first_reason, is_batch, unknown_state_text
 from tillflow.sources import bus as buses
 from tillflow.streaming import processors as p, rules
@@ -22,24 +22,55 @@ KERNEL_COLUMNS = ["key", "ts", "seq", "rule", "text", "value", "user_id", "order
                   "amount", "price", "code", "note", *RESULTS]
 
 
+UNREADABLE = "Unknown message format."
+
+
+def parsed_records(records: DataFrame) -> DataFrame:
+    """Bus records with their sections and ``reason``, why they cannot be read, if so."""
+    parsed = env.parse_envelope(records.withColumn("m_", F.col("value")), "m_")
+    known = F.col("reason") if "reason" in records.columns else F.lit(None).cast("string")
+    return parsed.withColumn("reason", F.coalesce(known, F.when(~env.is_message(), UNREADABLE)))
+
+
+def own_key(key: Column) -> Column:
+    """The key, and one of its own for a record that no service can read."""
+    return F.when(F.col("reason").isNull(), key).otherwise(
+        F.concat(F.lit("quarantine:"), F.sha2(F.concat_ws(":", "value", F.col("ts").cast("string"), "seq"), 256)))
+
+
+def unknown_text(service: str) -> Column:
+    """What a message without rule is told, if its route is known."""
+    mine = [r for r in rules.RULES if r[0] == service]
+    token, sender = F.col("state.state"), F.col("state.sender")
+    by_sender = sorted({f"{route}:{t}" for _, route, t, s in mine if s != rules.ANY})
+    return first_reason(
+        (~F.col("state.route").isin(sorted({route for _, route, _, _ in mine})), F.lit(None).cast("string")),
+        (F.concat_ws(":", "state.route", token).isin(by_sender), v.UNKNOWN_SENDER),
+        (F.lit(service == v.USER) & token.isNull(), v.NO_STATE),
+        (F.lit(True), unknown_state_text(token)))
+
+
 def keyed_messages(records: DataFrame, service: str) -> DataFrame:
-    """Readable records with their key, their rule and the typed params a kernel needs."""
-    parsed = env.parse_envelope(records.withColumn("m_", F.col("value")), "m_").where(env.is_message())
+    """Records with their key, their rule and the typed params a kernel needs.
+
+    Records that cannot be read have the rule ``quarantine``, a key of their own
+    and the reason as text.
+    """
+    parsed = parsed_records(records)
     params = F.col("params")
 
     def number(name):
         return F.when(field(params, name).isNotNull(), coerce_long(field(params, name)))
 
-    known = sorted({route for s, route, _, _ in rules.RULES if s == service})
     token, sender = F.col("state.state"), F.col("state.sender")
     matched = parsed.join(
         F.broadcast(rules.rules(records.sparkSession, service)),
         (F.col("state.route") == F.col("route_")) & ((F.col("token_") == rules.ANY) | F.col("token_").eqNullSafe(token))
         & ((F.col("sender_") == rules.ANY) | (F.col("sender_") == sender)), "left")
     return matched.select(
-        env.extract_key(v.KEY_PARAM[service]).alias("key"), "ts", "seq",
-        F.coalesce("rule", F.lit("unknown")).alias("rule"),
-        first_reason((F.col("state.route").isin(known), unknown_state_text(token))).alias("text"), "value",
+        own_key(env.extract_key(v.KEY_PARAM[service])).alias("key"), "ts", "seq",
+        F.when(F.col("reason").isNotNull(), p.QUARANTINE).otherwise(F.coalesce("rule", F.lit("unknown"))).alias("rule"),
+        F.coalesce("reason", F.when(F.col("rule").isNull(), unknown_text(service))).alias("text"), "value",
         field(params, "user_id").alias("user_id"), field(params, "order_id").alias("order_id"),
         field(params, "item_id").alias("item_id"),
         F.coalesce(number("amount"), F.lit(0).cast("bigint")).alias("amount"), number("price").alias("price"),
@@ -49,8 +80,10 @@ def keyed_messages(records: DataFrame, service: str) -> DataFrame:
 
 
 def answers(outcomes: DataFrame, service: str) -> DataFrame:
-    """Bus records for the outcomes of a stateful operator."""
-    found = outcomes.join(F.broadcast(rules.replies(outcomes.sparkSession, service)), ["rule", "outcome"])
+    """Bus records for the outcomes of a stateful operator; what it could not read goes to the quarantine topic."""
+    unread = F.col("outcome") == p.QUARANTINE
+    found = outcomes.join(F.broadcast(rules.replies(outcomes.sparkSession, service)), ["rule", "outcome"], "left").where(
+        F.col("kind").isNotNull() | unread)
     text = F.coalesce("text", "reply_text")
     refused = F.col("kind") == "error"
     rows = env.parse_envelope(found.withColumn("m_", F.col("value")), "m_")
@@ -65,24 +98,41 @@ def answers(outcomes: DataFrame, service: str) -> DataFrame:
         F.when(F.col("to_route") == rules.SAME, F.col("state.route")).otherwise(F.col("to_route")),
         F.when(F.col("to_token") == rules.SAME, F.col("state.state")).otherwise(F.col("to_token")),
         F.col("new_params"), F.when(refused & ~text.startswith(v.UNMANAGED), F.concat(F.lit(v.MANAGED), text)).otherwise(text))
-    return sent.select(F.coalesce("to_topic", F.lit(v.DEFAULT_OUT_TOPIC)).alias("topic"),
-                       env.serialize_envelope().alias("value"), "ts", "seq")
+    return sent.select(
+        F.when(unread, buses.QUARANTINE_TOPIC).otherwise(F.coalesce("to_topic", F.lit(v.DEFAULT_OUT_TOPIC))).alias("topic"),
+        F.when(unread, quarantined(F.col("text"))).otherwise(env.serialize_envelope()).alias("value"), "ts", "seq")
+
+
+def quarantined(reason: Column) -> Column:
+    """What the quarantine topic gets: the record as it came, and why."""
+    return json_object(reason=quoted(reason), record=quoted("value"))
 
 
 def fan_out_batches(records: DataFrame) -> DataFrame:
-    """Replace each message about many items by one message per item."""
-    parsed = env.parse_envelope(records.withColumn("m_", F.col("value")), "m_").where(env.is_message())
-    batch = is_batch(F.col("state.state"))
-    plain = parsed.where(~batch).select(records.columns)
-    whole = parsed.where(batch).withColumn("request_id", F.col("input.request_id"))
-    kept = F.struct(*[F.col(c) for c in whole.columns if c != "request_id"])
-    items = fan_out(whole.withColumn("kept_", kept), keep="kept_")
+    """Replace each message about many items by one message per item, in one pass over the records.
+
+    Adds ``reason``: messages that cannot be read or fanned out stay as they are.
+    """
+    parsed = parsed_records(records)
+    batch = F.coalesce(is_batch(F.col("state.state")), F.lit(False))
+    parsed = parsed.withColumn("reason", F.coalesce("reason", F.when(batch, unfit_for_fan_out(F.col("params")))))
+    whole = batch & F.col("reason").isNull()
+    message = F.when(whole, F.from_json("params", MESSAGE))
+    read = parsed.withColumn("message_", message)
+    entries = F.map_entries(F.col("message_.products"))
+    none = F.array(F.lit(None).cast("struct<key:string,value:bigint>"))
+    rows = read.withColumn("item_", F.explode(F.when(F.col("message_").isNotNull(), entries).otherwise(none)))
+    rows = rows.withColumns({
+        "item_id": F.col("item_.key"), "amount": F.col("item_.value"), "user_id": F.col("message_.user_id"),
+        "order_id": F.col("message_.order_id"), "return_state": F.col("message_.return_state"),
+        "batch_id": batch_id("input.request_id", "message_.order_id", "message_.return_state"),
+        "batch_count": F.size("message_.products").cast("bigint")})
     one = json_object(item_id=quoted("item_id"), amount=raw("amount"), user_id=quoted("user_id"),
                       order_id=quoted("order_id"), batch_id=quoted("batch_id"), batch_count=raw("batch_count"),
                       return_state=quoted("return_state"))
-    rows = items.select("kept_.*", one.alias("one_"))
-    sent = env.redirect(rows, v.STOCK, F.col("state.route"), F.col("state.state"), F.col("one_"))
-    return plain.unionByName(sent.withColumn("value", env.serialize_envelope()).select(records.columns))
+    sent = env.redirect(rows, v.STOCK, F.col("state.route"), F.col("state.state"), one)
+    value = F.when(F.col("item_").isNotNull(), env.serialize_envelope()).otherwise(F.col("value"))
+    return sent.select(*[value.alias(c) if c == "value" else F.col(c) for c in records.columns], "reason")
 
 
 PROCESSORS = {v.USER: p.UserProcessor, v.STOCK: p.StockProcessor, v.PAYMENT: p.PaymentProcessor}
@@ -111,43 +161,56 @@ def service_job(records: DataFrame, service: str, snapshot: DataFrame | None = N
 
 
 def batch_answers(records: DataFrame) -> DataFrame:
-    """Per item of a batch what the fan-in needs."""
-    parsed = env.parse_envelope(records.withColumn("m_", F.col("value")), "m_").where(env.is_message())
+    """Per item of a batch what the fan-in needs; ``reason`` says what keeps a record out of any batch."""
     params = F.col("params")
-    return parsed.select(field(params, "batch_id").alias("batch_id"),
-                         coerce_long(field(params, "batch_count")).alias("batch_count"),
-                         field(params, "item_id").alias("item_id"), field(params, "batch_pass").alias("passed"),
-                         "value", "ts", "seq")
+    read = parsed_records(records).withColumns({
+        "batch_id": field(params, "batch_id"), "batch_count": coerce_long(field(params, "batch_count")),
+        "item_id": field(params, "item_id"), "passed": field(params, "batch_pass")})
+    read = read.withColumn("reason", F.coalesce("reason", first_reason(
+        *[(F.col(c).isNull(), f"{text} is expected to exist.") for c, text in BATCH_FIELDS.items()],
+        (F.col("batch_count") < 1, NO_PRODUCTS))))
+    return read.select(own_key(F.col("batch_id")).alias("batch_id"), "batch_count", "item_id", "passed", "value", "ts", "seq", "reason")
+
+
+BATCH_FIELDS = {"batch_id": "Batch ID", "batch_count": "Batch count", "item_id": "Item ID", "passed": "Batch pass"}
 
 
 def fan_in(items: DataFrame, watermark: str | None = None, window_seconds: int = v.BATCH_WINDOW_SECONDS) -> DataFrame:
-    """Complete batches, and with a watermark also those given up."""
-    if watermark is not None:
-        items = items.withWatermark("ts", watermark)
-    processor = p.FanInProcessor(window_seconds * 1000 if watermark is not None else None)
+    """Batches that are complete, and those given up after ``window_seconds``.
+
+    With a ``watermark`` delay time is that of the records, else that of their
+    arrival, as the protocol has it. Either way a batch's state ends. Records with
+    a ``reason`` come out with ``complete`` NULL.
+    """
+    if "reason" not in items.columns:
+        items = items.withColumn("reason", F.lit(None).cast("string"))
+    clock = F.current_timestamp() if watermark is None else F.col("ts")
+    items = items.withColumn("clock", clock).withWatermark("clock", watermark or "0 seconds")
     return items.groupBy("batch_id").transformWithState(
-        statefulProcessor=processor, outputStructType=p.FAN_IN, outputMode="append",
-        timeMode="none" if watermark is None else "eventTime")
+        statefulProcessor=p.FanInProcessor(window_seconds * 1000), outputStructType=p.FAN_IN,
+        outputMode="append", timeMode="eventTime")
 
 
 def batch_results(batches: DataFrame) -> DataFrame:
-    """Bus records: complete batches go to the orders, the others to the dead-letter topic."""
+    """Bus records: complete batches go to the orders, others to the dead-letter topic, unreadable ones to quarantine."""
     rows = env.parse_envelope(batches.withColumn("m_", F.col("value")), "m_")
     params = F.col("params")
     sent = env.redirect(rows, v.STOCK, F.col("input.route"),
                         F.coalesce(field(params, "return_state"), F.col("state.state")),
                         json_object(order_id=quoted(field(params, "order_id")),
                                     user_id=quoted(field(params, "user_id")), products=raw("products")))
+    unread = F.col("complete").isNull()
     return sent.select(
-        F.when(F.col("complete"), F.lit(v.IN_TOPIC[v.ORDER])).otherwise(F.lit(buses.DEAD_TOPIC)).alias("topic"),
-        env.serialize_envelope().alias("value"), "ts", "seq")
+        F.when(unread, buses.QUARANTINE_TOPIC).when(F.col("complete"), F.lit(v.IN_TOPIC[v.ORDER]))
+        .otherwise(F.lit(buses.DEAD_TOPIC)).alias("topic"),
+        F.when(unread, quarantined(F.col("products"))).otherwise(env.serialize_envelope()).alias("value"), "ts", "seq")
 
 
 def start(spark: SparkSession, bus: str, name: str, snapshot: DataFrame | None = None,
-          watermark: str | None = None, **trigger):
+          watermark: str | None = None, window_seconds: int = v.BATCH_WINDOW_SECONDS, **trigger):
     """Start one job on a folder bus; its checkpoint lies next to the bus."""
     records = buses.read_stream(spark, bus, name)
-    out = (batch_results(fan_in(batch_answers(records), watermark)) if name == buses.FAN_IN
+    out = (batch_results(fan_in(batch_answers(records), watermark, window_seconds)) if name == buses.FAN_IN
            else service_job(records, name, snapshot, watermark))
     return (out.writeStream.format("parquet").option("path", f"{bus}/{name}")
             .option("checkpointLocation", f"{bus}/checkpoints/{name}").queryName(name)

@@ -13,13 +13,19 @@ from tillflow.streaming import kernels
 OUTCOMES = "value string, ts timestamp, seq bigint, rule string, outcome string, extra string, text string"
 
 
+# rule and outcome of records that no service can read; they have keys of their own and no state
+QUARANTINE = "quarantine"
+
+
 class Keyed(StatefulProcessor):
     """Applies messages of one key in the order (ts, seq)."""
 
     def handleInputRows(self, key, rows, timerValues):
         self.load(key[0])
         for m in sorted(rows, key=lambda r: (r.ts, r.seq)):
-            if m.rule == "unknown":
+            if m.rule == QUARANTINE:
+                answers = [(QUARANTINE, {}, m.text)]
+            elif m.rule == "unknown":
                 known_route = m.text is not None
                 answers = [("refused" if known_route else "unknown_route", {}, m.text)]
             else:
@@ -195,12 +201,14 @@ class OrderProcessor(Keyed):
 
 
 class FanInProcessor(StatefulProcessor):
-    """Collects the answers of one batch; hands them on once, when all are in.
+    """Collects the answers of one batch by item; hands them on once, when all items are in.
 
-    A timer removes batches that stay incomplete and reports them instead.
+    Of several answers for an item the latest counts. Every batch has a timer
+    from the ``clock`` of its first answer on: it reports a batch that is
+    incomplete by then, and forgets one that was handed on.
     """
 
-    def __init__(self, window_ms: int | None):
+    def __init__(self, window_ms: int):
         self.window_ms = window_ms
 
     def init(self, handle):
@@ -210,18 +218,20 @@ class FanInProcessor(StatefulProcessor):
         self.done = handle.getValueState("done", "yes boolean")
 
     def handleInputRows(self, key, rows, timerValues):
-        if self.window_ms is not None and self.done.exists():
+        rows = sorted(rows, key=lambda r: (r.ts, r.seq, r.item_id or ""))
+        if rows[0].reason is not None:  # unreadable ones have keys of their own
+            for m in rows:
+                yield Row(batch_id=None, value=m.value, ts=m.ts, seq=m.seq, complete=None, seen=0, products=m.reason)
+            return
+        if self.done.exists():
             return
         found = self.seen.get()
         n, of, value, ts, seq = found if found else (0, None, None, None, None)
-        if not found and self.window_ms is not None:
-            self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.window_ms)
-        passes = {}
-        for m in sorted(rows, key=lambda r: (r.ts, r.seq, r.item_id)):
-            if value is None:
-                of, value, ts, seq = m.batch_count, m.value, m.ts, m.seq
-            passes[m.item_id] = m.passed
-            n += 1
+        if not found:
+            self.handle.registerTimer(millis(min(m.clock for m in rows)) + self.window_ms)
+            of, value, ts, seq = rows[0].batch_count, rows[0].value, rows[0].ts, rows[0].seq
+        passes = {m.item_id: m.passed for m in rows}
+        n += sum(1 for item in passes if not (found and self.passes.containsKey((item,))))
         if n < of:  # only an incomplete batch is put into state
             for item, passed in passes.items():
                 self.passes.updateValue((item,), (passed,))
@@ -231,8 +241,7 @@ class FanInProcessor(StatefulProcessor):
             passes = {**{k[0]: p[0] for k, p in self.passes.iterator()}, **passes}
             self.seen.clear()
             self.passes.clear()
-        if self.window_ms is not None:  # the timer forgets it again
-            self.done.update((True,))
+        self.done.update((True,))
         products = ",".join(f"{json.dumps(item)}:{passed}" for item, passed in sorted(passes.items()))
         yield Row(batch_id=key[0], value=value, ts=ts, seq=seq, complete=True, seen=n, products="{" + products + "}")
 
@@ -249,4 +258,77 @@ class FanInProcessor(StatefulProcessor):
         pass
 
 
+class FirstAnswerProcessor(StatefulProcessor):
+    """One row per request: its first answer within the timeout, or that there was none.
+
+    An answer is the first only once the watermark has passed it, since an
+    earlier one may still come; a timer waits for that, another for the deadline.
+    Answers without request are kept as long as a request for them may come.
+    """
+
+    def __init__(self, timeout_ms: int):
+        self.timeout_ms = timeout_ms
+
+    def init(self, handle):
+        self.handle = handle
+        # microseconds, which no time zone touches
+        self.request = handle.getValueState("request", "asked bigint")
+        self.answer = handle.getValueState("answer", "first bigint")
+        self.early = handle.getListState("early", "us bigint")
+
+    def deadline(self, us: int) -> int:
+        """In milliseconds, rounded up."""
+        return -(-us // 1000) + self.timeout_ms
+
+    def handleInputRows(self, key, rows, timerValues):
+        found = self.request.get()
+        asked = found[0] if found else None
+        new, replies = None, []
+        for r in rows:
+            if r.is_answer:
+                replies.append(r.us)
+            elif new is None or r.us < new:
+                new = r.us
+        if asked is None:
+            if new is None:
+                for us in replies:
+                    self.early.appendValue((us,))
+                self.handle.registerTimer(self.deadline(max(replies)))
+                return iter([])
+            asked = new
+            self.request.update((asked,))
+            replies += [us for us, in self.early.get()]
+            self.early.clear()
+            self.handle.registerTimer(self.deadline(asked))
+        held = self.answer.get()
+        in_time = [us for us in replies if 0 <= us - asked <= self.timeout_ms * 1000]
+        first = min(in_time + ([held[0]] if held else []), default=None)
+        if first is not None and (not held or first != held[0]):
+            self.answer.update((first,))
+            self.handle.registerTimer(-(-first // 1000))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        found = self.request.get()
+        if not found:
+            # answers of which none can have a request any more
+            if all(self.deadline(us) <= now for us, in self.early.get()):
+                self.early.clear()
+            return
+        held = self.answer.get()
+        if held and held[0] <= now * 1000 or not held and self.deadline(found[0]) <= now:
+            self.request.clear()
+            self.answer.clear()
+            yield Row(request_id=key[0], request_us=found[0], response_us=held[0] if held else None)
+
+    def close(self):
+        pass
+
+
+def millis(ts) -> int:
+    return int(ts.timestamp() * 1000)
+
+
+FIRST_ANSWERS = "request_id string, request_us bigint, response_us bigint"
 FAN_IN = "batch_id string, value string, ts timestamp, seq bigint, complete boolean, seen bigint, products string"

@@ -76,6 +76,8 @@ ENTITY = {USER: "user", ORDER: "order", STOCK: "stock_item", PAYMENT: "payment"}
 MANAGED = "Managed Exception: "
 UNMANAGED = "Unmanaged Exception: "
 UNKNOWN_ROUTE = "Unrecognised route."
+UNKNOWN_SENDER = "Unknown sender."
+NO_STATE = "Unknown message state."
 
 
 def not_found(entity: str) -> str:
