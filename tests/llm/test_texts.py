@@ -2,10 +2,12 @@
 
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from tillflow.llm import components, decontaminate, frames, pages, simhash, toxicity, urlrules
@@ -190,3 +192,55 @@ def test_gradient_of_the_labeller():
         model.p[name][at] = kept - step
         assert abs((up - loss()) / (2 * step) - grads[name][at]) < 1e-3
         model.p[name][at] = kept
+
+
+def plain_score(model, text):
+    """Windows, gains and score by fresh compressors, one window at a time."""
+    data = " ".join("".join(c if ord(c) > 127 or c.isalnum() else " " for c in text).split(" ")).encode()
+    data = b" " + b" ".join(x for x in re.split(rb"[\x00-\x20\x7f]+", data.lower()) if x) + b" "
+    cut, at = [], 0
+    while at < len(data) - 1:
+        end = at + 64
+        if end < len(data):
+            space = data[:end + 64].find(b" ", end)
+            end = space if space >= 0 else end + 64
+        cut.append(data[at:end + 1])
+        at = end
+    gains = []
+    for w in cut or [b" "]:
+        lengths = []
+        for tail in (bytes(len(model.toxic)), model.toxic):
+            kind = zstandard.ZstdCompressionParameters(
+                window_log=17, hash_log=15, chain_log=16, search_log=4, min_match=6, target_length=16,
+                strategy=zstandard.STRATEGY_LAZY2, write_checksum=False, write_content_size=False, write_dict_id=False)
+            own = zstandard.ZstdCompressionDict(model.shared + tail, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            own.precompute_compress(compression_params=kind)
+            lengths.append(len(zstandard.ZstdCompressor(dict_data=own, compression_params=kind).compress(w)))
+        gains.append(lengths[0] - lengths[1])
+    top = sorted((max(g, 0) for g in gains), reverse=True)[:3]
+    n = len(gains)
+    values = [*top, *[0] * (3 - len(top)), *[sum(g >= k for g in gains) / n ** 0.5 for k in (3, 4, 5)],
+              sum(max(g - 1, 0) for g in gains) / n, np.log(n)]
+    mean, spread, w = model.scale
+    return 1 / (1 + np.exp(-max(-30, min(30, w[0] + sum(c * (x - m) / s for c, x, m, s in zip(w[1:], values, mean, spread))))))
+
+
+def test_toxicity_scores_are_those_of_plain_windows(spark, folder):
+    where = folder.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{where}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.trained(docs, labels)
+    assert model.toxic and model.shared and model.scale is not None
+    scored = {r.doc_id: r for r in QUERIES["op9_toxicity"](spark, where).collect()}
+    assert len(scored) == docs.count()
+    for d in docs.where("length(text) < 6000").orderBy("doc_id").limit(60).collect():
+        r = scored[d.doc_id]
+        assert abs(r.score - plain_score(model, d.text or "")) < 1e-9
+        assert r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 5 == 0)
+
+
+def test_the_toxic_dictionary_is_trained_on_words_of_toxic_text():
+    toxic = [b" the tree is a scumbag " + bytes([97 + i]) * 5 + b" of scumbags " for i in range(20)]
+    marks = [b"scumbag"]
+    assert toxicity.excerpts(toxic, marks)[:2] == [b" scumbag ", b" scumbags "]
+    assert b"scumbag" in toxicity.dictionary(toxicity.excerpts(toxic * 20, marks), 4000, 16)
+    assert toxicity.dictionary([b"x"], 100) == b"x"

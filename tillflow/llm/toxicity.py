@@ -1,9 +1,10 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries share what was trained on ordinary text; the toxic
-one goes on with strings trained on toxic text, the ordinary one with as many
-zero bytes. A window's gain is how many bytes shorter the toxic dictionary
-compresses it. The document's gains become a score by thresholds calibrated
+Two zstandard dictionaries are trained, one on ordinary windows, one on the
+words of toxic text that begin like no others do; trained on whole toxic
+windows it would mostly hold ordinary words. A window's gain is how many bytes
+shorter it is compressed with both together than with the ordinary one and as
+many zero bytes. The document's gains become a score by thresholds calibrated
 (logistic regression) on the labelled sample.
 """
 
@@ -29,6 +30,7 @@ SAMPLE_WINDOWS = 40_000  # of the sample, evenly spread, for the dictionary trai
 # a word's beginning marks toxic text if so large a share of toxic documents has it, so many times the share of others
 LEAST_SHARE, LEAST_COUNT, LEAST_RATIO, LONGEST = 0.01, 3, 25, 14
 SHARED_BYTES, TOXIC_BYTES, MISTAKEN_BYTES = 8000, 8000, 12000
+SEGMENTS = (16, 24)  # lengths of the pieces that the toxic dictionary is put together from
 
 
 # ASCII other than letters and digits separates words
@@ -146,25 +148,38 @@ class Model:
         return float(self.judge(np.array(self.features(_normal(text)))))
 
 
+def excerpts(docs: list[bytes], marks: list[bytes]) -> list[bytes]:
+    """Every word that begins with a mark, as often as it comes: what the toxic dictionary is trained on."""
+    starts = frozenset(marks)
+    lengths = sorted({len(w) for w in starts}, reverse=True)
+    return [b" " + w + b" " for d in docs for w in d.split() if any(w[:n] in starts for n in lengths)]
+
+
+def dictionary(samples: list[bytes], size: int, segment: int | None = None) -> bytes:
+    """Content of a dictionary trained on ``samples``, from segments of the given length."""
+    tuned = {} if segment is None else {"k": segment, "d": 6}
+    try:
+        # the trainer wants eight bytes at least
+        return zstandard.train_dictionary(size, [w.ljust(8) for w in samples], level=3, **tuned).as_bytes()[-size:]
+    except zstandard.ZstdError:  # too little text to train on
+        return b"".join(samples)[-size:]
+
+
 def build(toxic: list[bytes], clean: list[bytes]) -> Model:
     """Dictionaries and weights from normalized toxic and ordinary texts."""
-    found = toxic_strings(toxic, clean) if toxic else []
     samples = [w for d in clean for w in windows(d)]
     samples = samples[::len(samples) // SAMPLE_WINDOWS + 1]
-    try:
-        shared = zstandard.train_dictionary(1 << 14, samples, level=3).as_bytes()[-SHARED_BYTES:]
-    except zstandard.ZstdError:  # too little text to train on
-        shared = b"".join(clean)[-SHARED_BYTES:]
-    tail = (b" " + b" ".join(found))[-TOXIC_BYTES:]
-    model = Model(shared, tail)
-    if not (toxic and clean and found):
-        return model
-    # clean windows that the first pair takes for toxic may join the ordinary text of both; a test on halves decides
-    ordinary, toxic_too = model.compressors
-    mistaken = dict.fromkeys(w for w in samples if len(ordinary(w)) > len(toxic_too(w)) + 1)
+    shared = dictionary(samples, 1 << 14)[-SHARED_BYTES:]
+    marks = toxic_strings(toxic, clean) if toxic else []
+    if not (toxic and clean and marks):
+        return Model(shared, b"")
+    found = excerpts(toxic, marks)
     labels = np.array([1.0] * len(toxic) + [0.0] * len(clean))
     best = None
-    for one in (model, Model(b"".join(mistaken)[:MISTAKEN_BYTES] + shared, tail)):
+
+    def tried(one: Model) -> None:
+        # a test on halves decides
+        nonlocal best
         features = np.array([one.features(d) for d in [*toxic, *clean]])
         loss, half = 0.0, np.arange(len(labels)) % 2 == 0
         for side in (half, ~half):
@@ -174,6 +189,13 @@ def build(toxic: list[bytes], clean: list[bytes]) -> Model:
         one.calibrate(features, labels)
         if best is None or loss < best[0]:
             best = loss, one
+
+    for segment in SEGMENTS:
+        tried(Model(shared, dictionary(found, TOXIC_BYTES, segment)))
+    # clean windows that the pair takes for toxic may join the ordinary text of both
+    ordinary, toxic_too = best[1].compressors
+    mistaken = dict.fromkeys(w for w in samples if len(ordinary(w)) > len(toxic_too(w)) + 1)
+    tried(Model(b"".join(mistaken)[:MISTAKEN_BYTES] + shared, best[1].toxic))
     return best[1]
 
 
@@ -185,11 +207,14 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Model
     """Learns from labelled documents outside the held-out fold, those whose ids have the smallest hashes."""
     known = labels.where(F.col("toxic").isNotNull() & (fold(id_col) != HELD_FOLD)).groupBy(id_col).agg(
         F.max("toxic").alias("toxic"))
+    # lengths first, so that long texts leave no gap in the sample; only ids are shuffled
+    fits = F.octet_length("text") <= SAMPLE_BYTES
+    known = known.join(texts(docs, id_col).where(fits).select(id_col).distinct(), id_col, "left_semi")
     text = {}
     for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
         # bounded: at most ``most`` ids are broadcast, at most ``most`` texts come back
         ids = known.where(F.col("toxic") == label).orderBy(F.xxhash64(id_col), id_col).limit(most).select(id_col)
-        rows = texts(docs, id_col).where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(ids), id_col, "left_semi")
+        rows = texts(docs, id_col).where(fits).join(F.broadcast(ids), id_col, "left_semi")
         text[label] = [r.text for r in rows.orderBy(F.xxhash64(id_col), id_col, "text").limit(most).collect()]
     toxic, clean = (_without_copies([_normal(t) for t in text[label]]) for label in (1, 0))
     return build(toxic, clean)
