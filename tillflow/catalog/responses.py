@@ -97,3 +97,35 @@ def dedup_requests(spark, folder):
     FROM (SELECT route, time_bucket(INTERVAL 10 MINUTE, ts) w, count(*) n FROM cmd GROUP BY 1, 2) GROUP BY 1""", "cmd"))
 def route_throughput(spark, folder):
     return ops.throughput(cmd(spark, folder), width="10 minutes")
+
+
+@query("peak_per_second", sql("""
+    SELECT route, CAST(sum(n) AS BIGINT) n_requests, max(n) peak
+    FROM (SELECT route, time_bucket(INTERVAL 1 SECOND, ts) w, count(*) n FROM cmd GROUP BY 1, 2) GROUP BY 1""", "cmd"))
+def peak_per_second(spark, folder):
+    return ops.throughput(cmd(spark, folder))
+
+
+@query("sliding_peak", sql("""
+    SELECT route, (SELECT count(*) FROM cmd c WHERE c.route = w.route) n_requests, max(n) peak
+    FROM (SELECT route, w, count(*) n FROM (
+        SELECT route, unnest([time_bucket(INTERVAL 20 MINUTE, ts), time_bucket(INTERVAL 20 MINUTE, ts) - INTERVAL 20 MINUTE,
+                              time_bucket(INTERVAL 20 MINUTE, ts) - INTERVAL 40 MINUTE]) w FROM cmd) GROUP BY 1, 2) w GROUP BY 1""", "cmd"))
+def sliding_peak(spark, folder):
+    """The most requests of a route within any hour that begins at a third of an hour."""
+    return ops.throughput(cmd(spark, folder), width="60 minutes", slide="20 minutes")
+
+
+SESSION_GAP = "2 hours"
+SESSIONS = sql("""
+    SELECT user_id, epoch_us(min(ts)) first_at, epoch_us(max(ts)) last_at, count(*) n FROM (
+        SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, seq) s FROM (
+            SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, seq) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END fresh
+            FROM cmd)) GROUP BY user_id, s""", "cmd")
+
+
+@query("user_sessions", SESSIONS)
+def user_sessions(spark, folder):
+    """The commands of each user in sessions that two idle hours end."""
+    found = ops.sessions(cmd(spark, folder).withColumn("ts", F.col("ts").cast("timestamp")), "user_id", SESSION_GAP)
+    return found.select("user_id", micros(F.col("first")).alias("first_at"), micros(F.col("last")).alias("last_at"), "n")

@@ -8,12 +8,14 @@ from tillflow.catalog.accounts import NOT_FOUND, existing_users
 from tillflow.catalog.batches import BATCH_ITEMS, SEEN, batch_items
 from tillflow.catalog.orders import ITEM_THERE, OPEN, USER_THERE, checked_orders, listed_products
 from tillflow.catalog.payments import ASKED, PAY_FOLD, pay_requests
+from tillflow.catalog.responses import SESSION_GAP, SESSIONS
 from tillflow.catalog.views import sql
 from tillflow.functions import envelope as env
 from tillflow.functions.jsontext import field, json_object, quoted
 from tillflow.session import fresh_path
 from tillflow.sources import bus as buses
 from tillflow.sources.fixtures import as_commands, cmd, items0, lines0, micros, msg, orders0, request_params, users0
+from tillflow.operators import correlate
 from tillflow.operators.routing import target_topic
 from tillflow.sources.tables import table_stream
 from tillflow.streaming import analytics, jobs, replay
@@ -288,6 +290,15 @@ def payment_job(spark, folder):
     FROM orders0 WHERE order_id NOT IN (SELECT order_id FROM lines0)""", "saga", "orders0", "lines0"))
 def bus_replay(spark, folder):
     """Checkout of every order through all five jobs; the same as the set-based plan."""
+    bus = checked_out(spark, folder)
+    log = F.size(F.from_json(field("params", "log"), "array<string>"))
+    return replay.responses(spark, bus, [v.ORDER]).select(
+        F.col("request_id").alias("order_id"), "result", "message",
+        F.when(F.col("result") == "failure", log).when(F.col("result") == "success", 0).cast("bigint").alias("n_log"))
+
+
+def checked_out(spark, folder):
+    """A bus on which every order has been checked out."""
     bus = fresh_path(spark, "checkouts")
     buses.make_folders(spark, bus)
     asked = orders0(spark, folder).withColumn("request_id", F.col("order_id"))
@@ -296,10 +307,39 @@ def bus_replay(spark, folder):
         v.USER: user_snapshot(users0(spark, folder)),
         v.STOCK: items0(spark, folder).select(F.col("item_id").alias("key"), "amount"),
         v.ORDER: order_snapshot(spark, folder, paid=False, status=False, checked=False)})
-    log = F.size(F.from_json(field("params", "log"), "array<string>"))
-    return replay.responses(spark, bus, [v.ORDER]).select(
-        F.col("request_id").alias("order_id"), "result", "message",
-        F.when(F.col("result") == "failure", log).when(F.col("result") == "success", 0).cast("bigint").alias("n_log"))
+    return bus
+
+
+def stored_state(spark, bus, service, variable):
+    """A state variable of a job as its checkpoint holds it: key and the variable's columns."""
+    state = spark.read.format("statestore").option("stateVarName", variable).load(f"{bus}/checkpoints/{service}")
+    return state.select("key.key", "value.*")
+
+
+@query("replayed_state", sql("""
+    SELECT 'user' entity, user_id AS id, credits - coalesce(spent, 0) held, NULL::BIGINT status
+    FROM users0 LEFT JOIN (SELECT user_id, CAST(sum(price) AS BIGINT) spent FROM saga WHERE is_paid GROUP BY 1) USING (user_id)
+    UNION ALL SELECT 'item', item_id, amount - coalesce(sold, 0), NULL
+    FROM items0 LEFT JOIN (SELECT item_id, CAST(sum(qty) AS BIGINT) sold FROM item_fold JOIN saga USING (order_id)
+                           WHERE is_paid GROUP BY 1) USING (item_id)
+    UNION ALL SELECT 'order', order_id, CASE WHEN s.is_paid THEN 1 ELSE 0 END, coalesce(s.checkout_status, 3)
+    FROM orders0 LEFT JOIN saga s USING (order_id)
+    UNION ALL SELECT 'payment', order_id, price, CASE WHEN s.is_paid THEN 1 WHEN payment_ok THEN 3 ELSE 2 END FROM saga s""",
+    "saga", "orders0", "users0", "items0", "item_fold"))
+def replayed_state(spark, folder):
+    """What the jobs hold after the checkout of every order, read from their checkpoints: the same as the set-based plan's ledger."""
+    bus = checked_out(spark, folder)
+    none = F.lit(None).cast("bigint")
+    users = stored_state(spark, bus, v.USER, "account").select(
+        F.lit("user").alias("entity"), F.col("key").alias("id"), F.col("credits").alias("held"), none.alias("status"))
+    items = stored_state(spark, bus, v.STOCK, "stock").select(
+        F.lit("item").alias("entity"), F.col("key").alias("id"), F.col("amount").alias("held"), none.alias("status"))
+    orders = stored_state(spark, bus, v.ORDER, "head").select(
+        F.lit("order").alias("entity"), F.col("key").alias("id"), F.col("paid").cast("bigint").alias("held"),
+        F.col("status").cast("bigint").alias("status"))
+    payments = stored_state(spark, bus, v.PAYMENT, "payment").select(
+        F.lit("payment").alias("entity"), F.col("key").alias("id"), F.col("price").alias("held"), F.col("status").cast("bigint").alias("status"))
+    return users.unionByName(items).unionByName(orders).unionByName(payments)
 
 
 # -- fan-in, correlation, rates, late rows ---------------------------------------------------
@@ -356,6 +396,19 @@ def correlate_stream(spark, folder):
                         F.when(F.col("response_ts").isNull(), "timed out").otherwise("answered").alias("outcome"))
 
 
+@query("user_sessions_stream", SESSIONS)
+def user_sessions_stream(spark, folder):
+    """The same sessions as a stream, each given out once the watermark has passed its end."""
+    commands = as_commands(table_stream(spark, folder, "events")).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    far = fresh_path(spark, "far")
+    spark.range(1).select(F.lit("sentinel").alias("user_id"), F.to_timestamp(F.lit(FAR)).alias("ts")).write.parquet(far)
+    commands = commands.unionByName(spark.readStream.schema("user_id string, ts timestamp").parquet(far)).withWatermark("ts", "1 hour")
+    found = correlate.sessions(commands, "user_id", SESSION_GAP)
+    done = drained(spark, found, found.schema, "sessions")
+    return done.where("user_id <> 'sentinel'").select(
+        "user_id", micros(F.col("first")).alias("first_at"), micros(F.col("last")).alias("last_at"), "n")
+
+
 @query("dedup_requests_stream", sql("SELECT DISTINCT CAST(l_orderkey AS VARCHAR) request_id FROM lineitem"))
 def dedup_requests_stream(spark, folder):
     sent = table_stream(spark, folder, "lineitem").select(

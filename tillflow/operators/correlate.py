@@ -41,7 +41,20 @@ def dedup_requests(requests: DataFrame) -> DataFrame:
     return requests.groupBy("request_id").agg(F.min("request_ts").alias("request_ts"), F.count("*").alias("copies"))
 
 
-def throughput(requests: DataFrame, ts: str = "ts", width: str = "1 second") -> DataFrame:
-    """Requests per route, and the most within one window."""
+def throughput(requests: DataFrame, ts: str = "ts", width: str = "1 second", slide: str | None = None) -> DataFrame:
+    """Requests per route, and the most within one window; with ``slide`` windows begin that far apart and overlap."""
+    if slide is not None:
+        peaks = requests.groupBy("route", F.window(F.col(ts).cast("timestamp"), width, slide)).agg(F.count("*").alias("n"))
+        counts = requests.groupBy("route").agg(F.count("*").alias("n_requests"))
+        return counts.join(peaks.groupBy("route").agg(F.max("n").alias("peak")), "route")
     per_window = requests.groupBy("route", F.window(F.col(ts).cast("timestamp"), width)).agg(F.count("*").alias("n"))
     return per_window.groupBy("route").agg(F.sum("n").alias("n_requests"), F.max("n").alias("peak"))
+
+
+def sessions(requests: DataFrame, key: str, gap: str, ts: str = "ts") -> DataFrame:
+    """Stretches of a key's requests no further apart than ``gap``: first and last time, and how many.
+
+    Works on a stream as well, where ``ts`` must carry a watermark.
+    """
+    return (requests.groupBy(key, F.session_window(ts, gap)).agg(F.count("*").alias("n"), F.max(ts).alias("last"))
+            .select(key, F.col("session_window.start").alias("first"), "last", "n"))
