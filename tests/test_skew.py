@@ -101,3 +101,14 @@ def test_checks_notice_one_wrong_row(spark):
     gone = spark.createDataFrame([("o1",), ("o2",)], "order_id string")
     assert tuple(quality.still_there(gone, gone.where("order_id = 'o2'"), ["order_id"]).first()) == (2, 1)
     assert tuple(quality.not_there(gone, gone.where("order_id = 'o2'"), ["order_id"]).first()) == (2, 1)
+
+
+def test_texts_of_hot_keys_are_joined_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(skew, "PIECE_ENTRIES", 40)
+    lines = hot_lines(spark)
+    order, text = F.col("item_id"), F.concat("item_id", F.lit("="), "qty")
+    plain = {r.order_id: (r.all, r.n_entries) for r in skew.joined_sorted(lines, "order_id", text, order, ",", "all").collect()}
+    ranged = skew.joined_sorted(lines, "order_id", text, order, ",", "all", hot_entries=150)
+    assert {r.order_id: (r.all, r.n_entries) for r in ranged.collect()} == plain and len(plain) == 51
+    hot = sorted((str(i), i % 7 + 1) for i in range(0, 2000, 3))
+    assert plain["hot"] == (",".join(f"{i}={q}" for i, q in hot), len(hot))

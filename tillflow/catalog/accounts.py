@@ -6,7 +6,7 @@ from tillflow.catalog import query
 from tillflow.catalog.views import sql
 from tillflow.operators import accounts, guards
 from tillflow.operators.batching import count_items
-from tillflow.sources.fixtures import cmd, items0, lines0, orders0, users0
+from tillflow.sources.fixtures import cmd, items0, lines0, orders0, size_of, users0
 
 NOT_FOUND = "Managed Exception: Entry ''{}'' with the given ID does not exist."
 
@@ -55,7 +55,7 @@ def create_items(spark, folder):
     LEFT JOIN (SELECT user_id, string_agg(order_id, ', ' ORDER BY order_id) ids FROM orders0 GROUP BY 1) o USING (user_id)
     WHERE c.route IN ('users/find', 'users/credit')""", "cmd", "users0", "orders0"))
 def user_view(spark, folder):
-    known = accounts.order_sets(existing_users(spark, folder), orders0(spark, folder)).withColumn(
+    known = accounts.order_sets(existing_users(spark, folder), orders0(spark, folder), size_of(spark, folder, "o_custkey")).withColumn(
         "params", accounts.user_params())
     asked = cmd(spark, folder).where(F.col("route").isin("users/find", "users/credit"))
     return accounts.answer_view(asked, known, "user_id", "user")
@@ -80,7 +80,7 @@ def stock_view(spark, folder):
     "users0", "orders0"))
 def user_orders(spark, folder):
     gone = (F.col("seq") % 3 == 0) & guards.can_remove(F.col("is_paid"), F.col("checkout_status"))
-    return accounts.order_sets(users0(spark, folder), orders0(spark, folder).where(~gone)).select("user_id", "orders")
+    return accounts.order_sets(users0(spark, folder), orders0(spark, folder).where(~gone), size_of(spark, folder, "o_custkey")).select("user_id", "orders")
 
 
 @query("remove_user_cascade", sql("""

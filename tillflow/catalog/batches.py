@@ -19,7 +19,7 @@ BATCH_ID = "sha256(order_id || ':' || order_id || ':send-stock')"
 def stock_messages(spark, folder):
     """The stock request of every checkout, keyed by request id = order id."""
     lines = lines0(spark, folder)
-    sent = ops.checkout_requests(orders0(spark, folder), lines, plan.order_prices(lines))
+    sent = ops.checkout_requests(orders0(spark, folder), lines, plan.order_prices(lines), size_of(spark, folder, "l_orderkey"))
     return sent.where(F.col("topic") == "stock_in").select(F.col("order_id").alias("request_id"), "params")
 
 
@@ -112,7 +112,7 @@ def refund_map(spark, folder):
     back = saga(spark, folder).where(~F.col("is_paid"))
     held = plan.reserve_stock(lines0(spark, folder), orders0(spark, folder), items0(spark, folder),
                               sized_by=size_of(spark, folder, "l_partkey")).where("accepted")
-    return (ops.products(held.select("order_id", "item_id", "qty").join(back, "order_id", "left_semi"))
+    return (ops.products(held.select("order_id", "item_id", "qty").join(back, "order_id", "left_semi"), size_of(spark, folder, "l_orderkey"))
             .select("order_id", F.col("products").alias("refunds")))
 
 
@@ -178,7 +178,7 @@ def checkout_log(spark, folder):
     paid = (plan.debit_users(plan.order_prices(lines), orders, users0(spark, folder))
             .withColumns({"code": F.when(F.col("accepted"), v.SUCCESS).otherwise(v.FAILURE),
                           "message": F.lit(v.NO_CREDITS)}))
-    return plan.checkout_log(stock, paid)
+    return plan.checkout_log(stock, paid, size_of(spark, folder, "l_orderkey"))
 
 
 @query("checkout_outcomes", sql("""

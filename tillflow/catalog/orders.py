@@ -10,7 +10,7 @@ from tillflow.functions.jsontext import json_object, quoted
 from tillflow.operators import guards, orders as ops
 from tillflow.operators.batching import missing_for_fan_out
 from tillflow.plans.checkout import order_prices
-from tillflow.sources.fixtures import lines0, micros, orders0
+from tillflow.sources.fixtures import lines0, micros, orders0, size_of
 from tillflow.sources.tables import table
 
 USER_THERE = "user_id IN (SELECT user_id FROM users0 WHERE user_exists)"
@@ -106,7 +106,7 @@ PRODUCTS = """SELECT order_id, '{' || string_agg('"' || item_id || '":' || qty,
 
 
 def listed_products(spark, folder):
-    return ops.products(lines0(spark, folder))
+    return ops.products(lines0(spark, folder), size_of(spark, folder, "l_orderkey"))
 
 
 @query("order_view", sql(f"""
@@ -115,7 +115,7 @@ def listed_products(spark, folder):
         || ',"checkout_status":' || checkout_status || ',"checkout_progress":0}}' params
     FROM orders0 LEFT JOIN products USING (order_id)""", "orders0", "users0", "lines0", products=PRODUCTS))
 def order_view(spark, folder):
-    return ops.order_view(checked_orders(spark, folder), lines0(spark, folder))
+    return ops.order_view(checked_orders(spark, folder), lines0(spark, folder), size_of(spark, folder, "l_orderkey"))
 
 
 @query("json_products", sql("SELECT order_id, item_id, qty FROM lines0", "lines0"))
@@ -182,7 +182,7 @@ def checkout_precheck(spark, folder):
            FROM orders0 JOIN prices USING (order_id)""", "orders0", "prices", products=PRODUCTS))
 def checkout_requests(spark, folder):
     lines = lines0(spark, folder)
-    return ops.checkout_requests(orders0(spark, folder), lines, order_prices(lines))
+    return ops.checkout_requests(orders0(spark, folder), lines, order_prices(lines), size_of(spark, folder, "l_orderkey"))
 
 
 @query("mark_paid", sql(f"""

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tillflow import vocabulary as v
 from tillflow.functions.jsontext import json_object, quoted, raw
 from tillflow.operators.guards import can_remove
-from tillflow.operators.skew import collect_sorted
+from tillflow.operators.skew import joined_sorted
 
 
 def create_once(requests: DataFrame, key: str, created: str, taken: str) -> DataFrame:
@@ -24,16 +24,12 @@ def create_once(requests: DataFrame, key: str, created: str, taken: str) -> Data
         F.when(new, created).otherwise(v.MANAGED + taken).alias("message"))
 
 
-def braces(ids: Column) -> Column:
-    """A set of ids as text."""
-    return F.concat(F.lit("["), F.array_join(ids, ", "), F.lit("]"))
-
-
-def order_sets(users: DataFrame, orders: DataFrame) -> DataFrame:
-    """Per user the ids of the orders owned."""
-    owned = collect_sorted(orders.select("user_id", "order_id").distinct(), "user_id", F.col("order_id"), "orders")
-    return (users.join(owned, "user_id", "left")
-            .withColumn("orders", F.coalesce(braces(F.col("orders")), F.lit("[]"))))
+def order_sets(users: DataFrame, orders: DataFrame, sized_by: DataFrame | None = None) -> DataFrame:
+    """Per user the ids of the orders owned, as text; ``sized_by`` as in ``skew.hot_keys``."""
+    owned = joined_sorted(orders.select("user_id", "order_id").distinct(), "user_id", F.col("order_id"), F.col("order_id"),
+                          ", ", "orders", sized_by=sized_by).drop("n_entries")
+    return users.join(owned, "user_id", "left").withColumn(
+        "orders", F.concat(F.lit("["), F.coalesce("orders", F.lit("")), F.lit("]")))
 
 
 def user_params(user_id="user_id", balance="credits", orders="orders") -> Column:

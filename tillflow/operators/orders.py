@@ -8,7 +8,7 @@ from tillflow import vocabulary as v
 from tillflow.functions.jsontext import json_object, quoted, raw
 from tillflow.operators.guards import can_modify, can_remove
 from tillflow.operators.routing import first_reason
-from tillflow.operators.skew import collect_sorted
+from tillflow.operators.skew import joined_sorted
 
 
 def object_of(pairs: Column) -> Column:
@@ -17,11 +17,12 @@ def object_of(pairs: Column) -> Column:
         F.transform(pairs, lambda p: F.concat(quoted(p["name"]), F.lit(":"), p["value"])), ","), F.lit("}"))
 
 
-def products(lines: DataFrame) -> DataFrame:
-    """Per order its items as JSON object, sorted by item."""
-    entry = F.struct(F.col("item_id").alias("name"), raw("qty").alias("value"))
-    return (collect_sorted(lines, "order_id", entry, "pairs", [F.count("*").alias("n_items")])
-            .select("order_id", "n_items", object_of(F.col("pairs")).alias("products")))
+def products(lines: DataFrame, sized_by: DataFrame | None = None) -> DataFrame:
+    """Per order its items as JSON object, sorted by item; ``sized_by`` as in ``skew.hot_keys``."""
+    entry = F.concat(quoted("item_id"), F.lit(":"), raw("qty"))
+    found = joined_sorted(lines, "order_id", entry, F.col("item_id"), ",", "entries_", sized_by=sized_by)
+    return found.select("order_id", F.col("n_entries").alias("n_items"),
+                        F.concat(F.lit("{"), "entries_", F.lit("}")).alias("products"))
 
 
 def outcome(reason: Column, success: str, *failures: str) -> tuple[Column, Column]:
@@ -99,13 +100,13 @@ def order_params(products_text="products") -> Column:
         checkout_status=raw("checkout_status"), checkout_progress=raw("checkout_progress"))
 
 
-def order_view(orders: DataFrame, lines: DataFrame) -> DataFrame:
-    return orders.join(products(lines), "order_id", "left").select("order_id", order_params().alias("params"))
+def order_view(orders: DataFrame, lines: DataFrame, sized_by: DataFrame | None = None) -> DataFrame:
+    return orders.join(products(lines, sized_by), "order_id", "left").select("order_id", order_params().alias("params"))
 
 
-def checkout_requests(orders: DataFrame, lines: DataFrame, prices: DataFrame) -> DataFrame:
+def checkout_requests(orders: DataFrame, lines: DataFrame, prices: DataFrame, sized_by: DataFrame | None = None) -> DataFrame:
     """The two messages a checkout sends: take the stock, and pay."""
-    stock = orders.join(products(lines), "order_id").select(
+    stock = orders.join(products(lines, sized_by), "order_id").select(
         "order_id", F.lit(v.IN_TOPIC[v.STOCK]).alias("topic"), F.lit("batch/subtract").alias("route"),
         F.lit("batch:subtract").alias("state"),
         json_object(products=F.col("products"), order_id=quoted("order_id"), user_id=quoted("user_id"),

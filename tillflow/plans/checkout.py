@@ -13,7 +13,7 @@ from tillflow import vocabulary as v
 from tillflow.functions.codes import name_of
 from tillflow.functions.jsontext import json_object, quoted, raw
 from tillflow.operators.ledger import HOT_ROWS, guarded_ledger
-from tillflow.operators.skew import collect_sorted
+from tillflow.operators.skew import joined_sorted
 
 
 def order_prices(lines: DataFrame) -> DataFrame:
@@ -98,8 +98,8 @@ def compensations(result: DataFrame) -> DataFrame:
         ask("refund", v.IN_TOPIC[v.PAYMENT], "orders/checkout", "replenish-payment"))
 
 
-def checkout_log(stock: DataFrame, payments: DataFrame) -> DataFrame:
-    """Per order the reasons of its failure as a JSON array, sorted.
+def checkout_log(stock: DataFrame, payments: DataFrame, sized_by: DataFrame | None = None) -> DataFrame:
+    """Per order the reasons of its failure as a JSON array, sorted; ``sized_by`` as in ``skew.hot_keys``.
 
     ``stock`` (order_id, item_id, code), ``payments`` (order_id, code, message).
     """
@@ -110,8 +110,8 @@ def checkout_log(stock: DataFrame, payments: DataFrame) -> DataFrame:
                    "order_id", "code", F.coalesce("message", F.lit("Insufficient funds.")).alias("message"))))
     entry = json_object(message=quoted("message"), status=quoted(name_of(F.col("code"), v.OPERATION_RESULT)),
                         status_code=raw("code"))
-    return collect_sorted(reasons, "order_id", entry, "entries_").select(
-        "order_id", F.concat(F.lit("["), F.array_join("entries_", ","), F.lit("]")).alias("log"))
+    return joined_sorted(reasons, "order_id", entry, entry, ",", "entries_", sized_by=sized_by).select(
+        "order_id", F.concat(F.lit("["), F.col("entries_"), F.lit("]")).alias("log"))
 
 
 def outcomes(result: DataFrame) -> DataFrame:
