@@ -13,7 +13,7 @@ from tillflow import vocabulary as v
 from tillflow.functions import envelope as env
 from tillflow.session import fresh_path
 from tillflow.sources import bus as buses
-from tillflow.streaming import analytics, jobs, replay, rules
+from tillflow.streaming import analytics, entities, jobs, replay, rules
 
 NUMBERS = count(1)
 
@@ -220,6 +220,47 @@ def test_payments_are_tried_again_as_the_job_does(spark, folder):
     assert rows == job and len({r[2] for r in rows}) >= 5
 
 
+def test_an_entity_of_ones_own(spark):
+    """Coupons: created, redeemed a number of times, handed on to the users when used up."""
+    def create(state, m):
+        return ({"left": m.amount}, [("ok", {"left": m.amount}, None)]) if state is None else (state, [("taken", {}, None)])
+
+    def redeem(state, m):
+        if state is None:
+            return None, [("absent", {}, None)]
+        if m.amount > state["left"]:
+            return state, [("refused", {}, f"Only {state['left']} left.")]
+        state["left"] -= m.amount
+        done = [("ok", state, None)]
+        return (state, done) if state["left"] else (None, done + [("used_up", {"user_id": "u"}, None)])
+
+    def fail(state, m):
+        state["left"] = 1 // 0
+
+    entities.register(entities.Entity("coupon", "coupon_id", {"coupon/create": create, "coupon/redeem": redeem, "coupon/fail": fail}, [
+        entities.Reply("coupon/create", "ok", "success", "Coupon created."), entities.Reply("coupon/create", "taken", "error", "Coupon exists."),
+        entities.Reply("coupon/redeem", "ok", "success", "Redeemed."),
+        entities.Reply("coupon/redeem", "used_up", "redirect", topic="user_in", to_route="users/credit/add", token=None)]))
+    with pytest.raises(ValueError):
+        entities.register(entities.Entity(v.USER, "user_id", {}))
+    path = fresh_path(spark, "coupons")
+    asked = [("c1", "coupon/create", 5), ("c1", "coupon/create", 5), ("c1", "coupon/redeem", 3), ("c1", "coupon/redeem", 3),
+             ("c2", "coupon/redeem", 1), ("c1", "coupon/fail", 1), ("c1", "coupon/redeem", 2), ("c1", "coupon/redeem", 1), ("c1", "coupon/other", 1)]
+    rows = [("coupon_in", f"q{i}", route, json.dumps({"coupon_id": c, "amount": n}), dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), i)
+            for i, (c, route, n) in enumerate(asked)]
+    df = spark.createDataFrame(rows, "topic string, id string, route string, params string, ts timestamp, seq bigint")
+    df = df.withColumn("value", env.make_envelope(*map(F.col, ("id", "topic", "route", "params")))).select("topic", "value", "ts", "seq")
+    df.write.parquet(f"{path}/in")
+    out = run_to_files(jobs.service_job(spark.readStream.schema(df.schema).parquet(f"{path}/in"), "coupon"), path, "coupon")
+    got = env.parse_envelope(out).select("seq", "topic", "state.route", "result.message").collect()
+    web, bad = v.DEFAULT_OUT_TOPIC, "Managed Exception: "
+    assert {(r.seq, r.topic, r.route, r.message) for r in got if r.seq != 5} == {
+        (0, web, "web", "Coupon created."), (1, web, "web", bad + "Coupon exists."), (2, web, "web", "Redeemed."),
+        (3, web, "web", bad + "Only 2 left."), (4, web, "web", bad + v.not_found("coupon")), (6, web, "web", "Redeemed."),
+        (6, "user_in", "users/credit/add", None), (7, web, "web", bad + v.not_found("coupon")), (8, web, "web", bad + v.UNKNOWN_ROUTE)}
+    assert [r.message.startswith(v.UNMANAGED) for r in got if r.seq == 5] == [True]
+
+
 def test_kafka_options_and_rows(spark):
     options = buses.kafka_read_options("user_in,order_in", "broker:9092", most_per_trigger=1000)
     assert options["subscribe"] == "user_in,order_in" and options["maxOffsetsPerTrigger"] == "1000"

@@ -23,6 +23,8 @@ KERNEL_COLUMNS = ["key", "ts", "seq", "rule", "text", "value", "user_id", "order
 
 
 UNREADABLE = "Unknown message format."
+# the parameter that keys each service; ``entities.register`` adds to it
+KEY_PARAM = dict(v.KEY_PARAM)
 
 
 def parsed_records(records: DataFrame) -> DataFrame:
@@ -68,7 +70,7 @@ def keyed_messages(records: DataFrame, service: str) -> DataFrame:
         (F.col("state.route") == F.col("route_")) & ((F.col("token_") == rules.ANY) | F.col("token_").eqNullSafe(token))
         & ((F.col("sender_") == rules.ANY) | (F.col("sender_") == sender)), "left")
     return matched.select(
-        own_key(env.extract_key(v.KEY_PARAM[service])).alias("key"), "ts", "seq",
+        own_key(env.extract_key(KEY_PARAM[service])).alias("key"), "ts", "seq",
         F.when(F.col("reason").isNotNull(), p.QUARANTINE).otherwise(F.coalesce("rule", F.lit("unknown"))).alias("rule"),
         F.coalesce("reason", F.when(F.col("rule").isNull(), unknown_text(service))).alias("text"), "value",
         field(params, "user_id").alias("user_id"), field(params, "order_id").alias("order_id"),
@@ -87,7 +89,7 @@ def answers(outcomes: DataFrame, service: str) -> DataFrame:
     text = F.coalesce("text", "reply_text")
     refused = F.col("kind") == "error"
     rows = env.parse_envelope(found.withColumn("m_", F.col("value")), "m_")
-    rows = env.keyed(rows, v.KEY_PARAM[service])
+    rows = env.keyed(rows, KEY_PARAM[service])
     asked = F.col("params_from")
     rows = rows.withColumn("new_params", F.when(
         refused, json_object(type=quoted(F.lit("ServiceException")), info=quoted(text)))
