@@ -244,3 +244,13 @@ def test_the_toxic_dictionary_is_trained_on_words_of_toxic_text():
     assert toxicity.excerpts(toxic, marks)[:2] == [b" scumbag ", b" scumbags "]
     assert b"scumbag" in toxicity.dictionary(toxicity.excerpts(toxic * 20, marks), 4000, 16)
     assert toxicity.dictionary([b"x"], 100) == b"x"
+
+
+def test_deep_pages_take_little_time():
+    n = 100_000
+    for page, found in (("<div>x" * n, n), ("<b>" * n + "</i>" * n, 0), ("<div>" * n + "</span></foo>x" * n, n), ("<a><li>x" * n, n)):
+        got = pages.blocks(page)
+        assert len(got) == found
+        if found:
+            assert pages.vectors(got[-50:]).shape[0] == len(got[-50:])
+    assert pages.blocks("<div>x" * n)[-1].path == ("div",) * n

@@ -14,6 +14,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,12 +53,36 @@ OTHER = frozenset("nav header footer aside form button select menu dialog ad ads
                   "sponsor sponsored subscribe toolbar widget".split())
 
 
+class Place:
+    """A place in the tree of a page, known by its parent: an element costs as much as its own names, however deep it lies."""
+
+    __slots__ = ("parent", "own", "slots")
+
+    def __init__(self, parent: Place | None, own: tuple[str, ...]):
+        self.parent, self.own = parent, own
+        above = parent.slots if parent else frozenset()
+        mine = {zlib.crc32(t.encode()) % PATH for t in own}
+        self.slots = above if mine <= above else above | mine
+
+    def path(self) -> tuple[str, ...]:
+        out, at = [], self
+        while at is not None:
+            out.append(at.own)
+            at = at.parent
+        return tuple(t for own in reversed(out) for t in own)
+
+
 @dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[str, ...]
+    place: Place
     links: float  # share of the characters inside links
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """The names of all elements around the block but the inline ones."""
+        return self.place.path()
+
 
 def _tokens(tag: str, attributes: str) -> tuple[str, ...]:
     out = [tag]
@@ -69,30 +94,37 @@ def _tokens(tag: str, attributes: str) -> tuple[str, ...]:
 
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order: decoded text with single spaces, tag path, share of links."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    # open elements, each with the place it stands for; inline ones stand for the place around them
+    stack: list[tuple[str, Place]] = []
+    opened: Counter[str] = Counter()
     out: list[Block] = []
     pieces: list[str] = []
-    linked = in_link = 0
-    path: tuple[str, ...] | None = None
+    linked = 0
+    root = Place(None, ())
+    place: Place | None = None
 
     def end_block():
-        nonlocal linked, path
+        nonlocal linked, place
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                out.append(Block(text, path or (), min(1.0, linked / len(text))))
+                out.append(Block(text, place or root, min(1.0, linked / len(text))))
             pieces.clear()
-        linked, path = 0, None
+        linked, place = 0, None
+
+    def close(k: int):
+        for tag, _ in stack[k:]:
+            opened[tag] -= 1
+        del stack[k:]
 
     def add(text: str):
-        nonlocal linked, path
+        nonlocal linked, place
         if not text:
             return
-        if path is None and not text.isspace():
-            # inline elements name no place of the page
-            path = tuple(t for tag, tokens in stack if tag not in INLINE for t in tokens)
+        if place is None and not text.isspace():
+            place = stack[-1][1] if stack else root
         pieces.append(text)
-        if in_link:
+        if opened["a"]:
             linked += len(text)
 
     at = 0
@@ -108,9 +140,10 @@ def blocks(page: str) -> list[Block]:
         elif m[2]:
             if tag not in INLINE:
                 end_block()
-            for k in range(len(stack) - 1, -1, -1):
+            # most stray ends are known without a search
+            for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag in INLINE and stack[k][0] not in INLINE:
                     break  # a stray end of an inline element closes no block
@@ -120,13 +153,14 @@ def blocks(page: str) -> list[Block]:
                 if tag in CLOSES_P:
                     for k in range(len(stack) - 1, -1, -1):
                         if stack[k][0] == "p" or tag == stack[k][0] == "li":
-                            del stack[k:]
+                            close(k)
                             break
                         if stack[k][0] not in INLINE:
                             break
             if tag not in VOID:
-                stack.append((tag, _tokens(tag, m[4])))
-        in_link = any(t == "a" for t, _ in stack)
+                around = stack[-1][1] if stack else root
+                stack.append((tag, around if tag in INLINE else Place(around, _tokens(tag, m[4]))))
+                opened[tag] += 1
     add(page[at:])
     end_block()
     return out
@@ -135,13 +169,9 @@ def blocks(page: str) -> list[Block]:
 def vectors(sequence: list[Block]) -> np.ndarray:
     """One row a block: tag path, hashed words, measures."""
     x = np.zeros((len(sequence), INPUT), np.float32)
-    crc, known = zlib.crc32, {}
+    crc = zlib.crc32
     for i, b in enumerate(sequence):
-        if b.path not in known:
-            slots = [crc(t.encode()) % PATH for t in b.path]
-            last = [crc(b"last " + t.encode()) % PATH for t in b.path[-1:]]
-            known[b.path] = slots + last
-        x[i, known[b.path]] = 1
+        x[i, [*b.place.slots, *[crc(b"last " + t.encode()) % PATH for t in b.place.own[-1:]]]] = 1
         words = b.text.lower().encode("utf-8", "surrogatepass").split()
         counts = np.bincount([crc(w) % WORDS for w in words], minlength=WORDS)
         x[i, PATH:PATH + WORDS] = 0.3 * counts / np.sqrt((counts ** 2).sum())
@@ -297,7 +327,7 @@ def another_layout(page: list[Block], labels: list[bool], others: list[str], rng
             words = rng.choice(others).split()
             start = rng.randrange(len(words))
             text = " ".join(words[start:start + rng.choice((1, 2, 4, 12, 40))])
-            out.append(Block(text, path, rng.choice((0.0, 0.0, 1.0))))
+            out.append(Block(text, Place(None, path), rng.choice((0.0, 0.0, 1.0))))
             marks.append(False)
 
     for _ in range(rng.randrange(4)):
@@ -306,7 +336,7 @@ def another_layout(page: list[Block], labels: list[bool], others: list[str], rng
     for b, main in zip(page, labels):
         if main:
             leaf = ("h1",) if first else rng.choice(LEAVES)
-            out.append(Block(b.text, around + inside + leaf, b.links))
+            out.append(Block(b.text, Place(None, around + inside + leaf), b.links))
             marks.append(True)
             first = False
             if rng.random() < 0.05:
