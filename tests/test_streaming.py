@@ -7,13 +7,14 @@ import random
 from itertools import count
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from tillflow import vocabulary as v
 from tillflow.functions import envelope as env
 from tillflow.session import fresh_path
 from tillflow.sources import bus as buses
-from tillflow.streaming import analytics, entities, jobs, replay, rules
+from tillflow.streaming import analytics, entities, jobs, processors, replay, rules
 
 NUMBERS = count(1)
 
@@ -285,3 +286,81 @@ def test_a_literal_message_with_unknown_fields(spark):
     out = json.loads(df.select(env.serialize_envelope().alias("x")).first().x)
     assert out["path"] == [] and out["result"] == {} and "web" not in out["state"]
     assert out["params"] == {"order_id": "o", "user_id": "u"}
+
+
+class CountedState:
+    """A value state that counts the calls, as the state store would be called."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+
+class CountedHandle:
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, CountedState())
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    def calls(self):
+        return sum(s.calls for s in self.states.values()) + len(self.timers)
+
+
+def fired(ms):
+    return TimerValues(-1, ms + 1), ExpiredTimerInfo(ms)
+
+
+def test_keys_of_a_bucket_share_their_state_calls(spark):
+    """A state call per key made the jobs take milliseconds a message."""
+    keys = [f"o{i}" for i in range(500)]
+    order = {"user_id": "u", "user_checked": True, "is_paid": False, "checkout_status": 0, "products": '{"p":1}'}
+    handle, job = CountedHandle(), processors.OrderProcessor(timers=True)
+    job.init(handle)
+    job.handleInitialState((1,), Row(ids=keys, states=[json.dumps(order)] * 500), None)
+    asked = [Row(value="v", record=json.dumps({"key": k, "us": i * 10**6, "seq": i, "rule": "orders/checkout:-", "amount": 0}))
+             for i, k in enumerate(keys)]
+    taken = list(job.handleInputRows((1,), iter(asked), None))
+    assert sorted(r.outcome for r in taken) == ["pay"] * 500 + ["take"] * 500
+    assert handle.calls() < 10 and handle.timers == [v.CHECKOUT_TIMEOUT_MS]
+    # the first 100 are due; the rest keep waiting for a timer of their own
+    gone = list(job.handleExpiredTimer((1,), *fired(99_000 + v.CHECKOUT_TIMEOUT_MS)))
+    assert [(r.seq, r.outcome) for r in gone] == [(i, "failed") for i in range(100)]
+    assert handle.timers[-1] == 100_000 + v.CHECKOUT_TIMEOUT_MS and handle.calls() < 20
+    left = [json.loads(s) for s in handle.states[processors.STATE].value[1]]
+    assert [s["checkout_status"] for s in left] == [v.FAILED] * 100 + [v.IN_PROGRESS] * 400
+
+
+def test_first_answers_of_a_bucket_share_their_state_calls(spark):
+    handle, job = CountedHandle(), processors.FirstAnswerProcessor(1000)
+    job.init(handle)
+    rows = [Row(request_id=f"r{i}", is_answer=reply, us=i * 10**6 + reply) for i in range(500) for reply in (False, True)]
+    list(job.handleInputRows((1,), iter(rows), None))
+    assert handle.calls() < 10
+    got = list(job.handleExpiredTimer((1,), *fired(10**9)))
+    assert sorted((r.request_us, r.response_us) for r in got) == [(i * 10**6, i * 10**6 + 1) for i in range(500)]
+    assert handle.states[processors.STATE].value is None
+
+
+def test_a_snapshot_that_has_a_key_twice(spark):
+    rows = spark.createDataFrame([("k", 5), ("k", 5), (None, None)], "key string, credits bigint")
+    buckets = processors.bucketed(rows).collect()
+    assert sorted(len(b.ids) for b in buckets) == [1, 2]
+    for b in buckets:
+        handle, job = CountedHandle(), processors.UserProcessor()
+        job.init(handle)
+        job.handleInitialState((b.bucket,), b, None)
+        ids, states = handle.states[processors.STATE].value
+        assert (ids, json.loads(states[0]).get("credits")) in ((["k"], 5), ([None], None))

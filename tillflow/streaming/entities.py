@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 from tillflow import vocabulary as v
 from tillflow.streaming import jobs, rules
-from tillflow.streaming.processors import Keyed, put
+from tillflow.streaming.processors import Keyed
 
 # (state, message) -> (state, outcomes); a state is anything JSON can hold or None,
 # an outcome is (name, extra params, text or None)
@@ -59,13 +59,8 @@ class StepProcessor(Keyed):
     def __init__(self, steps: dict[str, Step]):
         self.steps = steps
 
-    def init(self, handle):
-        self.held = handle.getValueState("held", "state string")
-
-    def load(self, key):
-        found = self.held.get()
-        self.before = found[0] if found else None
-        self.state = json.loads(self.before) if found else None
+    def load(self, key, state):
+        self.state = state
 
     def apply(self, key, m):
         # a step may change what it is given, so a failing one leaves a copy behind
@@ -73,8 +68,7 @@ class StepProcessor(Keyed):
         return outcomes
 
     def store(self, key):
-        after = None if self.state is None else json.dumps(self.state, sort_keys=True)
-        put(self.held, None if self.before is None else (self.before,), None if after is None else (after,))
+        return self.state
 
 
 def register(entity: Entity) -> None:
