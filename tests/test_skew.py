@@ -112,3 +112,27 @@ def test_texts_of_hot_keys_are_joined_in_ranges(spark, monkeypatch):
     assert {r.order_id: (r.all, r.n_entries) for r in ranged.collect()} == plain and len(plain) == 51
     hot = sorted((str(i), i % 7 + 1) for i in range(0, 2000, 3))
     assert plain["hot"] == (",".join(f"{i}={q}" for i, q in hot), len(hot))
+
+
+def test_items_of_a_batch_are_shuffled_once(spark):
+    items = spark.createDataFrame(
+        [("b", 2, "o", "u", "s", i, t, f'{{"state":{t}}}') for i, t in (("x", 1), ("x", 2), ("y", 1))],
+        "batch_id string, batch_count bigint, order_id string, user_id string, return_state string, item_id string, t bigint, passed string")
+    out = batching.collect_batches(items)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [r.params for r in out.collect()] == ['{"order_id":"o","user_id":"u","products":{"x":{"state":2},"y":{"state":1}}}']
+
+
+def test_the_ledger_tells_unknown_items(spark):
+    """Codes without a join with the stock, for ordinary and for hot items."""
+    takes = spark.createDataFrame([(k, i, i, a) for k, i, a in [
+        ("a", 1, 3), ("a", 2, 3), ("a", 3, -1), ("a", 4, None), ("b", 1, 0), ("none", 1, 0), ("none", 2, 1), (None, 1, 1), ("zero", 1, 0)]
+        + [("hot", i, 1) for i in range(30)] + [("lost", i, 0) for i in range(30)]],
+        "item_id string, t bigint, seq bigint, amount bigint")
+    stock = spark.createDataFrame([("a", 5), ("b", 1), ("hot", 20), ("zero", None)], "item_id string, amount bigint")
+    want = {("a", 1): 0, ("a", 2): 1, ("a", 3): 2, ("a", 4): 2, ("b", 1): 0, ("none", 1): 2, ("none", 2): 2, (None, 1): 2, ("zero", 1): 0}
+    want |= {("hot", i): int(i >= 20) for i in range(30)} | {("lost", i): 2 for i in range(30)}
+    for hot_rows in (1000, 10):
+        out = batching.take_items(takes, stock, hot_rows)
+        assert {(r.item_id, r.t): r.code for r in out.collect()} == want
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString() or hot_rows == 10

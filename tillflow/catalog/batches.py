@@ -75,10 +75,13 @@ def batch_collect(spark, folder):
 
 def taken(spark, folder):
     """Every checkout's items fanned out and taken from stock, in order."""
-    when = orders0(spark, folder).select("order_id", "t", "seq")
-    takes = batching.fan_out(stock_messages(spark, folder)).join(when, "order_id")
-    return batching.take_items(takes, items0(spark, folder).select("item_id", "amount"),
+    # a message carries its time into the fan-out, so that no item has to be joined with it
+    when = orders0(spark, folder).select(F.col("order_id").alias("request_id"), F.struct("t", "seq").alias("when"))
+    takes = batching.fan_out(stock_messages(spark, folder).join(when, "request_id"), keep="when").select("*", "when.*")
+    # the id is a hash of what a row has anyway, and most of its bytes: it is made again behind the ledger's shuffle
+    done = batching.take_items(takes.drop("when", "batch_id"), items0(spark, folder).select("item_id", "amount"),
                                sized_by=size_of(spark, folder, "l_partkey"))
+    return done.withColumn("batch_id", batching.batch_id("request_id", "order_id", "return_state"))
 
 
 PASSED = """CASE WHEN ok THEN '{"state":0,"amount":' || qty || '}' ELSE '{"state":1}' END"""

@@ -70,7 +70,8 @@ def collect_batches(items: DataFrame) -> DataFrame:
     one item the latest counts. A batch is handed on once, as one message.
     """
     keys = ["batch_id", "item_id"]
-    latest = items.groupBy(*keys).agg(
+    # dealt by batch once, both aggregates find their rows together
+    latest = items.repartition("batch_id").groupBy(*keys).agg(
         F.max_by("passed", "t").alias("passed"),
         *[F.max(c).alias(c) for c in ("batch_count", "order_id", "user_id", "return_state")])
     joined = latest.groupBy("batch_id").agg(
@@ -95,15 +96,20 @@ def passed(code: Column, amount: Column | None = None) -> Column:
 def take_items(takes: DataFrame, stock: DataFrame, hot_rows: int = HOT_ROWS,
                sized_by: DataFrame | None = None) -> DataFrame:
     """Take amounts from stock in order; code 0 taken, 1 too few left, 2 unknown item or bad amount."""
-    known = stock.select("item_id", F.lit(True).alias("known_"))
-    valid = F.col("known_").isNotNull() & (F.col("amount") >= 0)
-    commands = (takes.join(known, "item_id", "left").withColumn("valid_", valid).drop("known_")
-                .withColumn("delta", F.when(F.col("valid_"), -F.col("amount")).otherwise(0))  # 0 changes nothing
-                .withColumnRenamed("item_id", "key"))
+    # a stock entry that is there n times takes n times
+    copies = stock.where(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.count("*").cast("int").alias("n_")).where("n_ > 1")
+    if not copies.isEmpty():
+        again = F.explode(F.array_repeat(F.lit(True), F.coalesce("n_", F.lit(1))))
+        takes = takes.join(copies, "item_id", "left").withColumn("again_", again).drop("n_", "again_")
+    # a bad amount changes nothing
+    fits = F.col("amount") >= 0
+    commands = takes.withColumn("delta", F.when(fits, -F.col("amount")).otherwise(0)).withColumnRenamed("item_id", "key")
     opening = stock.select(F.col("item_id").alias("key"), F.col("amount").alias("opening"))
-    code = F.when(~F.col("valid_"), v.ERROR).when(F.col("accepted"), v.SUCCESS).otherwise(v.FAILURE)
-    return (guarded_ledger(commands, opening, hot_rows, sized_by).withColumn("code", code)
-            .drop("delta", "balance", "accepted", "valid_").withColumnRenamed("key", "item_id"))
+    # an item without stock entry has no opening, so the ledger tells what a join would
+    valid = F.col("opened") & F.coalesce(fits, F.lit(False))
+    code = F.when(~valid, v.ERROR).when(F.col("accepted"), v.SUCCESS).otherwise(v.FAILURE)
+    return (guarded_ledger(commands, opening, hot_rows, sized_by, opened=True).withColumn("code", code)
+            .drop("delta", "balance", "accepted", "opened").withColumnRenamed("key", "item_id"))
 
 
 def put_items(puts: DataFrame, stock: DataFrame) -> tuple[DataFrame, DataFrame]:

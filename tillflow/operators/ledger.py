@@ -35,8 +35,8 @@ UNBOUNDED = 1 << 62
 
 
 def guarded_ledger(commands: DataFrame, opening: DataFrame | None = None,
-                   hot_rows: int = HOT_ROWS, sized_by: DataFrame | None = None) -> DataFrame:
-    """Every command with ``accepted`` and the ``balance`` after it.
+                   hot_rows: int = HOT_ROWS, sized_by: DataFrame | None = None, opened: bool = False) -> DataFrame:
+    """Every command with ``accepted`` and the ``balance`` after it; with ``opened`` also whether its key has an opening.
 
     ``commands`` has ``key``, the order (``t``, ``seq``), a signed ``delta``
     and any further columns; ``opening`` has ``key`` and ``opening`` >= 0;
@@ -44,7 +44,7 @@ def guarded_ledger(commands: DataFrame, opening: DataFrame | None = None,
     accepted and changes nothing.
     ``sized_by`` helps to find the hot keys, see ``skew.hot_keys``.
     """
-    return _fold(commands, opening, hot_rows, sized_by, each_command=True)
+    return _fold(commands, opening, hot_rows, sized_by, True, opened)
 
 
 def guarded_balance(commands: DataFrame, opening: DataFrame | None = None,
@@ -57,19 +57,25 @@ def guarded_balance(commands: DataFrame, opening: DataFrame | None = None,
     return _fold(commands, opening, hot_rows, sized_by, each_command=False)
 
 
-def _fold(commands, opening, hot_rows, sized_by, each_command):
+def _fold(commands, opening, hot_rows, sized_by, each_command, opened=False):
     if opening is not None:
         opening = opening.where(F.col("key").isNotNull())
     hot, limit = hot_keys(commands, "key", hot_rows, sized_by)
     if not hot:
-        return _fold_by_key(commands, opening, each_command)
+        return _fold_by_key(commands, opening, each_command, opened)
     hot_part, rest = split_hot(commands, "key", hot)
     hot_open = None
     if opening is not None:
         hot_open, opening = split_hot(opening, "key", hot)
     chunks = -(-sum(hot.values()) // limit) + len(hot)
-    return (_fold_by_key(rest, opening, each_command)
-            .unionByName(_fold_in_chunks(hot_part, hot_open, int(chunks), each_command)))
+    in_chunks = _fold_in_chunks(hot_part, hot_open, int(chunks), each_command)
+    if opened:  # of hot keys only, so the openings are few
+        flag = F.lit(None).cast("boolean") if hot_open is None else F.col("opened_")
+        if hot_open is not None:
+            has = hot_open.select("key").distinct().withColumn("opened_", F.lit(True))
+            in_chunks = in_chunks.join(F.broadcast(has), "key", "left")
+        in_chunks = in_chunks.withColumn("opened", F.coalesce(flag, F.lit(False))).drop("opened_")
+    return _fold_by_key(rest, opening, each_command, opened).unionByName(in_chunks)
 
 
 def _as_commands(commands, opening):
@@ -82,15 +88,15 @@ def _as_commands(commands, opening):
     return flagged.unionByName(first, allowMissingColumns=True)
 
 
-def _schema(commands, each_command):
+def _schema(commands, each_command, opened=False):
     if each_command:
         return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in commands.schema]
-                         + ["accepted boolean", "balance bigint"])
+                         + ["accepted boolean", "balance bigint"] + ["opened boolean"] * opened)
     key = commands.schema["key"].dataType.simpleString()
     return f"key {key}, balance bigint, n_accepted bigint, n_rejected bigint"
 
 
-def _fold_by_key(commands, opening, each_command):
+def _fold_by_key(commands, opening, each_command, opened=False):
     rows = (_as_commands(commands, opening)
             # rows without key need no order, so they are spread
             .repartition("key", F.when(F.col("key").isNull(), F.xxhash64("t", "seq")))
@@ -98,8 +104,8 @@ def _fold_by_key(commands, opening, each_command):
     if not each_command:
         rows = rows.select("key", "delta", "is_opening")
     names = commands.columns
-    fold = (lambda batches: _per_command(batches, names)) if each_command else _per_key
-    return rows.mapInArrow(fold, _schema(commands, each_command))
+    fold = (lambda batches: _per_command(batches, names, opened)) if each_command else _per_key
+    return rows.mapInArrow(fold, _schema(commands, each_command, opened))
 
 
 # -- inside a task -----------------------------------------------------------------
@@ -151,10 +157,16 @@ def _runs(batches: Iterator[pa.RecordBatch]):
         last_key, carried = keys[-1].as_py(), int(balance[-1])
 
 
-def _per_command(batches, names):
-    for batch, _, _, _, accepted, balance in _runs(batches):
+def _per_command(batches, names, opened=False):
+    held = False  # whether the last key has an opening
+    for batch, _, starts, same, accepted, balance in _runs(batches):
         columns = [batch.column(n) for n in names] + [pa.array(accepted), pa.array(balance)]
-        out = pa.RecordBatch.from_arrays(columns, names=[*names, "accepted", "balance"])
+        if opened:  # openings come first
+            has = batch.column("is_opening").to_numpy(zero_copy_only=False)[starts]
+            has[0] |= same and held
+            held = bool(has[-1])
+            columns.append(pa.array(np.repeat(has, np.diff(np.append(starts, batch.num_rows)))))
+        out = pa.RecordBatch.from_arrays(columns, names=[*names, "accepted", "balance"] + ["opened"] * opened)
         yield out.filter(pc.invert(batch.column("is_opening")))
 
 
