@@ -136,3 +136,13 @@ def test_the_ledger_tells_unknown_items(spark):
         out = batching.take_items(takes, stock, hot_rows)
         assert {(r.item_id, r.t): r.code for r in out.collect()} == want
         assert "Join" not in out._jdf.queryExecution().executedPlan().toString() or hot_rows == 10
+
+
+def test_checkout_takes_a_ledger_that_is_there(spark):
+    lines = spark.createDataFrame([("o1", "a", 2), ("o2", "a", 2), ("o2", "b", 1)], "order_id string, item_id string, qty bigint")
+    book = spark.createDataFrame([("o1", 1, 1, "u"), ("o2", 2, 2, "u")], "order_id string, seq bigint, t bigint, user_id string")
+    stock = spark.createDataFrame([("a", 3), ("b", 9)], "item_id string, amount bigint")
+    users = spark.createDataFrame([("u", 9)], "user_id string, credits bigint")
+    taken = plan.reserve_stock(lines, book, stock)
+    plain = plan.checkout(lines, book, stock, users).collect()
+    assert sorted(plan.checkout(lines, book, stock.limit(0), users, taken=taken).collect()) == sorted(plain)

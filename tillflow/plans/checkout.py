@@ -42,13 +42,16 @@ def debit_users(prices: DataFrame, orders: DataFrame, users: DataFrame, hot_rows
 
 
 def checkout(lines: DataFrame, orders: DataFrame, items: DataFrame, users: DataFrame,
-             hot_rows: int = HOT_ROWS, item_sizes: DataFrame | None = None) -> DataFrame:
+             hot_rows: int = HOT_ROWS, item_sizes: DataFrame | None = None, taken: DataFrame | None = None) -> DataFrame:
     """One row per order: what happened and what has to be given back.
 
-    ``item_sizes`` may be a cheap scan of the items ordered, see ``skew.hot_keys``.
+    ``item_sizes`` may be a cheap scan of the items ordered, see ``skew.hot_keys``;
+    ``taken`` what ``reserve_stock`` gave for the same lines, if that is there already.
     """
     paid = debit_users(order_prices(lines), orders, users, hot_rows)
-    taken = (reserve_stock(lines, orders, items, hot_rows, item_sizes).groupBy("order_id")
+    if taken is None:
+        taken = reserve_stock(lines, orders, items, hot_rows, item_sizes)
+    taken = (taken.groupBy("order_id")
              .agg(F.bool_and("accepted").alias("stock_ok"),
                   F.count_if(~F.col("accepted")).alias("failed_items"),
                   F.sum(F.when(F.col("accepted"), F.col("qty")).otherwise(0)).alias("taken_qty")))
