@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 
 from tillflow.operators.correlate import in_time
-from tillflow.streaming.processors import FIRST_ANSWERS, FirstAnswerProcessor, bucket
+from tillflow.streaming.processors import FIRST_ANSWERS, FirstAnswerProcessor, InFrames, bucket
 
 
 def throughput_stream(requests: DataFrame, width: str, lateness: str) -> DataFrame:
@@ -57,9 +57,9 @@ def first_answers(requests: DataFrame, responses: DataFrame, timeout_seconds: in
     both = requests.select("request_id", F.col("request_ts").alias("ts"), F.lit(False).alias("is_answer")).unionByName(
         responses.select("request_id", F.col("response_ts").alias("ts"), F.lit(True).alias("is_answer")))
     both = both.withColumns({"us": F.unix_micros("ts"), "bucket": bucket("request_id")})
-    found = both.withWatermark("ts", lateness).groupBy("bucket").transformWithState(
-        statefulProcessor=FirstAnswerProcessor(timeout_seconds * 1000), outputStructType=FIRST_ANSWERS,
-        outputMode="append", timeMode="eventTime")
+    processor = InFrames(FirstAnswerProcessor(timeout_seconds * 1000), ["request_id", "is_answer", "us"], FIRST_ANSWERS)
+    found = both.withWatermark("ts", lateness).groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=FIRST_ANSWERS, outputMode="append", timeMode="eventTime")
     return found.select("request_id", F.timestamp_micros("request_us").alias("request_ts"),
                         F.timestamp_micros("response_us").alias("response_ts"))
 

@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from collections import namedtuple
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -18,6 +21,7 @@ from tillflow import vocabulary as v
 from tillflow.streaming import kernels
 
 OUTCOMES = "value string, us bigint, seq bigint, rule string, outcome string, extra string, text string"
+OUTCOME = Row("value", "us", "seq", "rule", "outcome", "extra", "text")
 BUCKETS = 4096
 # the states of a bucket, as JSON text by key
 HELD = "ids array<string>, states array<string>"
@@ -40,8 +44,12 @@ def bucketed(snapshot: DataFrame) -> DataFrame:
         "bucket", F.col("entries.id").alias("ids"), F.col("entries.state").alias("states"))
 
 
+# json.dumps would build an encoder for every value
+ENCODER = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False)
+
+
 def compact(value) -> str:
-    return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+    return ENCODER.encode(value)
 
 
 EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
@@ -193,7 +201,43 @@ class Keyed(Bucketed):
 
     @staticmethod
     def row(value, us, seq, rule, outcome, extra, text):
-        return Row(value=value, us=us, seq=seq, rule=rule, outcome=outcome, extra=compact(extra), text=text)
+        return OUTCOME(value, us, seq, rule, outcome, compact(extra), text)
+
+
+class InFrames(StatefulProcessor):
+    """Runs a processor of rows on data frames: one frame of a key's rows in, one out.
+
+    Spark hands rows over value by value and writes an Arrow batch in Python for each
+    of their dictionaries; columns cross at once. Null numbers would become floats in a
+    column, so ``columns``, which are all that the processor gets, have none.
+    """
+
+    def __init__(self, processor: StatefulProcessor, columns: list[str], out: str):
+        self.processor, self.columns = processor, columns
+        self.names = [c.split()[0] for c in out.split(", ")]
+
+    def init(self, handle):
+        self.given = namedtuple("Given", self.columns)
+        self.processor.init(handle)
+
+    def handleInitialState(self, key, initialState, timerValues):
+        for ids, states in zip(initialState["ids"], initialState["states"]):
+            self.processor.handleInitialState(key, Row(ids=ids, states=states), timerValues)
+
+    def handleInputRows(self, key, rows, timerValues):
+        given = (row for frame in rows for row in map(self.given, *[frame[c].tolist() for c in self.columns]))
+        return self.frame(self.processor.handleInputRows(key, given, timerValues))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        return self.frame(self.processor.handleExpiredTimer(key, timerValues, expiredTimerInfo))
+
+    def frame(self, rows) -> Iterator[pd.DataFrame]:
+        columns = list(zip(*rows))
+        if columns:
+            yield pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in zip(self.names, columns)})
+
+    def close(self):
+        self.processor.close()
 
 
 class UserProcessor(Keyed):
@@ -378,8 +422,7 @@ class FanInProcessor(StatefulProcessor):
             self.seen.clear()
             self.passes.clear()
         self.done.update((True,))
-        products = ",".join(f"{json.dumps(item)}:{passed}" for item, passed in sorted(passes.items()))
-        yield Row(batch_id=key[0], value=value, ts=ts, seq=seq, complete=True, seen=n, products="{" + products + "}")
+        yield Row(batch_id=key[0], value=value, ts=ts, seq=seq, complete=True, seen=n, products=in_order(passes))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         found = self.seen.get()
@@ -394,6 +437,67 @@ class FanInProcessor(StatefulProcessor):
         pass
 
 
+class FanInBuckets(Bucketed):
+    """What ``FanInProcessor`` does, for a bucket of batches at once.
+
+    The state of a batch is when it is given up (in milliseconds) and, while it is not
+    complete, what came of it: number, count, request (value, us, seq) and its items.
+    """
+
+    def __init__(self, window_ms: int):
+        self.window_ms = window_ms
+
+    def handleInputRows(self, key, rows, timerValues):
+        before = self.held()
+        after, came, dues = dict(before), {}, []
+        for r in rows:
+            m = json.loads(r.record)
+            came.setdefault(m.get("batch_id"), []).append((m, r.value))
+        for id_, mine in came.items():
+            mine.sort(key=lambda p: (p[0].get("us"), p[0].get("seq"), p[0].get("item_id") or ""))
+            head, value = mine[0]
+            if head.get("reason") is not None:  # unreadable ones have keys of their own
+                for m, text in mine:
+                    yield FAN_IN_ROW(None, text, m.get("us"), m.get("seq"), None, 0, m["reason"])
+                continue
+            found = json.loads(before[id_]) if id_ in before else None
+            if found and len(found) == 1:  # handed on
+                continue
+            if not found:
+                found = [min(m["clock"] for m, _ in mine) + self.window_ms, 0, head.get("batch_count"), value, head.get("us"), head.get("seq"), []]
+                dues.append(found[0])
+            due, _, of, value, us, seq, held = found
+            # pairs, as the name of an item may be missing
+            passes = {**dict(held), **{m.get("item_id"): m.get("passed") for m, _ in mine}}
+            n = len(passes)
+            if n < of:
+                after[id_] = compact([due, n, of, value, us, seq, list(passes.items())])
+                continue
+            after[id_] = compact([due])
+            yield FAN_IN_ROW(id_, value, us, seq, True, n, in_order(passes))
+        self.keep(before, after)
+        if dues:
+            self.wake(min(dues))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now, before = passed_by(timerValues, expiredTimerInfo), self.held()
+        after, dues = {}, []
+        for id_, text in before.items():
+            due, *rest = json.loads(text)
+            if due > now:
+                after[id_] = text
+                dues.append(due)
+            elif rest:
+                n, _, value, us, seq, _ = rest
+                yield FAN_IN_ROW(id_, value, us, seq, False, n, None)
+        self.keep(before, after)
+        self.wake_next(dues)
+
+
+def in_order(passes: dict) -> str:
+    return "{" + ",".join(f"{json.dumps(item)}:{passed}" for item, passed in sorted(passes.items())) + "}"
+
+
 class FirstAnswerProcessor(Bucketed):
     """One row per request: its first answer within the timeout, or that there was none.
 
@@ -446,7 +550,7 @@ class FirstAnswerProcessor(Bucketed):
                 after[id_] = text
                 dues.append(due)
             elif asked is not None:
-                yield Row(request_id=id_, request_us=asked, response_us=first)
+                yield FIRST_ANSWER(id_, asked, first)
         self.keep(before, after)
         self.wake_next(dues)
 
@@ -456,4 +560,7 @@ def millis(ts) -> int:
 
 
 FIRST_ANSWERS = "request_id string, request_us bigint, response_us bigint"
+FIRST_ANSWER = Row("request_id", "request_us", "response_us")
 FAN_IN = "batch_id string, value string, ts timestamp, seq bigint, complete boolean, seen bigint, products string"
+FAN_IN_ROWS = FAN_IN.replace("ts timestamp", "us bigint")
+FAN_IN_ROW = Row("batch_id", "value", "us", "seq", "complete", "seen", "products")
