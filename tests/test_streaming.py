@@ -6,6 +6,7 @@ import json
 import random
 from itertools import count
 
+import pandas as pd
 import pytest
 from pyspark.sql import Row, functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
@@ -364,3 +365,63 @@ def test_a_snapshot_that_has_a_key_twice(spark):
         job.handleInitialState((b.bucket,), b, None)
         ids, states = handle.states[processors.STATE].value
         assert (ids, json.loads(states[0]).get("credits")) in ((["k"], 5), ([None], None))
+
+
+def test_a_bucket_comes_and_goes_as_one_frame(spark):
+    """Rows that crossed value by value took longer than the work on them."""
+    handle, job = CountedHandle(), processors.InFrames(processors.StockProcessor(), ["record", "value"], processors.OUTCOMES)
+    job.init(handle)
+    job.handleInitialState((1,), pd.DataFrame({"ids": [["i0", "i1"]], "states": [['{"amount":5}', '{"amount":7}']]}), None)
+    seqs = [None, 2**53 + 1, 3]  # as a column of floats the second would change
+    frames = [pd.DataFrame({"bucket": 1, "record": [json.dumps({"key": f"i{n % 2}", "us": n, "seq": s, "rule": "stock/subtract", "amount": 2})],
+                            "value": ["v"]}) for n, s in enumerate(seqs)]
+    out = list(job.handleInputRows((1,), iter(frames), None))
+    assert len(out) == 1 and list(out[0].columns) == ["value", "us", "seq", "rule", "outcome", "extra", "text"]
+    assert sorted(zip(out[0]["seq"], out[0]["extra"]), key=str) == sorted(
+        [(None, '{"item_id":"i0","amount":3}'), (2**53 + 1, '{"item_id":"i1","amount":5}'), (3, '{"item_id":"i0","amount":1}')], key=str)
+    assert list(job.handleInputRows((1,), iter([]), None)) == []
+
+
+def test_stock_messages_by_item_are_not_parsed_again(spark):
+    one = {"input": {"request_id": "r", "consumer": "c", "route": "orders/checkout", "params": {}},
+           "state": {"route": "batch/subtract", "sender": "order", "state": "batch:subtract"},
+           "params": {"products": {"i1": 2, 'i"2': 3}, "order_id": "o", "user_id": "u", "return_state": "send-stock"}}
+    plain = {**one, "state": {"route": "stock/add", "sender": "web", "state": None}, "params": {"item_id": "i3", "amount": "4"}}
+    rows = [("stock_in", json.dumps(one), 1), ("stock_in", json.dumps(plain), 2), ("stock_in", "{", 3),
+            ("stock_in", json.dumps({**one, "params": {"products": {}}}), 4), ("stock_in", None, 5)]
+    records = spark.createDataFrame(rows, "topic string, value string, seq long").withColumn("ts", F.timestamp_seconds("seq"))
+    got = jobs.matched_messages(jobs.parsed_by_item(records), v.STOCK)
+    want = jobs.keyed_messages(jobs.fan_out_batches(records), v.STOCK)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == 6
+
+
+def test_fan_in_by_bucket_is_that_by_batch(spark):
+    """A state and a timer per batch took several calls and milliseconds each."""
+    rng, paths, found = random.Random(5), {}, {}
+    rows = [(f"b{rng.randrange(40)}", 1 + rng.randrange(3), f"i{rng.randrange(3)}", str(n), f"v{n}",
+             dt.datetime(2024, 1, 1) + dt.timedelta(seconds=n // 4), n, None) for n in range(240)]
+    counts = {}
+    rows = [(b, counts.setdefault(b, n), *rest) for b, n, *rest in rows]
+    rows.insert(100, ("quarantine:x", None, None, None, "q", dt.datetime(2024, 1, 1), None, "no item"))
+    for shared in (False, True):
+        path = paths[shared] = fresh_path(spark, "both")
+        for part in (rows[:90], rows[90:], [("end", 2, "i1", "1", "v", dt.datetime(2025, 1, 1), 0, None)]):
+            spark.createDataFrame(part, ITEMS).coalesce(1).write.mode("append").parquet(f"{path}/in")
+            out = run_to_files(jobs.fan_in(spark.readStream.schema(ITEMS).parquet(f"{path}/in"), "0 seconds", 10, shared=shared), path, "fan-in")
+        found[shared] = sorted(map(repr, out.collect()))
+    assert found[True] == found[False] and len(found[True]) > 40
+    assert {text.split("complete=")[1].split(",")[0] for text in found[True]} == {"True", "False", "None"}
+
+
+def test_batches_of_a_bucket_share_their_state_calls(spark):
+    handle, job = CountedHandle(), processors.FanInBuckets(1000)
+    job.init(handle)
+    rows = [Row(record=json.dumps({"batch_id": f"b{i}", "batch_count": 2, "item_id": f"i{n}", "passed": "1", "us": n, "seq": n, "clock": i}), value="v")
+            for i in range(500) for n in range(1 + i % 2)]
+    done = list(job.handleInputRows((1,), iter(rows), None))
+    assert len(done) == 250 and {(r.complete, r.seen, r.products) for r in done} == {(True, 2, '{"i0":1,"i1":1}')}
+    assert handle.calls() < 10 and handle.timers == [1000]
+    gone = list(job.handleExpiredTimer((1,), *fired(1099)))
+    assert [(r.batch_id, r.complete, r.seen) for r in gone] == [(f"b{i}", False, 1) for i in range(0, 100, 2)]
+    assert handle.timers[-1] == 1100 and len(handle.states[processors.STATE].value[0]) == 400
