@@ -425,3 +425,16 @@ def test_batches_of_a_bucket_share_their_state_calls(spark):
     gone = list(job.handleExpiredTimer((1,), *fired(1099)))
     assert [(r.batch_id, r.complete, r.seen) for r in gone] == [(f"b{i}", False, 1) for i in range(0, 100, 2)]
     assert handle.timers[-1] == 1100 and len(handle.states[processors.STATE].value[0]) == 400
+
+
+def test_requests_and_answers_without_time(spark):
+    """They ended the job; in a frame they would turn the times beside them into floats."""
+    path, at = fresh_path(spark, "timeless"), dt.datetime(2024, 1, 1)
+    asked = [("a", at), ("b", None), ("end", at + dt.timedelta(days=9))]
+    replied = [("a", None), ("a", at + dt.timedelta(microseconds=7)), ("b", at)]
+    for name, rows, ts in (("asked", asked, "request_ts"), ("replied", replied, "response_ts")):
+        spark.createDataFrame(rows, f"request_id string, {ts} timestamp").write.parquet(f"{path}/{name}")
+    rows = run_to_files(analytics.first_answers(
+        spark.readStream.schema("request_id string, request_ts timestamp").parquet(f"{path}/asked"),
+        spark.readStream.schema("request_id string, response_ts timestamp").parquet(f"{path}/replied"), 100, "400 seconds"), path, "answers").collect()
+    assert sorted(map(tuple, rows)) == [("a", at, at + dt.timedelta(microseconds=7)), ("b", None, None)]

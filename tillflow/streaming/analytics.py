@@ -52,16 +52,18 @@ def first_answers(requests: DataFrame, responses: DataFrame, timeout_seconds: in
 
     ``requests`` has request_id and request_ts, ``responses`` request_id and
     response_ts. State lasts no longer than timeout and ``lateness``; both
-    sides meet in one keyed state, so repeated answers make no pairs.
+    sides meet in one keyed state, so repeated answers make no pairs. A request
+    without time has no answer in time, and an answer without time is none.
     """
     both = requests.select("request_id", F.col("request_ts").alias("ts"), F.lit(False).alias("is_answer")).unionByName(
         responses.select("request_id", F.col("response_ts").alias("ts"), F.lit(True).alias("is_answer")))
-    both = both.withColumns({"us": F.unix_micros("ts"), "bucket": bucket("request_id")})
+    both = both.where("ts is not null").withColumns({"us": F.unix_micros("ts"), "bucket": bucket("request_id")})
     processor = InFrames(FirstAnswerProcessor(timeout_seconds * 1000), ["request_id", "is_answer", "us"], FIRST_ANSWERS)
     found = both.withWatermark("ts", lateness).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=FIRST_ANSWERS, outputMode="append", timeMode="eventTime")
+    timeless = requests.where("request_ts is null").select("request_id", "request_ts", F.col("request_ts").alias("response_ts"))
     return found.select("request_id", F.timestamp_micros("request_us").alias("request_ts"),
-                        F.timestamp_micros("response_us").alias("response_ts"))
+                        F.timestamp_micros("response_us").alias("response_ts")).unionByName(timeless)
 
 
 def dedup_stream(requests: DataFrame, ts: str, lateness: str) -> DataFrame:
