@@ -403,7 +403,7 @@ def test_fan_in_by_bucket_is_that_by_batch(spark):
              dt.datetime(2024, 1, 1) + dt.timedelta(seconds=n // 4), n, None) for n in range(240)]
     counts = {}
     rows = [(b, counts.setdefault(b, n), *rest) for b, n, *rest in rows]
-    rows.insert(100, ("quarantine:x", None, None, None, "q", dt.datetime(2024, 1, 1), None, "no item"))
+    rows.insert(100, ("quarantine:x", None, None, None, "q", dt.datetime(2024, 1, 1, 0, 1), None, "no item"))
     for shared in (False, True):
         path = paths[shared] = fresh_path(spark, "both")
         for part in (rows[:90], rows[90:], [("end", 2, "i1", "1", "v", dt.datetime(2025, 1, 1), 0, None)]):
