@@ -438,3 +438,20 @@ def test_requests_and_answers_without_time(spark):
         spark.readStream.schema("request_id string, request_ts timestamp").parquet(f"{path}/asked"),
         spark.readStream.schema("request_id string, response_ts timestamp").parquet(f"{path}/replied"), 100, "400 seconds"), path, "answers").collect()
     assert sorted(map(tuple, rows)) == [("a", at, at + dt.timedelta(microseconds=7)), ("b", None, None)]
+
+
+def test_state_stores_follow_the_cores(spark):
+    path, name = fresh_path(spark, "stores"), "spark.sql.shuffle.partitions"
+    spark.createDataFrame([("user_in", json.dumps({"input": {"request_id": "u"}, "params": {"user_id": "1"}, "state": {"route": "users/create"}}),
+                            dt.datetime(2024, 1, 1), 1)], buses.RECORD).write.parquet(f"{path}/{v.WEB}")
+    buses.make_folders(spark, path)
+    before = spark.conf.get(name)
+    spark.conf.set(name, "500")
+    try:
+        replay.replay(spark, path, only=[v.USER])
+        assert spark.conf.get(name) == "500"
+    finally:
+        spark.conf.set(name, before)
+    stores = spark.read.format("state-metadata").load(f"{path}/checkpoints/{v.USER}").select("numPartitions").distinct().collect()
+    assert [r.numPartitions for r in stores] == [max(8, 2 * spark.sparkContext.defaultParallelism)]
+    assert replay.responses(spark, path, [v.USER]).select("message").collect() == [Row(message="User created.")]
