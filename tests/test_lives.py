@@ -97,3 +97,27 @@ def test_lives(spark, seed, hot):
         spark.createDataFrame(orders, "order_id string, user_id string, locked boolean"), hot)
     rows = sorted(((r.verb, r.user_id, r.order_id, r.seq, r.result, r.message) for r in got.collect()), key=repr)
     assert rows == sorted(walk(commands, users, orders), key=repr)
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_lives_of_ordinary_orders_go_in_one_pass(spark, monkeypatch, batch):
+    def refused(*_):
+        raise AssertionError("rounds over orders that fit one task")
+
+    monkeypatch.setattr(lifecycle, "_in_rounds", refused)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        test_lives(spark, 4, 10**6)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_an_order_created_twice_in_one_line_goes_in_rounds(spark):
+    schema = "verb string, user_id string, order_id string, t long, seq long"
+    twice = [("orders/create", "u", "a", 1, 1)] * 2 + [("orders/create", "u", "b", 2, 2), ("users/remove", "u", None, 3, 3),
+                                                      ("orders/remove", "u", None, 4, 4), ("orders/remove", "u", "b", 5, 5)]
+    got = lifecycle.lives(spark.createDataFrame(twice, schema), spark.createDataFrame([("u",)], "user_id string")).collect()
+    rows = sorted((r.order_id or "", r.seq, r.verb, r.result) for r in got)
+    assert rows == [("", 3, "users/remove", "success"), ("", 4, "orders/remove", "error"), ("a", 1, "orders/create", "error"),
+                    ("a", 1, "orders/create", "success"), ("a", 3, "cascade", "success"), ("b", 2, "orders/create", "success"),
+                    ("b", 3, "cascade", "success"), ("b", 5, "orders/remove", "error")]

@@ -63,7 +63,7 @@ def _by_key(commands, machine, initial):
             if not batch.num_rows:
                 continue
             keys = batch.column("key")
-            starts = _starts(keys)
+            starts = starts_of(keys)
             start = pc.fill_null(batch.column("start_"), -1).to_numpy(zero_copy_only=False)
             first = np.maximum(start[starts], 0)
             if keys[0].as_py() is not None and keys[0].as_py() == last:
@@ -81,7 +81,7 @@ def _by_key(commands, machine, initial):
 
 # -- inside a task -----------------------------------------------------------------
 
-def _starts(*columns) -> np.ndarray:
+def starts_of(*columns) -> np.ndarray:
     """Where a run of equal values begins."""
     edge = None
     for c in columns:
@@ -137,7 +137,7 @@ def _in_chunks(commands, machine, initial, chunks):
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                starts = _starts(batch.column("chunk"), batch.column("key"))
+                starts = starts_of(batch.column("chunk"), batch.column("key"))
                 last = pa.array(np.append(starts[1:], batch.num_rows) - 1)
                 done = _prefixes(_functions(batch.column("verb"), machine), starts)[last.to_numpy()]
                 at = pa.array([int(x) for x in starts])
@@ -162,7 +162,7 @@ def _in_chunks(commands, machine, initial, chunks):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            starts_ = _starts(batch.column("chunk"), batch.column("key"))
+            starts_ = starts_of(batch.column("chunk"), batch.column("key"))
             first_ = batch.column("first_").to_numpy()[starts_].copy()
             if (batch.column("chunk")[0].as_py(), batch.column("key")[0].as_py()) == last:
                 first_[0] = state
