@@ -455,3 +455,22 @@ def test_state_stores_follow_the_cores(spark):
     stores = spark.read.format("state-metadata").load(f"{path}/checkpoints/{v.USER}").select("numPartitions").distinct().collect()
     assert [r.numPartitions for r in stores] == [max(8, 2 * spark.sparkContext.defaultParallelism)]
     assert replay.responses(spark, path, [v.USER]).select("message").collect() == [Row(message="User created.")]
+
+
+def test_a_message_is_read_and_written_in_few_calls(spark):
+    """A JSON parser or writer for every field cost more than the message."""
+    odd = ['}"', "[]", "\\", "a\n\u0001", "ü😀", "", None]
+    sent = {"input": {"request_id": odd[0], "consumer": odd[1], "route": odd[2], "params": {"user_id": odd[3]}},
+            "state": {"route": odd[4], "sender": odd[5], "state": odd[6], "state_id": odd[0]},
+            "params": {"item_id": odd[3], "amount": " 7.9 ", "price": 2, "state": "1", "message": odd[0], "products": {"i": {"state": 0}}},
+            "path": [{"consumer": odd[0], "route": odd[1], "state": odd[3], "state_id": odd[6], "params": {"}": "}"}}],
+            "result": {"result": odd[2], "message": odd[6], "params": None}}
+    df = spark.createDataFrame([(json.dumps(sent), dt.datetime(2024, 1, 1), 1)], buses.RECORD.split(", ", 1)[1])
+    written = env.parse_envelope(df).select(env.serialize_envelope().alias("text"))
+    keyed = jobs.keyed_messages(df, v.STOCK)
+    for frame, call, most in ((written, "to_json(", 5), (keyed, "get_json_object(", 1)):
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count(call) <= most
+    assert json.loads(written.first().text) == sent
+    row = keyed.first()
+    assert (row.key, row.item_id, row.amount, row.price, row.code, row.note) == (odd[3], odd[3], 7, 2, 1, odd[0])
+    assert row.results == [Row(key="i", value=Row(state=0, amount=None))]
