@@ -77,6 +77,43 @@ def test_a_small_memory_gives_the_same(own):
     assert np.frombuffer(units.encode(text, small), "<u4").tolist() == own.encode(text)
 
 
+def test_batches_of_strange_texts(own, library):
+    rng = random.Random(2)
+    signs = [".", ", ", "!? ", " :", ")", "\n", "\n\n", " ", "  ", " \n", "é", "ǆ", "ʒ", "²", "\xa0", "x", "\t", "%%%", "\u200b"]
+    texts = [strange(rng) for _ in range(2000)] + ["", " ", "\n", ",", ", a", "a ", " a", "a, ", "a,. b", "a. \nb", "1. a² , b²."]
+    texts += ["".join(rng.choice(signs + ["the", " thandering", "Xyzzy,", "à ª "]) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    for words in (tokencounts.words_ids(library, 4), None):
+        parts = units.Parts(units.packed(tokencounts.part_ids(library), 4), 3000, words)
+        for at in range(0, len(texts), 500):
+            for text, got in zip(texts[at:at + 500], units.encode_batch(texts[at:at + 500], parts)):
+                want = library.encode(text, add_special_tokens=False).ids
+                assert np.frombuffer(got, "<u4").tolist() == want, repr(text)
+    assert units.encode_batch([], parts) == []
+    assert units.encode_batch([""], parts) == [b""]
+    latin = "".join(c for c in map(chr, range(0x250)) if c.isalpha())
+    assert len(library.pre_tokenizer.pre_tokenize_str(latin)) == 1
+
+
+def test_a_batch_is_encoded_in_few_calls(library):
+    asked = []
+    encode, words = units.packed(tokencounts.part_ids(library), 2), tokencounts.words_ids(library, 2)
+    parts = units.Parts(lambda t: asked.append(t) or encode(t), words=lambda new: asked.append(new) or words(new))
+    new = ["".join(random.Random(i).choices("abcdeéö", k=9)) for i in range(300)]
+    texts = [" ".join(new) + ".", ", ".join(new), "\n".join(new[:3])]
+    got = units.encode_batch(texts, parts)
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) < 15
+    assert not any(", " in p or p.endswith(",") and len(p) > 2 for p in parts)
+
+
+def test_words_are_not_joined_where_a_merge_could_cross(library):
+    import json
+    made = json.loads(library.to_str())
+    made["model"]["merges"].append(["e", "\u0120"])
+    made["model"]["vocab"]["e\u0120"] = max(made["model"]["vocab"].values()) + 1
+    assert tokencounts.words_ids(Tokenizer.from_str(json.dumps(made)), 4) is None
+
+
 def test_token_queries(spark, folder, library, tik):
     docs = spark.read.parquet(f"{folder}/documents.parquet").toPandas().sort_values("doc_id")
     want = [library.encode(t, add_special_tokens=False).ids for t in docs.text]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
 import os
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -18,6 +20,10 @@ VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 # characters: longer texts are cut into chunks that share an overlap
 HUGE, CHUNK, OVERLAP = 1 << 16, 1 << 14, 256
+# words in one call of the model
+TOGETHER = 100
+# letters up to here are letters in every version of Unicode
+BEYOND_LATIN = re.compile("[^\0-\u024f]")
 
 
 def tokenizer(path: str):
@@ -32,14 +38,19 @@ def tokenizer(path: str):
     return kept(f"tokenizer {path}", make)
 
 
+def _plain(tok) -> bool:
+    """Whether the model alone encodes a word of letters."""
+    return (type(tok.pre_tokenizer).__name__ == "ByteLevel" and tok.normalizer is None
+            and not any(t.content.isalpha() for t in tok.get_added_tokens_decoder().values()))
+
+
 def part_ids(tok) -> Callable[[str], list[int]]:
     """The library's ids of one part; words of ASCII letters go straight to its model.
 
     With or without the space ahead such a word is one piece, which a
     byte-level pre-tokenizer would only hand on with the space as ``\u0120``.
     """
-    plain = (type(tok.pre_tokenizer).__name__ == "ByteLevel" and tok.normalizer is None
-             and not any(t.content.isalpha() for t in tok.get_added_tokens_decoder().values()))
+    plain = _plain(tok)
     tokenize, encode = tok.model.tokenize, tok.encode
 
     def ids(part: str) -> list[int]:
@@ -51,6 +62,43 @@ def part_ids(tok) -> Callable[[str], list[int]]:
     return ids
 
 
+def _byte_characters() -> str:
+    """The characters that stand for the bytes 0 to 255 in a byte-level vocabulary."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in shown else next(others)) for b in range(256))
+
+
+def words_ids(tok, width: int) -> Callable[[list[str]], dict[str, bytes]] | None:
+    """The library's ids of many words of Latin letters, each with a space before it, from few calls of its model.
+
+    The model gets words side by side. No merge joins a letter and a space
+    behind it, which is looked up in the vocabulary; so every word has the
+    tokens it has alone, and a token that begins with a space begins a word.
+    """
+    model, characters = tok.model, _byte_characters()
+    vocabulary, space = tok.get_vocab(), characters[32]
+    joined = {bytes(map(characters.index, t)).decode(errors="replace") for t in vocabulary
+              if space in t[1:] and set(t) <= set(characters)}
+    if (not _plain(tok) or model.dropout or model.ignore_merges or model.continuing_subword_prefix or model.end_of_word_suffix
+            or any(before.isalpha() or before == "\ufffd" for t in joined for before, sign in zip(t, t[1:]) if sign == " ")):
+        return None
+    first = np.zeros(max(vocabulary.values()) + 1, bool)
+    first[[i for t, i in vocabulary.items() if t[0] == space]] = True
+
+    def run(words: list[str]) -> dict[str, bytes]:
+        out = {}
+        words = [w for w in words if not BEYOND_LATIN.search(w)]
+        for at in range(0, len(words), TOGETHER):
+            some = words[at:at + TOGETHER]
+            text = codecs.charmap_decode((" " + " ".join(some)).encode(), "strict", characters)[0]
+            ids = np.array([t.id for t in model.tokenize(text)], f"<u{width}")
+            data, begins = ids.tobytes(), (np.flatnonzero(first[ids]) * width).tolist()
+            out.update(zip(some, (data[a:b] for a, b in zip(begins, [*begins[1:], len(data)]))))
+        return out
+    return run
+
+
 def _starts(tok, text: str, at: int) -> np.ndarray:
     """Where in the whole text each token of the chunk ``text`` begins."""
     return np.array([a for a, _ in tok.encode(text, add_special_tokens=False).offsets], np.int64) + at

@@ -13,6 +13,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import public_tokenizers
 from tillflow.llm import units
 from tillflow.llm.frames import kept, map_texts, sampled, table, texts
 from tillflow.llm.registry import query
-from tillflow.llm.tokencounts import VOCABULARY, part_ids, tokenizer
+from tillflow.llm.tokencounts import VOCABULARY, part_ids, tokenizer, words_ids
 from tillflow.session import fresh_path, written
 
 END_ID = 0
@@ -47,7 +48,7 @@ class Coder:
     width: int
     dictionary: bytes
 
-    @property
+    @cached_property
     def hash(self) -> str:
         return hashlib.sha256(self.dictionary).hexdigest()
 
@@ -65,12 +66,13 @@ class Coder:
     def decompressor(self):
         return kept(f"decompressor {self.hash}", lambda: zstandard.ZstdDecompressor(dict_data=self._dictionary()))
 
-    def serialize(self, text: str) -> bytes:
-        """The ids of a text and the end id, each in ``width`` bytes, little-endian."""
+    def serialize(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text and the end id, each in ``width`` bytes, little-endian."""
         tok = tokenizer(self.path)
         parts = kept(f"parts {self.path} {self.width}", lambda: units.Parts(
-            units.packed(part_ids(tok), self.width), REMEMBERED))
-        return units.encode(text, parts) + END_ID.to_bytes(self.width, "little")
+            units.packed(part_ids(tok), self.width), REMEMBERED, words_ids(tok, self.width)))
+        end = END_ID.to_bytes(self.width, "little")
+        return [data + end for data in units.encode_batch(texts, parts)]
 
     def ids(self, frame: bytes) -> np.ndarray:
         return np.frombuffer(self.decompressor().decompress(frame), f"<u{self.width}").astype("<u4")
@@ -83,7 +85,7 @@ def trained(docs: DataFrame, path: str, id_col: str) -> Coder:
     plain = Coder(path, width, b"")
     sample = sampled(texts(docs, id_col), id_col, SAMPLE_DOCS, SAMPLE_BYTES)
     try:
-        found = zstandard.train_dictionary(DICTIONARY_BYTES, [plain.serialize(t) for t in sample], level=LEVEL)
+        found = zstandard.train_dictionary(DICTIONARY_BYTES, plain.serialize(sample), level=LEVEL)
     except zstandard.ZstdError:  # too few texts for a dictionary: frames go without
         return plain
     return Coder(path, width, found.as_bytes())
@@ -136,8 +138,7 @@ def write_token_files(docs: DataFrame, target: str, id_col: str = "doc_id", path
     def encode(batch: list[str]) -> dict[str, list]:
         made = {"n": [], "frame": []}
         squeeze = coder.compressor().compress
-        for text in batch:
-            data = coder.serialize(text)
+        for data in coder.serialize(batch):
             made["n"].append(len(data) // coder.width)
             made["frame"].append(squeeze(data))
         return made

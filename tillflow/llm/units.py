@@ -10,8 +10,13 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 # the longer way: only single spaces with no other white space beside them
 STABLE = re.compile(r"(?<=\S) (?=\S)")
 UNUSUAL = re.compile(r"[^\S \n]")
@@ -21,6 +26,11 @@ REMEMBERED = 1_000_000
 
 # a word and the signs behind it; a letter ends a piece before any of these
 SIGNS = ".,;:!?*#$%&)"
+# of these, the ones that a batch of texts is cut at, where a space follows
+ENDS = ".,;:!?"
+# texts that a batch does not cut: white space other than single spaces and line feeds between other characters
+_OTHER = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n")
+UNEVEN = rf"[ \n][ \n]|\A\n|[ \n]\z|[{_OTHER}]"
 
 
 def packed(encode: Callable[[str], list[int]], width: int) -> Callable[[str], bytes]:
@@ -37,20 +47,40 @@ class Parts(dict):
     """Tokens by part, encoded when first met.
 
     Parts other than a text's first stand without the space before them; keys
-    that begin with a line feed stand for words right behind one.
+    that begin with a line feed stand for what has no space before it.
+    ``words`` encodes many words of letters at once, each with a space before
+    it; it returns nothing for those that it cannot.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], most: int = REMEMBERED):
+    def __init__(self, encode: Callable[[str], bytes], most: int = REMEMBERED,
+                 words: Callable[[list[str]], dict[str, bytes]] | None = None):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.words = encode, most, words
         self.line_feed = encode("\n")
 
+    def all(self, some: list[str]) -> list[bytes]:
+        """The tokens of each of many parts."""
+        found, at = list(map(self.get, some)), -1
+        missing = []
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            missing.append(at)
+        if self.words and missing:
+            bare = {some[i].rstrip(SIGNS) for i in missing}
+            made = self.words([w for w in bare if w.isalpha() and w not in self])
+            if len(self) + len(made) >= self.most:
+                self.clear()
+            self.update(made)
+        for i in missing:
+            found[i] = self[some[i]]
+        return found
+
     def __missing__(self, part: str) -> bytes:
         bare = part.rstrip(SIGNS)
         if bare and bare[-1].isalpha() and len(bare) < len(part):
             # signs behind a letter are a piece of their own
             value = self[bare] + self["\n" + part[len(bare):]]
-        elif part[0] == "\n":
+        elif part[:1] == "\n":
             value = self.encode(part[1:])
         else:
             head, feed, rest = part.partition("\n")
@@ -79,3 +109,39 @@ def encode(text: str, parts: Parts) -> bytes:
     first, *rest = split(text)
     head = parts.encode(first) if first else b""
     return head + b"".join(map(parts.__getitem__, rest))
+
+
+def _cut(text: str) -> str:
+    """A text whose parts are whatever stands between spaces, line feeds and signs behind a word among them."""
+    text = "\n" + text.replace("\n", " \n\n \n")
+    for sign in ENDS:
+        if sign in text:
+            text = text.replace(f"{sign} ", f" \n{sign} ")
+    return text
+
+
+def encode_batch(texts: list[str], parts: Parts) -> list[bytes]:
+    """``encode`` of every text; a part is looked up once for all its places in them."""
+    column = pa.array(texts, pa.large_string())
+    alone = pc.match_substring_regex(column, UNEVEN).to_numpy(zero_copy_only=False)
+    even = np.flatnonzero(~alone)
+    cut = pc.split_pattern(pa.array([_cut(texts[i]) for i in even], pa.large_string()), " ")
+    flat, offsets = cut.values.dictionary_encode(), cut.offsets.to_numpy()
+    places = flat.indices.to_numpy()
+    # parts hold no space
+    one = pa.ListArray.from_arrays(pa.array([0, len(flat.dictionary)], pa.int32()), flat.dictionary)
+    different = pc.binary_join(one, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ") if len(places) else []
+
+    # a sign is a piece of its own behind a letter or digit; where it is behind another sign the text is encoded alone
+    signs = [i for i, p in enumerate(different) if len(p) == 2 and p[0] == "\n" and p[1] in ENDS]
+    at = np.flatnonzero(np.isin(places[1:], signs))
+    before = np.unique(places[at])
+    wrong = [i for i in before.tolist() if not (different[i][-1:].isalpha() or different[i][-1:] in set("0123456789"))]
+    alone[even[np.searchsorted(offsets, at[np.isin(places[at], wrong)] + 1, "right") - 1]] = True
+
+    tokens = pa.array(parts.all(different), pa.large_binary()).take(flat.indices)
+    _, ends, data = tokens.buffers()
+    ends = np.frombuffer(ends, np.int64)[offsets].tolist() if len(places) else [0]
+    data = data.to_pybytes() if data else b""
+    done = dict(zip(even.tolist(), (data[a:b] for a, b in zip(ends, ends[1:]))))
+    return [encode(t, parts) if alone[i] else done[i] for i, t in enumerate(texts)]
