@@ -80,10 +80,10 @@ def test_a_small_memory_gives_the_same(own):
 def test_batches_of_strange_texts(own, library):
     rng = random.Random(2)
     signs = [".", ", ", "!? ", " :", ")", "\n", "\n\n", " ", "  ", " \n", "é", "ǆ", "ʒ", "²", "\xa0", "x", "\t", "%%%", "\u200b"]
-    texts = [strange(rng) for _ in range(2000)] + ["", " ", "\n", ",", ", a", "a ", " a", "a, ", "a,. b", "a. \nb", "1. a² , b²."]
+    texts = [strange(rng) for _ in range(2000)] + ["", " ", "\n", ",", ", a", "a ", " a", "a, ", "a,. b", "a. \nb", "1. a² , b².", "a\n\n<|endoftext|> b"]
     texts += ["".join(rng.choice(signs + ["the", " thandering", "Xyzzy,", "à ª "]) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
     for words in (tokencounts.words_ids(library, 4), None):
-        parts = units.Parts(units.packed(tokencounts.part_ids(library), 4), 3000, words)
+        parts = units.Parts(units.packed(tokencounts.part_ids(library), 4), 3000, words, tokencounts.added_tokens(library))
         for at in range(0, len(texts), 500):
             for text, got in zip(texts[at:at + 500], units.encode_batch(texts[at:at + 500], parts)):
                 want = library.encode(text, add_special_tokens=False).ids
@@ -103,6 +103,9 @@ def test_a_batch_is_encoded_in_few_calls(library):
     got = units.encode_batch(texts, parts)
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert len(asked) < 15
+    paragraphs = "\n\n".join(f"{a}, {b}." for a, b in zip(new, new[1:]))
+    assert np.frombuffer(units.encode_batch([paragraphs], parts)[0], "<u2").tolist() == library.encode(paragraphs, add_special_tokens=False).ids
+    assert not any("\n\n" in p[1:] for p in parts)
     assert not any(", " in p or p.endswith(",") and len(p) > 2 for p in parts)
 
 

@@ -38,10 +38,14 @@ def tokenizer(path: str):
     return kept(f"tokenizer {path}", make)
 
 
+def added_tokens(tok) -> list[str]:
+    return [t.content for t in tok.get_added_tokens_decoder().values()]
+
+
 def _plain(tok) -> bool:
     """Whether the model alone encodes a word of letters."""
     return (type(tok.pre_tokenizer).__name__ == "ByteLevel" and tok.normalizer is None
-            and not any(t.content.isalpha() for t in tok.get_added_tokens_decoder().values()))
+            and not any(t.isalpha() for t in added_tokens(tok)))
 
 
 def part_ids(tok) -> Callable[[str], list[int]]:

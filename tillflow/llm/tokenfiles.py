@@ -26,7 +26,7 @@ import public_tokenizers
 from tillflow.llm import units
 from tillflow.llm.frames import kept, map_texts, sampled, table, texts
 from tillflow.llm.registry import query
-from tillflow.llm.tokencounts import VOCABULARY, part_ids, tokenizer, words_ids
+from tillflow.llm.tokencounts import VOCABULARY, added_tokens, part_ids, tokenizer, words_ids
 from tillflow.session import fresh_path, written
 
 END_ID = 0
@@ -70,7 +70,7 @@ class Coder:
         """The ids of each text and the end id, each in ``width`` bytes, little-endian."""
         tok = tokenizer(self.path)
         parts = kept(f"parts {self.path} {self.width}", lambda: units.Parts(
-            units.packed(part_ids(tok), self.width), REMEMBERED, words_ids(tok, self.width)))
+            units.packed(part_ids(tok), self.width), REMEMBERED, words_ids(tok, self.width), added_tokens(tok)))
         end = END_ID.to_bytes(self.width, "little")
         return [data + end for data in units.encode_batch(texts, parts)]
 

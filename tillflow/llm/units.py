@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import struct
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +28,10 @@ REMEMBERED = 1_000_000
 SIGNS = ".,;:!?*#$%&)"
 # of these, the ones that a batch of texts is cut at, where a space follows
 ENDS = ".,;:!?"
-# texts that a batch does not cut: white space other than single spaces and line feeds between other characters
+# texts that a batch does not cut: white space other than single spaces and one or two line feeds between other characters
+# (each of two is a piece of its own, of more only the last)
 _OTHER = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n")
-UNEVEN = rf"[ \n][ \n]|\A\n|[ \n]\z|[{_OTHER}]"
+UNEVEN = rf"  | \n|\n |\n\n\n|\A\n|[ \n]\z|[{_OTHER}]"
 
 
 def packed(encode: Callable[[str], list[int]], width: int) -> Callable[[str], bytes]:
@@ -49,13 +50,15 @@ class Parts(dict):
     Parts other than a text's first stand without the space before them; keys
     that begin with a line feed stand for what has no space before it.
     ``words`` encodes many words of letters at once, each with a space before
-    it; it returns nothing for those that it cannot.
+    it; it returns nothing for those that it cannot. ``added`` are the strings
+    that ``encode`` takes out of a text before it cuts pieces.
     """
 
     def __init__(self, encode: Callable[[str], bytes], most: int = REMEMBERED,
-                 words: Callable[[list[str]], dict[str, bytes]] | None = None):
+                 words: Callable[[list[str]], dict[str, bytes]] | None = None, added: Sequence[str] = ()):
         super().__init__()
         self.encode, self.most, self.words = encode, most, words
+        self.uneven = "|".join([UNEVEN, *map(re.escape, added)])
         self.line_feed = encode("\n")
 
     def all(self, some: list[str]) -> list[bytes]:
@@ -123,7 +126,7 @@ def _cut(text: str) -> str:
 def encode_batch(texts: list[str], parts: Parts) -> list[bytes]:
     """``encode`` of every text; a part is looked up once for all its places in them."""
     column = pa.array(texts, pa.large_string())
-    alone = pc.match_substring_regex(column, UNEVEN).to_numpy(zero_copy_only=False)
+    alone = pc.match_substring_regex(column, parts.uneven).to_numpy(zero_copy_only=False)
     even = np.flatnonzero(~alone)
     cut = pc.split_pattern(pa.array([_cut(texts[i]) for i in even], pa.large_string()), " ")
     flat, offsets = cut.values.dictionary_encode(), cut.offsets.to_numpy()
