@@ -49,6 +49,20 @@ def test_all_near_pairs_in_a_crowd(spark, crowded):
     assert got == want and len(got) > 500
 
 
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_variants_are_never_sent_to_the_driver(spark, monkeypatch, few):
+    """Spark sized the exploded variants like the fingerprints, 64 times too low, and broadcast them."""
+    frames.settings(spark)
+    monkeypatch.setattr(simhash, "FEW", few)
+    bits = spark.range(300).select(F.xxhash64("id").alias("bits")).unionByName(spark.range(40).select(F.col("id").alias("bits")))
+    pairs = simhash.near_pairs(bits, 8)
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    small = plan.count("BroadcastHashJoin")
+    assert plan.count("SortMergeJoin") >= 5 and (small == 0) == (few == 0)
+    want = sum(1 for a in range(40) for b in range(a) if (a ^ b).bit_count() <= 3)
+    assert pairs.count() == want
+
+
 def test_components_of_a_long_chain(spark):
     frames.settings(spark)
     links = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1002), (1000, 1002), (5, 5)]

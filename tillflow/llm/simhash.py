@@ -25,6 +25,8 @@ SHINGLE_WORDS = 3
 SEED = 42
 # variants with more fingerprints than this are cut again instead of joined
 CROWDED = 256
+# so many crowded variants may be sent to every task, more are joined by a shuffle
+FEW = 20_000
 BLOCK = 1 << 15
 
 
@@ -83,7 +85,7 @@ def _search(rows: DataFrame, parts: list[tuple[int, int]], above: list, crowded:
     by = [*outer, key]
     index = rows.select(*outer, "bits", F.explode(F.concat(*[
         _keys(_segment(F.col("bits"), s, w), p, w) for p, (s, w) in enumerate(parts)])).alias(key))
-    full = None
+    full, crowds = None, 0
     if depth < 2:
         # a variant is two whole segments, so counting those (two rows a fingerprint) finds the crowded ones
         whole = rows.select(*outer, F.explode(F.array(*[
@@ -92,14 +94,16 @@ def _search(rows: DataFrame, parts: list[tuple[int, int]], above: list, crowded:
         many = whole.groupBy(*outer, "part", "segment").count().where(F.col("count") > crowded // 2)
         full = written(many.select(*outer, F.explode(F.when(F.col("part") == 0, _keys(F.col("segment"), 0, parts[0][1]))
                        .otherwise(_keys(F.col("segment"), 1, parts[1][1]))).alias(key)).distinct(), "crowded")
-        full = None if full.isEmpty() else full
-    plain = index if full is None else index.join(full, by, "left_anti")
+        crowds = full.count()
+        full = full if crowds <= FEW else full.hint("merge")
+    plain = index.join(full, by, "left_anti") if crowds else index
     close = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= BITS_APART
     for d, p in enumerate([*above, parts]):
         close = close & _first_agreeing(p, F.col(f"key{d}"))
-    pairs = (plain.withColumnRenamed("bits", "x").join(plain.withColumnRenamed("bits", "y"), by)
+    # Spark takes exploded rows for no larger than what they came from and would send all variants to the driver
+    pairs = (plain.withColumnRenamed("bits", "x").join(plain.withColumnRenamed("bits", "y").hint("merge"), by)
              .where((F.col("x") < F.col("y")) & close).select(F.col("x").alias("a"), F.col("y").alias("b")))
-    if full is not None:
+    if crowds:
         packed = index.join(full, by, "left_semi")
         for p in (0, 1):
             shift, width = parts[1 - p]  # the bits that part p leaves open, besides the one put aside
