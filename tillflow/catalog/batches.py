@@ -35,9 +35,10 @@ def batch_items(spark, folder):
     lines = lines0(spark, folder)
     sized = lines.join(plan.order_prices(lines), "order_id").join(
         orders0(spark, folder).select("order_id", "user_id", "t", "seq"), "order_id")
-    lost = lines.groupBy("order_id").agg(F.min("item_id").alias("item_id")).where(
+    lost = lines.groupBy("order_id").agg(F.min("item_id").alias("lost")).where(
         F.col("order_id").cast("bigint") % 7 == 0)
-    kept = sized.join(lost, ["order_id", "item_id"], "left_anti")
+    # joined by the order alone, as before it, so the lines are not shuffled again and those of an order stay together
+    kept = sized.join(lost, "order_id", "left").where(F.col("lost").isNull() | F.col("item_id").isNull() | (F.col("item_id") != F.col("lost")))
     return kept.select(
         F.sha2(F.concat(F.lit("b"), "order_id"), 256).alias("batch_id"), F.col("n_items").alias("batch_count"),
         "order_id", "user_id", "item_id", "t", F.lit("send-stock").alias("return_state"),

@@ -353,11 +353,11 @@ def fan_in_stream(spark, folder):
     """Answers of item batches as a stream, each sent twice; incomplete batches are given up by the timer."""
     items = batch_items(spark, folder).select(
         "batch_id", "batch_count", "item_id", "passed", F.lit("{}").alias("value"),
-        F.timestamp_micros("t").alias("ts"), F.lit(0).cast("bigint").alias("seq"))
+        F.timestamp_micros("t").alias("ts"), F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("seq"))
     folder_in = fresh_path(spark, "fan-in")
-    items.unionAll(items.withColumn("seq", F.col("seq") + 1)).write.parquet(folder_in)
+    items.write.parquet(folder_in)
     # one record far in the future moves the watermark past every timer
-    far = items.limit(1).withColumns({
+    far = spark.read.schema(items.schema).parquet(folder_in).limit(1).withColumns({
         "batch_id": F.lit("sentinel"), "batch_count": F.lit(2).cast("bigint"), "ts": F.to_timestamp(F.lit(FAR))})
     far.write.mode("append").parquet(folder_in)
     stream = jobs.fan_in(spark.readStream.schema(items.schema).parquet(folder_in), watermark="0 seconds", shared=True)
