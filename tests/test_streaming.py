@@ -495,3 +495,25 @@ def test_the_lines_of_a_batch_are_shuffled_by_their_order_alone(spark, tmp_path)
     # an item that is not there is never the lost one; the smallest one of an order that 7 divides is
     assert sorted(map(tuple, items.select("order_id", "item_id").collect()), key=str) == sorted(
         [("7", "2"), ("8", "1"), ("8", None), ("14", None)], key=str)
+
+
+def test_json_writers_are_made_once(monkeypatch):
+    """The standard one makes an encoder for every value, which took longer than the message."""
+    odd = {"a": [1, None, True, 2.5, "ü\"\\\n 😀"], "": {}, "n": {"x": -(2**60)}}
+    text = processors.compact(odd)
+    assert text == json.dumps(odd, separators=(",", ":"), ensure_ascii=False) and processors.parsed(text) == odd
+    made = []
+    monkeypatch.setattr(json.encoder, "c_make_encoder", lambda *a: made.append(a))
+    assert [processors.compact(x) for x in (odd, {}, "s", None)] == [text, "{}", '"s"', "null"] and not made
+    # they stay where they are, a task makes its own
+    assert [type(f).__reduce__(f)[1] for f in (processors.compact, processors.parsed)] == [(), ()]
+
+
+def test_the_text_of_a_basket_is_written_only_when_it_changes():
+    order = {"user_id": "u", "user_checked": True, "is_paid": False, "checkout_status": 0, "products": '{"p": 1,"q":2}'}
+    job = processors.OrderProcessor(timers=False)
+    for rule, kept in (("orders/find", True), ("orders/checkout:-", True), ("payment/pay:order-mark-paid", True), ("orders/removeItem", False)):
+        job.load("o", order)
+        job.apply("o", processors.Message({"rule": rule, "key": "o", "item_id": "q", "us": 1, "seq": 1}, "v"))
+        text = job.store("o")["products"]
+        assert text == (order["products"] if kept else '{"p":1}')
